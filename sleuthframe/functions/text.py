@@ -29,6 +29,8 @@ ENTITY_PATTERNS = (
     ("PERSON", r"\b(?:User|Author|Investigator|Subject|Owner|Admin|Analyst)[:=]\s*([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\b",
      0.88),
 )
+# A text without this literal cannot match the pattern of the same position ("" = no such literal).
+NEEDED_LITERALS = (".", ":", "://", "@", ".", ":\\", "\\\\", "/", ".", "-", ":", ":", "S-1-", "-", "", "", "")
 # Words that mark a line as an event.
 EVENT_WORDS = ("login", "failed", "unauthorized", "mimikatz", "connection", "execution", "event id", "alert",
                "error", "warning")
@@ -58,84 +60,74 @@ def lines(text: Column) -> Column:
 
 # ---- entities ---------------------------------------------------------------
 
-def _hit_structs(n: int, kind: str, confidence: float, grouped: bool) -> str:
-    """SQL for the hits of pattern ``n``: value, offsets and surrounding text.
+def entity_hits(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Every accepted pattern hit with its offsets and snippet, one row per hit.
 
-    ``_m`` are the matches, ``_p`` the text cut at them: gap, match, gap, ..., gap.
-    Lengths are summed in chunks, and the context is read from the neighbouring
-    pieces, so the work grows with the text and not with text times matches.
+    The patterns are one literal array walked per text, so the plan stays small.
+    Where a pattern hits, the text is cut at the hits into gap, hit, gap, ..., gap
+    (``pieces``); offsets are chunked sums of piece lengths and the context is read
+    from neighbouring pieces, so work grows with the text, not with text times hits.
     """
-    m, p, g, size, offset = f"_m{n}", f"_p{n}", f"_g{n}", f"_n{n}", f"_o{n}"
-    end = (f"(element_at({offset}, cast(i div {_CHUNK} as int) + 1) + aggregate(slice({size}, "
-           f"cast(i div {_CHUNK} as int) * {_CHUNK} + 1, i % {_CHUNK} + 1), 0, (a, x) -> a + x))")
-    value = f"if({g}[i] <> '', {g}[i], {m}[i])" if grouped else f"{m}[i]"
-    left = f"array_join(slice({p}, greatest(1, 2 * i - {2 * _REACH - 1}), least(2 * i + 1, {2 * _REACH + 1})), '')"
-    right = f"array_join(slice({p}, 2 * i + 3, {2 * _REACH + 1}), '')"
-    body = (f"named_struct('spec', {n}, 'artifact_type', '{kind}', 'value', {value}, 'confidence', {confidence}D, "
-            f"'end_char', {end}, 'length', length({value}), 'whole', length({m}[i]), "
-            f"'before', {left}, 'matched', {m}[i], 'after', {right})")
-    return f"transform(sequence(0, size({m}) - 1), i -> {body})"
-
-
-_HIT = ("array<struct<spec:int,artifact_type:string,value:string,confidence:double,end_char:int,length:int,"
-        "whole:int,before:string,matched:string,after:string>>")
-
-
-def entity_hits(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Every accepted pattern hit with its offsets and snippet, one row per hit."""
-    stage = docs.filter(F.length(text) > 0).select(*keys, F.col(text).alias("_text"))
-    stage = stage.withColumns({f"_m{n}": find_all(F.col("_text"), pattern)
-                               for n, (_, pattern, _) in enumerate(ENTITY_PATTERNS)})
-    grouped = [kind in ("USERNAME", "PERSON") for kind, _, _ in ENTITY_PATTERNS]
-    found = lambda n: F.size(f"_m{n}") > 0
-    cut = {}
-    for n, (_, pattern, _) in enumerate(ENTITY_PATTERNS):
-        gaps = F.split("_text", UNICODE + pattern, -1)
-        cut[f"_p{n}"] = F.when(found(n), F.flatten(F.transform(
-            F.arrays_zip(gaps.alias("gap"), F.col(f"_m{n}").alias("hit")),
-            lambda z: F.array(F.coalesce(z["gap"], F.lit("")), F.coalesce(z["hit"], F.lit(""))))))
-        if grouped[n]:
-            cut[f"_g{n}"] = F.when(found(n), find_all(F.col("_text"), pattern, 1))
-    stage = stage.filter(" OR ".join(f"size(_m{n}) > 0" for n in range(len(ENTITY_PATTERNS))))
-    stage = stage.withColumn("_chars", F.length("_text")).withColumns(cut).drop("_text")
-    stage = stage.withColumns({f"_n{n}": F.expr(
-        f"if(size(_m{n}) > 0, transform(sequence(0, size(_m{n}) - 1), "
-        f"i -> length(_p{n}[2 * i]) + length(_p{n}[2 * i + 1])), NULL)") for n in range(len(ENTITY_PATTERNS))})
-    stage = stage.withColumns({f"_c{n}": F.expr(
-        f"transform(sequence(0, cast((size(_n{n}) - 1) div {_CHUNK} as int)), "
-        f"c -> aggregate(slice(_n{n}, c * {_CHUNK} + 1, {_CHUNK}), 0, (a, x) -> a + x))")
-        for n in range(len(ENTITY_PATTERNS))})
-    stage = stage.withColumns({f"_o{n}": F.expr(
-        f"transform(sequence(0, size(_c{n}) - 1), c -> if(c = 0, 0, aggregate(slice(_c{n}, 1, c), 0, (a, x) -> a + x)))")
-        for n in range(len(ENTITY_PATTERNS))})
-    arrays = ", ".join(
-        f"if(size(_m{n}) > 0, {_hit_structs(n, kind, conf, grouped[n])}, cast(array() as {_HIT}))"
-        for n, (kind, _, conf) in enumerate(ENTITY_PATTERNS))
-    hits = stage.select(*keys, "_chars", F.explode(F.expr(f"concat({arrays})")).alias("h")).select(
-        *keys, "_chars", "h.*")
-    start = F.col("end_char") - F.col("length")
-    value = strip(F.col("value"))
-    digits = value.rlike(r"(?U)^\d+$")
-    kind = F.col("artifact_type")
-    hits = hits.withColumns({"value": value, "start_char": start}).filter(
-        (F.length("value") >= F.when(kind.isin("USERNAME", "HOSTNAME"), 5).when(kind == "PERSON", 3).otherwise(2))
+    grouped = ("USERNAME", "PERSON")
+    specs = F.array(*[F.struct(F.lit(n).alias("spec"), F.lit(kind).alias("artifact_type"),
+                               F.lit(UNICODE + pattern).alias("pattern"), F.lit(NEEDED_LITERALS[n]).alias("needed"),
+                               F.lit(confidence).alias("confidence"),
+                               F.lit(kind in grouped).alias("grouped"),
+                               F.lit("person_prefix" if kind == "PERSON" else pattern.removeprefix("(?i)")[:30]).alias("rule"))
+                      for n, (kind, pattern, confidence) in enumerate(ENTITY_PATTERNS)])
+    body = F.col(text)
+    fields = ("spec", "artifact_type", "pattern", "confidence", "grouped", "rule")
+    possible = F.filter(specs, lambda s: F.contains(body, s["needed"]))
+    matched = F.filter(
+        F.transform(possible, lambda s: F.struct(*[s[f].alias(f) for f in fields],
+                                              F.regexp_extract_all(body, s["pattern"], F.lit(0)).alias("m"))),
+        lambda s: F.size(s["m"]) > 0)
+    none = F.array().cast("array<string>")
+    cut = F.transform(matched, lambda s: F.struct(
+        *[s[f].alias(f) for f in fields if f != "pattern"], s["m"].alias("m"),
+        F.when(s["grouped"], F.regexp_extract_all(body, s["pattern"], F.lit(1))).otherwise(none).alias("g"),
+        F.flatten(F.transform(F.arrays_zip(F.split(body, s["pattern"], -1).alias("gap"), s["m"].alias("hit")),
+                              lambda z: F.array(F.coalesce(z["gap"], F.lit("")), F.coalesce(z["hit"], F.lit(""))))).alias("p")))
+    per_spec = (docs.filter(F.length(text) > 0)
+                .select(*keys, F.length(text).alias("n_chars"), F.explode(cut).alias("s"))
+                .select(*keys, "n_chars", "s.*"))
+    # chunk_ends[c] is the offset at which chunk c of the hits begins
+    per_spec = per_spec.withColumn("sizes", F.expr(
+        "transform(sequence(0, size(m) - 1), i -> length(p[2 * i]) + length(p[2 * i + 1]))"))
+    per_spec = per_spec.withColumn("chunk_sums", F.expr(
+        f"transform(sequence(0, cast((size(sizes) - 1) div {_CHUNK} as int)), "
+        f"c -> aggregate(slice(sizes, c * {_CHUNK} + 1, {_CHUNK}), 0, (a, x) -> a + x))"))
+    per_spec = per_spec.withColumn("chunk_starts", F.expr(
+        "transform(sequence(0, size(chunk_sums) - 1), "
+        "c -> if(c = 0, 0, aggregate(slice(chunk_sums, 1, c), 0, (a, x) -> a + x)))"))
+    hit = F.expr(f"""transform(sequence(0, size(m) - 1), i -> named_struct(
+        'value', if(size(g) > 0 and g[i] <> '', g[i], m[i]),
+        'matched', m[i],
+        'end_char', chunk_starts[cast(i div {_CHUNK} as int)] + aggregate(
+            slice(sizes, cast(i div {_CHUNK} as int) * {_CHUNK} + 1, i % {_CHUNK} + 1), 0, (a, x) -> a + x),
+        'before', array_join(slice(p, greatest(1, 2 * i - {2 * _REACH - 2}), least(2 * i + 1, {2 * _REACH})), ''),
+        'after', array_join(slice(p, 2 * i + 3, {2 * _REACH}), '')))""")
+    hits = per_spec.select(*keys, "n_chars", "spec", "artifact_type", "confidence", "rule",
+                           F.explode(hit).alias("h")).select(
+        *keys, "n_chars", "spec", "artifact_type", "confidence", "rule", "h.*")
+    # a captured group is the tail of its match: what precedes it there belongs to the left context
+    hits = hits.withColumns({
+        "length": F.length("value"), "start_char": F.col("end_char") - F.length("value"), "value": strip(F.col("value")),
+        "lead": F.concat("before", F.expr("left(matched, length(matched) - length(value))"))})
+    kind, size = F.col("artifact_type"), F.length("value")
+    hits = hits.filter(
+        (size >= F.when(kind.isin("USERNAME", "HOSTNAME"), 5).when(kind == "PERSON", 3).otherwise(2))
         & ~((kind == "DOMAIN") & (F.col("value").rlike("^" + UNICODE + IP_V4) | F.col("value").contains("/")
                                   | F.col("value").contains("\\")))
-        & ~(kind.isin("HOSTNAME", "USERNAME", "PROCESS") & digits))
-    # a captured group is the tail of its match, so what precedes it inside the match belongs to the left context
-    lead = F.concat("before", F.expr("substring(matched, 1, whole - length)"))
-    window = F.concat(F.expr("right(lead, 40)"), F.expr("right(matched, length)"), F.expr("left(after, 40)"))
+        & ~(kind.isin("HOSTNAME", "USERNAME", "PROCESS") & F.col("value").rlike(r"(?U)^\d+$")))
+    window = F.concat(F.expr(f"right(lead, {_REACH})"), F.expr("right(matched, length)"), F.expr(f"left(after, {_REACH})"))
     plain = F.translate(window, "\r\n", "  ")
-    clipped = (F.col("start_char") > _REACH) | (F.col("end_char") + _REACH < F.col("_chars"))
-    snippet = F.when(clipped, F.concat(F.lit("..."), plain, F.lit("..."))).otherwise(plain)
-    patterns = F.array(*[F.lit("person_prefix" if k == "PERSON" else p.removeprefix("(?i)")[:30])
-                         for k, p, _ in ENTITY_PATTERNS])
-    return hits.withColumn("lead", lead).select(
+    clipped = (F.col("start_char") > _REACH) | (F.col("end_char") + _REACH < F.col("n_chars"))
+    return hits.select(
         *keys, "spec", "artifact_type", "value", "confidence",
         F.when(kind == "PERSON", "rule-based").otherwise("regex-fallback").alias("extractor"),
-        snippet.alias("context_snippet"), F.col("start_char").cast("long").alias("start_char"),
-        F.col("end_char").cast("long").alias("end_char"),
-        F.element_at(patterns, F.col("spec") + 1).alias("rule"))
+        F.when(clipped, F.concat(F.lit("..."), plain, F.lit("..."))).otherwise(plain).alias("context_snippet"),
+        F.col("start_char").cast("long").alias("start_char"), F.col("end_char").cast("long").alias("end_char"), "rule")
 
 
 def event_lines(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
