@@ -96,37 +96,43 @@ def _side(df: DataFrame, tag: str, *more: str) -> DataFrame:
 
 
 def candidate_pairs(artifacts: DataFrame, focus: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Candidate pairs (a = focus artifact, b = any other one).
-
-    ``focus`` is a selection of at most FOCUS_LIMIT artifacts, which bounds what
-    is broadcast; the plan is three hash joins on entity, on the time grid and,
-    for rows without a timestamp, on the scope.  The three are disjoint, so no
-    de-duplication shuffle is needed.  A pair of two focus artifacts is listed
-    once, with the smaller id as a.
+    """Candidate pairs (a = focus artifact, b = any other one), read in one pass over the artifacts.
+
+    Every artifact looks up its entity, its time cell and, for undated ones, its
+    scope; a focus artifact is filed under its entity and under the three cells
+    its window can touch.  A pair found by entity is not looked for by time, so
+    nothing has to be de-duplicated; a pair of two focus artifacts is listed once,
+    with the smaller id as a.  A focus of up to FOCUS_LIMIT rows is written to a
+    checkpoint and broadcast; a larger one is joined by shuffling on the same keys.
     """
-    scope = F.lit(0) if settings.cross_case else F.col("case_id")
-    key = F.nullif(sim.clean(F.col("entity_value")), F.lit(""))
     width = settings.window_micros
-    grid = F.floor(F.col("t") / F.lit(width)).cast("long")
-    tagged = artifacts.select(*ARTIFACT_COLUMNS).withColumns({"scope": scope, "key": key, "grid": grid})
-    chosen = F.broadcast(_side(focus.select(*ARTIFACT_COLUMNS).withColumns({"scope": scope, "key": key, "grid": grid})
-                               .limit(FOCUS_LIMIT), "a", "scope", "key", "grid"))
-    others = _side(tagged, "b", "scope", "key", "grid")
-    ids = focus.select(F.col("id").alias("b_id"), F.lit(True).alias("b_focus")).limit(FOCUS_LIMIT)
-    others = others.join(F.broadcast(ids), "b_id", "left")
-    once = (F.col("a_id") != F.col("b_id")) & (F.col("b_focus").isNull() | (F.col("a_id") < F.col("b_id")))
-    same_key = F.col("a_key") == F.col("b_key")
-    other_key = ~F.coalesce(same_key, F.lit(False))
-
-    by_entity = others.join(chosen, (F.col("a_scope") == F.col("b_scope")) & same_key & once)
-    near = (F.abs(F.col("a_t") - F.col("b_t")) < width) & other_key & once
-    cells = chosen.withColumn("a_cell", F.explode(F.array(*[F.col("a_grid") + d for d in (-1, 0, 1)])))
-    by_time = others.join(F.broadcast(cells), (F.col("a_scope") == F.col("b_scope"))
-                          & (F.col("a_cell") == F.col("b_grid")) & near).drop("a_cell")
-    undated = (F.col("a_t").isNull() | F.col("b_t").isNull()) & other_key & once
-    by_gap = others.join(chosen, (F.col("a_scope") == F.col("b_scope")) & undated)
-    return by_entity.unionByName(by_time).unionByName(by_gap).drop("b_focus", "a_key", "b_key", "a_grid", "b_grid",
-                                                                  "a_scope", "b_scope")
+    scope = F.lit("") if settings.cross_case else F.col("case_id").cast("string")
+    key = F.nullif(sim.clean(F.col("entity_value")), F.lit(""))
+    cell = F.floor(F.col("t") / F.lit(width)).cast("long")
+    files = {"e": F.concat(F.lit("e:"), key), "n": F.lit("n"), "d": F.lit("d"),
+             "t": lambda d: F.concat(F.lit("t:"), (cell + d).cast("string"))}
+
+    few = durable(focus.select(*ARTIFACT_COLUMNS).limit(FOCUS_LIMIT + 1))
+    small = few.count() <= FOCUS_LIMIT
+    chosen = few if small else focus.select(*ARTIFACT_COLUMNS)
+    hint = F.broadcast if small else (lambda df: df)
+    undated = F.col("t").isNull()
+    filed = chosen.withColumns({"scope": scope, "key": key, "file": F.explode(F.array_compact(F.array(
+        files["e"], files["n"], F.when(undated, files["d"]), *[files["t"](d) for d in (-1, 0, 1)])))})
+    asked = artifacts.select(*ARTIFACT_COLUMNS).withColumns({"scope": scope, "key": key})
+    ids = chosen.select(F.col("id").alias("b_id"), F.lit(True).alias("b_focus"))
+    asked = _side(asked.withColumn("file", F.explode(F.array_compact(F.array(
+        files["e"], F.when(undated, files["n"]).otherwise(files["d"]), files["t"](0))))), "b", "scope", "key", "file")
+    asked = asked.join(hint(ids), "b_id", "left")
+    filed = _side(filed, "a", "scope", "key", "file")
+    by_entity = F.startswith("a_file", F.lit("e:"))
+    by_time = F.startswith("a_file", F.lit("t:"))
+    same_key = F.coalesce(F.col("a_key") == F.col("b_key"), F.lit(False))
+    pairs = asked.join(hint(filed), (F.col("a_scope") == F.col("b_scope")) & (F.col("a_file") == F.col("b_file"))
+                       & (F.col("a_id") != F.col("b_id")) & (F.col("b_focus").isNull() | (F.col("a_id") < F.col("b_id")))
+                       & (by_entity | ~same_key)
+                       & (~by_time | (F.abs(F.col("a_t") - F.col("b_t")) < width)))
+    return pairs.drop("b_focus", *[f"{x}_{c}" for x in "ab" for c in ("scope", "key", "file")])
 
 
 def score_pairs(pairs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -264,23 +270,39 @@ def pair_summary(artifacts: DataFrame, settings: Settings = DEFAULT) -> DataFram
             cuts[agree].add(far)
     # a combination is asked for its own cuts and for those of every weaker agreement
     wanted = {agree: sorted(set().union(*[cuts[less] for less in subsets if less <= agree])) for agree in subsets}
-    names = sorted(set().union(*cuts.values()))
 
-    # ordered pairs (self included) closer than each cut, for "at least these attributes agree"
-    tall = None
-    for agree in subsets:
-        keys = ["case_id"] + [attributes[x] for x in sorted(agree)]
-        counted = band_pairs(base, keys, wanted[agree], with_all="e" in agree)
-        counted = counted.select(
-            "case_id", F.lit("".join(sorted(agree))).alias("agree"), "lt_all",
-            *[(F.col(f"lt_{x}") if x in wanted[agree] else F.lit(None).cast("long")).alias(f"lt_{x}") for x in names])
-        tall = counted if tall is None else tall.unionByName(counted)
-    wide = tall.groupBy("case_id").pivot("agree", ["".join(sorted(s)) for s in subsets]).agg(
-        *[F.first(c).alias(c) for c in [f"lt_{x}" for x in names] + ["lt_all"]])
+    # For every "at least these agree" the rows are keyed by those attributes, in one pass for all of
+    # them.  The pairs closer than a cut are the later rows up to t + cut - 1, plus those at the same t.
+    tag = {agree: "".join(sorted(agree)) for agree in subsets}
+    keyed = F.explode(F.array(*[F.struct(
+        F.lit(tag[agree]).alias("agree"), F.concat_ws("\u0001", *[attributes[x] for x in sorted(agree)], F.lit("")).alias("k"))
+        for agree in subsets])).alias("_k")
+    keys = ["agree", "case_id", "k"]
+    grouped = base.select("case_id", "t", keyed).select("case_id", "t", "_k.*").groupBy(*keys, "t").agg(F.count("*").alias("_n"))
+    probes = F.create_map(*[x for agree in subsets for x in (
+        F.lit(tag[agree]), F.array(*[F.lit(c).cast("long") for c in [0, *wanted[agree]]]))])
+    points = grouped.select(*keys, "t", "_n", F.explode(probes[F.col("agree")]).alias("cut")).select(
+        *keys, (F.col("t") + F.greatest(F.col("cut") - 1, F.lit(0))).alias("_at"), "_n", "cut",
+        F.when(F.col("cut") == 0, F.col("_n")).otherwise(0).alias("_w"))
+    scanned = scan.ordered_scan(points, keys, "_at", {"_total": ("sum", F.col("_w"))}, "upto")
+    closer = scanned.groupBy("case_id", "agree", "cut").agg(
+        F.sum(F.col("_n") * F.col("_total")).alias("_sum"), F.sum(F.expr("_w * (_w - 1) div 2")).alias("_same"))
+    every = (base.select("case_id", keyed).select("case_id", "_k.*").filter(F.contains("agree", F.lit("e")))
+             .groupBy(*keys).agg(F.count("*").alias("_n")).groupBy("case_id", "agree")
+             .agg(F.sum(F.expr("_n * (_n - 1) div 2")).alias("n")))
+    at = lambda agree, cut: (F.col("agree") == tag[agree]) & (F.col("cut") == cut)
+    wide = closer.groupBy("case_id").agg(
+        *[F.max(F.when(at(agree, 0), F.col("_same") - F.col("_sum"))).alias(f"{tag[agree]}_base") for agree in subsets],
+        *[F.max(F.when(at(agree, cut), F.col("_sum"))).alias(f"{tag[agree]}_to_{cut}") for agree in subsets for cut in wanted[agree]])
+    wide = wide.select("case_id", *[(F.col(f"{tag[a]}_to_{cut}") + F.col(f"{tag[a]}_base")).alias(f"{tag[a]}_lt_{cut}")
+                                    for a in subsets for cut in wanted[a]])
+    far = every.groupBy("case_id").agg(*[F.max(F.when(F.col("agree") == tag[a], F.col("n"))).alias(f"{tag[a]}_lt_all")
+                                         for a in subsets if "e" in a])
+    wide = wide.join(far, "case_id", "left")
 
     def at_least(agree, cut):
         name = "lt_all" if cut is None else f"lt_{cut}"
-        return F.lit(0) if cut == 0 else F.coalesce(F.col(f"`{''.join(sorted(agree))}_{name}`"), F.lit(0))
+        return F.lit(0) if cut == 0 else F.coalesce(F.col(f"`{tag[agree]}_{name}`"), F.lit(0))
 
     def exactly(agree, cut):
         total = F.lit(0)
@@ -297,31 +319,6 @@ def pair_summary(artifacts: DataFrame, settings: Settings = DEFAULT) -> DataFram
             .agg(F.sum("n_pairs").alias("n_pairs")).filter("n_pairs > 0"))
 
 
-def band_pairs(base: DataFrame, keys: list[str], cuts: list[int], with_all: bool) -> DataFrame:
-    """Unordered pairs per case that agree on ``keys`` and lie closer than each cut (``lt_all``: any distance)."""
-    points = base.groupBy(*keys, "t").agg(F.count("*").alias("_n"))
-    probes = [F.struct(F.col("t").alias("_at"), F.col("_n").alias("_w"), F.lit(0).alias("_cut"),
-                       F.lit(0).cast("long").alias("_mult"))]
-    for i, cut in enumerate(cuts, 1):
-        probes += [F.struct((F.col("t") + (cut - 1)).alias("_at"), F.lit(0).cast("long").alias("_w"),
-                            F.lit(i).alias("_cut"), F.col("_n").alias("_mult")),
-                   F.struct((F.col("t") - cut).alias("_at"), F.lit(0).cast("long").alias("_w"),
-                            F.lit(i).alias("_cut"), (-F.col("_n")).alias("_mult"))]
-    scanned = scan.ordered_scan(points.select(*keys, F.explode(F.array(*probes)).alias("_p")).select(*keys, "_p.*"),
-                                keys, "_at", {"_total": ("sum", F.col("_w"))}, "upto")
-    ordered = scanned.groupBy("case_id").agg(
-        F.sum(F.when(F.col("_cut") == 0, F.col("_w"))).alias("_rows"),
-        *[F.sum(F.when(F.col("_cut") == i, F.col("_mult") * F.col("_total"))).alias(f"_o{i}")
-          for i in range(1, len(cuts) + 1)])
-    out = ordered.select("case_id", *[F.expr(f"(_o{i} - _rows) div 2").alias(f"lt_{cut}")
-                                      for i, cut in enumerate(cuts, 1)])
-    if not with_all:
-        return out.withColumn("lt_all", F.lit(None).cast("long"))
-    every = (base.groupBy(*keys).agg(F.count("*").alias("_n")).groupBy("case_id")
-             .agg(F.sum(F.expr("_n * (_n - 1) div 2")).alias("lt_all")))
-    return out.join(every, "case_id", "left")
-
-
 # ---- anchored time buckets -------------------------------------------------
 
 def anchored_buckets(artifacts: DataFrame, settings: Settings = DEFAULT, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from ..session import durable
 from . import aggregates
 
 MAX_QUERIES = 1000
@@ -26,13 +27,21 @@ def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 20, vector: str
                 query_id: str = "query_id", vector_id: str = "vec_id", scope: list[str] | None = None) -> DataFrame:
     """The k vectors of greatest cosine to each query vector.
 
-    At most MAX_QUERIES queries are broadcast as one row per scope, so the vectors
+    Up to MAX_QUERIES queries are broadcast as one row per scope, so the vectors
     are read once and never shuffled as a whole: Spark keeps k per query and task
-    before the shuffle.
+    before the shuffle.  More queries are answered in as many such batches as needed.
     """
     scope = scope or []
+    queries = durable(queries.select(*scope, query_id, vector))
+    batches = -(-queries.count() // MAX_QUERIES)
+    if batches > 1:
+        # hashing spreads the queries unevenly, so batches are cut at half the limit and checked
+        n = 2 * batches
+        parts = [queries.filter(F.pmod(F.xxhash64(query_id), F.lit(n)) == i) for i in range(n)]
+        return reduce(DataFrame.unionByName, [
+            top_similar(p, vectors, k, vector, query_id, vector_id, scope) for p in parts])
     norm = lambda c: F.sqrt(_dot(c, c))
-    asked = queries.limit(MAX_QUERIES).select(
+    asked = queries.select(
         *scope, F.struct(F.col(query_id).alias("id"), F.col(vector).alias("v"), norm(F.col(vector)).alias("n")).alias("q"))
     if scope:
         bundle = asked.groupBy(*scope).agg(F.collect_list("q").alias("qs"))
