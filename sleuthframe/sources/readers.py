@@ -56,11 +56,10 @@ def firewall_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Typed firewall rows, and the lines that do not fit the schema."""
     raw = (spark.read.schema(FIREWALL_SCHEMA).option("header", True).option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt_record").csv(path))
-    stamp = timeparse.normalise(F.col("timestamp"))
     good = raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    rows = good.withColumn("s", stamp).select(
-        F.lit("firewall_log").alias("artifact_type"), F.col("s.utc").alias("timestamp"), "s.original_timestamp",
-        "s.original_timezone", "source_ip", "destination_ip", "protocol", F.col("port").alias("destination_port"),
+    rows = timeparse.with_utc(good, "timestamp").select(
+        F.lit("firewall_log").alias("artifact_type"), F.col("utc").alias("timestamp"), "original_timestamp",
+        "original_timezone", "source_ip", "destination_ip", "protocol", F.col("port").alias("destination_port"),
         F.upper("action").alias("value"))
     return rows, raw.filter(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
 
@@ -103,14 +102,18 @@ def _browser_row(browser: str, kind: str, url: Column, title: Column | None = No
     names = ("visit_count", "target_path", "total_bytes", "danger_type", "name", "path", "secure")
     return [F.lit(browser).alias("browser"), F.lit(kind).alias("artifact_type"), url.alias("url"),
             tx.url_host(url).alias("domain"), (title if title is not None else null).alias("title"),
-            (timeparse.normalise(stamp)["utc"] if stamp is not None else F.lit(None).cast("timestamp")).alias("timestamp"),
+            (stamp if stamp is not None else null).cast("string").alias("_stamp"),
             *[(details[n].cast("string") if n in details else null).alias(n) for n in names]]
 
 
+def _dated(rows: DataFrame) -> DataFrame:
+    return timeparse.with_utc(rows, "_stamp", utc="timestamp").drop("_stamp", "original_timestamp", "original_timezone")
+
+
 def chromium(urls: DataFrame, downloads: DataFrame, cookies: DataFrame, keys: list[str]) -> DataFrame:
     """Exported history, download and cookie tables as browser artifacts."""
     c = F.col
-    return (urls.select(*keys, *_browser_row("chromium", "history", c("url"), c("title"), c("last_visit_time"),
+    return _dated(urls.select(*keys, *_browser_row("chromium", "history", c("url"), c("title"), c("last_visit_time"),
                                              visit_count=F.coalesce("visit_count", F.lit(0))))
             .unionByName(downloads.select(*keys, *_browser_row(
                 "chromium", "download", c("tab_url"), None, c("start_time"), target_path=c("target_path"),
@@ -125,7 +128,7 @@ def firefox(places: DataFrame, bookmarks: DataFrame, cookies: DataFrame, keys: l
     c = F.col
     marked = bookmarks.filter("fk IS NOT NULL").join(
         places.select(*keys, F.col("id").alias("fk"), F.col("url").alias("_url")), [*keys, "fk"])
-    return (places.select(*keys, *_browser_row("firefox", "history", c("url"), c("title"), c("last_visit_date"),
+    return _dated(places.select(*keys, *_browser_row("firefox", "history", c("url"), c("title"), c("last_visit_date"),
                                                visit_count=F.coalesce("visit_count", F.lit(0))))
             .unionByName(marked.select(*keys, *_browser_row("firefox", "bookmark", c("_url"), c("title"), c("dateAdded"))))
             .unionByName(cookies.select(*keys, *_browser_row(
@@ -148,7 +151,7 @@ def bookmark_tree(docs: DataFrame, keys: list[str], body: str = "json", max_dept
         urls = level.select(*keys, text("type").alias("t"), text("url").alias("url"), text("name").alias("title"),
                             text("date_added").alias("stamp")).filter("t = 'url' AND url <> ''").drop("t")
         found = urls if found is None else found.unionByName(urls)
-        opened = level.select(*keys, F.expr("node").alias("parent")).createOrReplaceTempView("_open")
+        level.select(*keys, F.col("node").alias("parent")).createOrReplaceTempView("_open")
         names = ", ".join(keys)
         level = docs.sparkSession.sql(
             f"SELECT {names}, e.value AS node FROM _open, LATERAL variant_explode_outer(parent) AS e "
@@ -158,7 +161,7 @@ def bookmark_tree(docs: DataFrame, keys: list[str], body: str = "json", max_dept
             break
     else:
         raise ValueError(f"bookmark trees are deeper than {max_depth} levels")
-    return found.select(*keys, *_browser_row("chromium", "bookmark", F.col("url"), F.col("title"), F.col("stamp")))
+    return _dated(found.select(*keys, *_browser_row("chromium", "bookmark", F.col("url"), F.col("title"), F.col("stamp"))))
 
 
 def saved_logins(docs: DataFrame, keys: list[str], body: str = "json") -> DataFrame:
@@ -166,10 +169,10 @@ def saved_logins(docs: DataFrame, keys: list[str], body: str = "json") -> DataFr
     schema = ("logins array<struct<hostname:string,timeLastUsed:bigint,usernameField:string,passwordField:string,"
               "timesUsed:bigint>>")
     one = docs.select(*keys, F.explode(F.from_json(body, schema)["logins"]).alias("l")).select(*keys, "l.*")
-    return one.select(*keys, *_browser_row("firefox", "saved_password_metadata", F.col("hostname"), None,
+    return _dated(one.select(*keys, *_browser_row("firefox", "saved_password_metadata", F.col("hostname"), None,
                                            F.col("timeLastUsed")),
                       F.col("usernameField").alias("username_field"), F.col("passwordField").alias("password_field"),
-                      F.coalesce("timesUsed", F.lit(0)).alias("times_used"))
+                      F.coalesce("timesUsed", F.lit(0)).alias("times_used")))
 
 
 # ---- packets ------------------------------------------------------------------
