@@ -122,7 +122,7 @@ FORMS = 11
 
 @query("time_formats", f"""
 WITH e AS (SELECT event_id, event_id % {FORMS} AS form, epoch_us(ts) AS us, epoch_us(date_trunc('second', ts)) AS s FROM events)
-SELECT event_id, CASE WHEN form IN (0, 1, 5) THEN us WHEN form = 2 THEN us - us % 1000 WHEN form = 10 THEN NULL
+SELECT event_id, CASE WHEN form IN (0, 5) THEN us WHEN form = 1 THEN (us + 11644473600000000)::DOUBLE::BIGINT - 11644473600000000 WHEN form = 2 THEN us - us % 1000 WHEN form = 10 THEN NULL
     WHEN form = 4 THEN s WHEN form = 7 THEN s WHEN form = 9 THEN s - 19800000000 ELSE s END AS t,
   CASE WHEN form = 10 THEN NULL WHEN form = 4 THEN '+05:30' WHEN form = 9 THEN '+05:30' WHEN form IN (0, 1, 2, 3, 5) THEN '+00:00' ELSE '+00:00' END AS zone
 FROM e

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import text as tx, timeparse
+from ..functions.timeparse import let
 
 # Words of firewall lines.
 PORT_WORD = r"(?i)\b(?:DPT|DST|DESTINATION_PORT|dst_port)[=:\s]+(\d{1,5})\b"
@@ -151,11 +152,9 @@ def bookmark_tree(docs: DataFrame, keys: list[str], body: str = "json", max_dept
         urls = level.select(*keys, text("type").alias("t"), text("url").alias("url"), text("name").alias("title"),
                             text("date_added").alias("stamp")).filter("t = 'url' AND url <> ''").drop("t")
         found = urls if found is None else found.unionByName(urls)
-        level.select(*keys, F.col("node").alias("parent")).createOrReplaceTempView("_open")
-        names = ", ".join(keys)
         level = docs.sparkSession.sql(
-            f"SELECT {names}, e.value AS node FROM _open, LATERAL variant_explode_outer(parent) AS e "
-            "WHERE e.value IS NOT NULL AND schema_of_variant(e.value) RLIKE '^(OBJECT|ARRAY)'")
+            f"SELECT {', '.join(keys)}, e.value AS node FROM {{nodes}}, LATERAL variant_explode_outer(node) AS e "
+            "WHERE e.value IS NOT NULL AND schema_of_variant(e.value) RLIKE '^(OBJECT|ARRAY)'", nodes=level)
         level = durable(level)
         if level.isEmpty():
             break
@@ -180,46 +179,55 @@ def saved_logins(docs: DataFrame, keys: list[str], body: str = "json") -> DataFr
 HTTP_VERBS = ("GET ", "POST ", "HEAD ", "PUT ", "CONNECT ", "DELETE ")
 
 
-def _int(packet: str, at: Column | int, size: int) -> Column:
-    at = at if isinstance(at, Column) else F.lit(at)
-    return F.conv(F.hex(F.col(packet).substr(at + 1, F.lit(size))), 16, 10).cast("int")
-
-
-def _address(at: Column) -> Column:
-    return F.concat_ws(".", *[_int("packet", at + i, 1).cast("string") for i in range(4)])
+def _int(packet: Column, at: Column, size: int) -> Column:
+    return F.conv(F.hex(packet.substr(at + 1, F.lit(size))), 16, 10).cast("int")
+
+
+def decode_packet(packet: Column) -> Column:
+    """Rows of one Ethernet/IPv4 frame as an array of structs; NULL for anything else."""
+    size = F.octet_length(packet)
+    byte = lambda at: _int(packet, at, 1)
+    address = lambda at: F.concat_ws(".", *[byte(at + i).cast("string") for i in range(4)])
+    rest = lambda at: packet.substr(at + 1, F.greatest(size - at, F.lit(0)))
+
+    def ip_header(o):
+        return F.when((_int(packet, o - 2, 2) == 0x0800) & (size >= o + 20), let(byte(o), lambda first: let(
+            (first % 16) * 4, lambda length: F.when(
+                (F.floor(first / 16) == 4) & (length >= 20) & (size >= o + length),
+                let(F.struct(byte(o + 9).alias("proto"), address(o + 12).alias("source_ip"),
+                             address(o + 16).alias("destination_ip"), (o + length).alias("at")), transport)))))
+
+    def transport(h):
+        ported = h["proto"].isin(6, 17) & (size >= h["at"] + 4)
+        protocol = (F.when(ported & (h["proto"] == 6), "TCP").when(ported, "UDP").when(h["proto"] == 1, "ICMP")
+                    .otherwise(F.concat(F.lit("IP-"), h["proto"].cast("string"))))
+        return let(F.struct(h["source_ip"].alias("source_ip"), h["destination_ip"].alias("destination_ip"),
+                            F.when(ported, _int(packet, h["at"], 2)).alias("source_port"),
+                            F.when(ported, _int(packet, h["at"] + 2, 2)).alias("destination_port"),
+                            protocol.alias("protocol"), h["at"].alias("at")), payload)
+
+    def payload(t):
+        at = t["at"]
+        dns = (t["protocol"] == "UDP") & (size >= at + 8) & ((t["source_port"] == 53) | (t["destination_port"] == 53))
+        tcp = (t["protocol"] == "TCP") & (size >= at + 20)
+        head = F.when(tcp, F.floor(byte(at + 12) / 16).cast("int") * 4)
+        name = F.when(dns, let(F.hex(rest(at + 8)), _dns_name))
+        host = let(head, lambda n: F.when(n >= 20, _http_host(rest(at + n))))
+        row = lambda kind, value: F.struct(
+            F.lit(kind).alias("artifact_type"),
+            *[t[c].alias(c) for c in ("source_ip", "destination_ip", "source_port", "destination_port", "protocol")],
+            value.cast("string").alias("value"))
+        return let(F.struct(name.alias("name"), host.alias("host")), lambda v: F.array_compact(F.array(
+            row("flow", F.lit(None)), F.when(v["name"].isNotNull(), row("dns_query", v["name"])),
+            F.when(v["host"].isNotNull(), row("http_host", v["host"])))))
+
+    tagged = (_int(packet, F.lit(12), 2) == 0x8100) & (size >= 18)
+    return F.when(size >= 14, let(F.when(tagged, 18).otherwise(14), ip_header))
 
 
 def packet_rows(packets: DataFrame, keys: list[str]) -> DataFrame:
     """Ethernet/IPv4/TCP/UDP packets (column ``packet``) to flow, dns_query and http_host rows."""
-    size = F.octet_length("packet")
-    p = packets.select(*keys, "packet", size.alias("size")).filter("size >= 14")
-    tagged = (_int("packet", 12, 2) == 0x8100) & (F.col("size") >= 18)
-    p = p.withColumn("o", F.when(tagged, 18).otherwise(14))
-    p = p.filter((_int("packet", F.col("o") - 2, 2) == 0x0800) & (F.col("size") >= F.col("o") + 20))
-    p = p.withColumn("b0", _int("packet", F.col("o"), 1)).withColumn("ihl", (F.col("b0") % 16) * 4)
-    p = p.filter((F.floor(F.col("b0") / 16) == 4) & (F.col("ihl") >= 20) & (F.col("size") >= F.col("o") + F.col("ihl")))
-    p = p.withColumns({"proto": _int("packet", F.col("o") + 9, 1), "source_ip": _address(F.col("o") + 12),
-                       "destination_ip": _address(F.col("o") + 16), "tr": F.col("o") + F.col("ihl")})
-    ported = F.col("proto").isin(6, 17) & (F.col("size") >= F.col("tr") + 4)
-    p = p.withColumns({
-        "source_port": F.when(ported, _int("packet", F.col("tr"), 2)),
-        "destination_port": F.when(ported, _int("packet", F.col("tr") + 2, 2)),
-        "protocol": F.when(ported & (F.col("proto") == 6), "TCP").when(ported, "UDP").when(F.col("proto") == 1, "ICMP")
-                     .otherwise(F.concat(F.lit("IP-"), F.col("proto").cast("string")))})
-    rest = lambda at: F.col("packet").substr(at + 1, F.greatest(F.col("size") - at, F.lit(0)))
-    is_dns = (F.col("protocol") == "UDP") & (F.col("size") >= F.col("tr") + 8) & (
-        (F.col("source_port") == 53) | (F.col("destination_port") == 53))
-    is_tcp = (F.col("protocol") == "TCP") & (F.col("size") >= F.col("tr") + 20)
-    head = F.floor(F.coalesce(F.when(is_tcp, _int("packet", F.col("tr") + 12, 1)), F.lit(0)) / 16).cast("int") * 4
-    p = p.withColumn("dns", F.when(is_dns, F.hex(rest(F.col("tr") + 8))))
-    p = p.withColumn("http", F.when(is_tcp & (head >= 20), rest(F.col("tr") + head)))
-    p = p.withColumns({"dns_name": _dns_name(F.col("dns")), "host": _http_host(F.col("http"))})
-    rows = F.array(F.struct(F.lit("flow").alias("artifact_type"), F.lit(None).cast("string").alias("value")),
-                   F.when(F.col("dns_name").isNotNull(), F.struct(F.lit("dns_query"), F.col("dns_name"))),
-                   F.when(F.col("host").isNotNull(), F.struct(F.lit("http_host"), F.col("host"))))
-    return p.select(*keys, "source_ip", "destination_ip", "source_port", "destination_port", "protocol",
-                    F.explode(F.filter(rows, lambda r: r.isNotNull())).alias("r")).select(
-        *keys, "r.artifact_type", "source_ip", "destination_ip", "source_port", "destination_port", "protocol", "r.value")
+    return packets.select(*keys, F.explode(decode_packet(F.col("packet"))).alias("r")).select(*keys, "r.*")
 
 
 def _dns_name(payload_hex: Column) -> Column:
