@@ -223,9 +223,9 @@ def _widest_delta(test, width: int) -> int:
 def pair_summary(artifacts: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Pairs per case, correlation type and strength, counted without listing one pair.
 
-    Covers dated artifacts of one case that are equal or different in entity,
-    source and event type (values that merely contain each other are counted as
-    different; ``containing_values`` names them).  For a given agreement of the
+    Covers dated artifacts of one case that have a source and an event type and are
+    equal or different in entity, source and event type.  Values that merely contain
+    each other are counted as different; ``containing_values`` names them.  For a given agreement of the
     three attributes the score only falls with distance in time, so each
     (type, strength) is an interval of distances; the number of pairs closer than
     its ends comes from running totals per attribute combination, and inclusion
@@ -278,7 +278,9 @@ def pair_summary(artifacts: DataFrame, settings: Settings = DEFAULT) -> DataFram
         F.lit(tag[agree]).alias("agree"), F.concat_ws("\u0001", *[attributes[x] for x in sorted(agree)], F.lit("")).alias("k"))
         for agree in subsets])).alias("_k")
     keys = ["agree", "case_id", "k"]
-    grouped = base.select("case_id", "t", keyed).select("case_id", "t", "_k.*").groupBy(*keys, "t").agg(F.count("*").alias("_n"))
+    agrees = ~(F.contains("agree", F.lit("e")) & (F.col("_e") == ""))       # a missing entity agrees with nothing
+    rows = base.select("*", keyed).select("case_id", "t", "_e", "_k.*").filter(agrees).drop("_e")
+    grouped = rows.groupBy(*keys, "t").agg(F.count("*").alias("_n"))
     probes = F.create_map(*[x for agree in subsets for x in (
         F.lit(tag[agree]), F.array(*[F.lit(c).cast("long") for c in [0, *wanted[agree]]]))])
     points = grouped.select(*keys, "t", "_n", F.explode(probes[F.col("agree")]).alias("cut")).select(
@@ -287,8 +289,7 @@ def pair_summary(artifacts: DataFrame, settings: Settings = DEFAULT) -> DataFram
     scanned = scan.ordered_scan(points, keys, "_at", {"_total": ("sum", F.col("_w"))}, "upto")
     closer = scanned.groupBy("case_id", "agree", "cut").agg(
         F.sum(F.col("_n") * F.col("_total")).alias("_sum"), F.sum(F.expr("_w * (_w - 1) div 2")).alias("_same"))
-    every = (base.select("case_id", keyed).select("case_id", "_k.*").filter(F.contains("agree", F.lit("e")))
-             .groupBy(*keys).agg(F.count("*").alias("_n")).groupBy("case_id", "agree")
+    every = (rows.filter(F.contains("agree", F.lit("e"))).groupBy(*keys).agg(F.count("*").alias("_n")).groupBy("case_id", "agree")
              .agg(F.sum(F.expr("_n * (_n - 1) div 2")).alias("n")))
     at = lambda agree, cut: (F.col("agree") == tag[agree]) & (F.col("cut") == cut)
     wide = closer.groupBy("case_id").agg(

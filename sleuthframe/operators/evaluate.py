@@ -54,7 +54,8 @@ def roc_auc(df: DataFrame, score: str, label: str, *group: str) -> DataFrame:
     w = Window.partitionBy(*group).orderBy("fpr", "step") if group else Window.partitionBy(F.lit(0)).orderBy("fpr", "step")
     area = (F.col("fpr") - F.lag("fpr").over(w)) * (F.col("tpr") + F.lag("tpr").over(w)) / 2.0
     auc = points.withColumn("area", area).groupBy(*group).agg(
-        F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.abs(F.sum("area")))), 4).alias("roc_auc"))
+        F.round(F.least(F.lit(1.0), F.abs(F.sum("area"))), 4).alias("roc_auc"), F.count("area").alias("_n_areas"))
+    auc = auc.filter("_n_areas > 0").drop("_n_areas")
     every = df.groupBy(*group).agg(F.count("*").alias("_n"))
     if group:
         joined = every.join(auc, list(group), "left")

@@ -11,6 +11,7 @@ from ..functions.timeparse import let
 PORT_WORD = r"(?i)\b(?:DPT|DST|DESTINATION_PORT|dst_port)[=:\s]+(\d{1,5})\b"
 ACTION_WORD = r"(?i)\b(ALLOW|ACCEPT|DENY|DROP|BLOCK)\b"
 SAMPLED = ("txt", "csv", "log", "json", "xml", "md", "markdown")
+FIREWALL_HEADER = "timestamp,source_ip,destination_ip,protocol,action,port"
 FIREWALL_SCHEMA = ("timestamp string, source_ip string, destination_ip string, protocol string, action string, "
                    "port int, _corrupt_record string")
 
@@ -18,7 +19,7 @@ FIREWALL_SCHEMA = ("timestamp string, source_ip string, destination_ip string, p
 # ---- files ------------------------------------------------------------------
 
 def evidence_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """One row per file: name, extension, size, content."""
+    """One row per file: name, extension, size, content.  Spark's file listing leaves out files of no bytes."""
     f = (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path))
     name = F.regexp_extract("path", "([^/]*)$", 1)
     return f.select("path", name.alias("filename"), F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("extension"),
@@ -55,14 +56,15 @@ def log_lines(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame
 
 def firewall_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Typed firewall rows, and the lines that do not fit the schema."""
-    raw = (spark.read.schema(FIREWALL_SCHEMA).option("header", True).option("mode", "PERMISSIVE")
-           .option("columnNameOfCorruptRecord", "_corrupt_record").csv(path))
-    good = raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    lines = spark.read.text(path).filter(F.col("value") != FIREWALL_HEADER)
+    raw = lines.select("value", F.from_csv("value", F.lit(FIREWALL_SCHEMA), {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("r")).select("value", "r.*")
+    good = raw.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record", "value")
     rows = timeparse.with_utc(good, "timestamp").select(
         F.lit("firewall_log").alias("artifact_type"), F.col("utc").alias("timestamp"), "original_timestamp",
         "original_timezone", "source_ip", "destination_ip", "protocol", F.col("port").alias("destination_port"),
         F.upper("action").alias("value"))
-    return rows, raw.filter(F.col("_corrupt_record").isNotNull()).select("_corrupt_record")
+    return rows, raw.filter(F.col("_corrupt_record").isNotNull()).select(F.col("value").alias("line"))
 
 
 # ---- Windows event records ----------------------------------------------------
