@@ -13,7 +13,7 @@ CODES = {"click": 4624, "view": 7036, "purchase": 4688, "error": 4625, "signup":
 
 def records(spark, folder):
     """events as Windows log records."""
-    e = table(spark, folder, "events")
+    e = table(spark, folder, "events", spread=True)
     code = F.create_map(*[F.lit(x) for kv in CODES.items() for x in kv])[F.col("event_type")]
     s = lambda c: F.col(c).cast("string")
     data = F.create_map(

@@ -103,7 +103,7 @@ SELECT query_id, vec_id, round(cosine, 6) AS cosine FROM (
 """)
 def cosine_topk(spark, folder):
     """The 20 vectors nearest to the first vector of each label."""
-    e = table(spark, folder, "embeddings")
+    e = table(spark, folder, "embeddings", spread=True)
     first = e.groupBy("label").agg(F.min(F.struct("vec_id", "embedding")).alias("q")).select(
         F.col("q.vec_id").alias("query_id"), F.col("q.embedding").alias("embedding"))
     return rank.top_similar(first, e, 20).select("query_id", "vec_id", F.round("cosine", 6).alias("cosine"))
@@ -127,7 +127,7 @@ FROM ans a LEFT JOIN p USING (conv_id, turn)
 def grounding(spark, folder):
     """Answers checked against the addresses and domains that the documents mention."""
     c = table(spark, folder, "conversations").filter("role = 'assistant'")
-    known = table(spark, folder, "documents").select(F.explode(tx.find_all(F.col("text"), rank.LOOSE_IP + "|" + rank.LOOSE_DOMAIN)).alias("value"))
+    known = table(spark, folder, "documents", spread=True).select(F.explode(tx.find_all(F.col("text"), rank.LOOSE_IP + "|" + rank.LOOSE_DOMAIN)).alias("value"))
     return rank.grounding(c, ["conv_id", "turn"], known).select(
         "conv_id", "turn", "entities_checked", "fabricated_entities", "grounding_score")
 

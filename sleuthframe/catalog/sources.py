@@ -18,7 +18,7 @@ def packets(spark, folder):
     Returnflag A is TCP with an HTTP request, N is UDP (a DNS question when the port
     is 53), R is ICMP.  Every eighth frame carries a VLAN tag, every 31st is cut short.
     """
-    f = views.flows(spark, folder)
+    f = views.flows(spark, folder, spread=True)
     raw = lambda h: F.unhex(F.lit(h))
     num = lambda c, size: F.unhex(F.lpad(F.hex(c.cast("long")), size * 2, "0"))
     addr = lambda c: F.concat(*[num(F.split(c, r"\.")[i].cast("int"), 1) for i in range(4)])
@@ -58,7 +58,7 @@ def packet_rows(spark, folder):
 
 def event_xml(spark, folder):
     """events as Windows event XML; every 50th is broken off, every 7th has a number that is none."""
-    e = table(spark, folder, "events")
+    e = table(spark, folder, "events", spread=True)
     i = lambda c: F.col(c).cast("string")
     code = F.when(F.col("event_id") % 7 == 0, "n/a").otherwise((F.col("event_id") % 4 + 4624).cast("string"))
     xml = F.concat(

@@ -62,7 +62,7 @@ DRESS = """
 
 def dressed(spark, folder):
     """events written as log text, so that every pattern has something to find."""
-    e = table(spark, folder, "events")
+    e = table(spark, folder, "events", spread=True)
     s = lambda c: F.col(c).cast("string")
     m = lambda c, k: (F.col(c) % k).cast("string")
     body = F.concat(
@@ -89,7 +89,7 @@ WITH src AS (SELECT doc_id, text FROM documents), {_hits_sql("src", "doc_id")}
 SELECT doc_id, artifact_type, entity, confidence FROM best
 """)
 def entities(spark, folder):
-    return _counted(spark, table(spark, folder, "documents"), "doc_id")
+    return _counted(spark, table(spark, folder, "documents", spread=True), "doc_id")
 
 
 @query("entities_log", f"""
@@ -103,7 +103,7 @@ def entities_log(spark, folder):
 @query("entity_offsets")
 def entity_offsets(spark, folder):
     """Every hit in the documents with offsets and snippet (tests compare it with Python's re)."""
-    return tx.entity_hits(table(spark, folder, "documents"), ["doc_id"])
+    return tx.entity_hits(table(spark, folder, "documents", spread=True), ["doc_id"])
 
 
 @query("entities_pages", f"""
@@ -146,7 +146,7 @@ LOG_TEXT = """
 
 def log_text(spark, folder):
     """One firewall log per user: its events as lines (a log is as long as its user is busy)."""
-    e = table(spark, folder, "events")
+    e = table(spark, folder, "events", spread=True)
     action = F.element_at(F.array(*[F.lit(a) for a in ("allow", "DENY", "drop", "none")]), (F.col("event_id") % 4 + 1).cast("int"))
     line = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" FW SRC 10.1."), (F.col("user_id") % 256).cast("string"),
                     F.lit(".7 to 192.168."), (F.col("event_id") % 256).cast("string"), F.lit(".9 DPT="),
@@ -236,7 +236,7 @@ SELECT doc_id, hash, CASE length(hash) WHEN 32 THEN 'MD5' WHEN 40 THEN 'SHA-1' E
 FROM t WHERE length(hash) IN (32, 40, 64)
 """)
 def hash_tokens(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.inline(tx.hash_tokens(F.col("text"))))
+    return table(spark, folder, "documents", spread=True).select("doc_id", F.inline(tx.hash_tokens(F.col("text"))))
 
 
 @query("hash_lookup", f"""

@@ -16,7 +16,7 @@ from .graph_rank import FINDING
 def _parts(spark, folder):
     """events as log records, orders as findings, lineitem as sessions, documents as ingested files of every kind."""
     i = lambda c: F.col(c).cast("string")
-    e = table(spark, folder, "events")
+    e = table(spark, folder, "events", spread=True)
     records = e.select(
         (F.col("user_id") % 10).alias("case_id"), F.col("user_id").alias("evidence_id"),
         F.concat(F.lit("log"), i("user_id"), F.lit(".evtx")).alias("filename"), F.col("event_id").alias("idx"),
@@ -25,7 +25,7 @@ def _parts(spark, folder):
         F.when(F.col("event_type") != "error", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX")).alias("timestamp"),
         F.create_map(F.lit("props"), F.col("props")).alias("data"))
     f = views.findings(spark, folder).withColumn("filename", F.lit(None).cast("string"))
-    n = views.flows(spark, folder).withColumns({
+    n = views.flows(spark, folder, spread=True).withColumns({
         "id": F.col("order_key") * 10 + F.col("line_no"), "evidence_id": F.col("order_key"),
         "timestamp": F.date_format("timestamp", "dd/MMM/yyyy:HH:mm:ss")})
     d = views.evidence(spark, folder)
@@ -72,7 +72,7 @@ SELECT case_id, event_id, event, t, priority, is_suspicious, original_timezone,
 FROM raw
 """)
 def timeline_utc(spark, folder):
-    t = tl.in_order(tl.build(_parts(spark, folder)))
+    t = tl.build(_parts(spark, folder), ordered=True)
     return t.select("case_id", "event_id", "event", F.unix_micros("timestamp").alias("t"), "priority", "is_suspicious",
                     "original_timezone", "display_timestamp", "timezone_badge")
 
@@ -129,7 +129,7 @@ FROM e
 """)
 def time_formats(spark, folder):
     """The time of each event written in one of eleven notations and read back."""
-    e = table(spark, folder, "events")
+    e = table(spark, folder, "events", spread=True)
     us, s = F.unix_micros("ts"), F.unix_seconds("ts")
     write = lambda pattern: F.date_format("ts", pattern)
     forms = [

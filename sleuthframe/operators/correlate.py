@@ -327,22 +327,24 @@ def anchored_buckets(artifacts: DataFrame, settings: Settings = DEFAULT, keys: t
 
     The successor of t is the first timestamp more than a window later.  Which
     timestamps start a bucket is found by pointer doubling from the first one,
-    log2(number of buckets) joins on unique keys, each written to a checkpoint.
+    log2(number of buckets) joins on unique keys, each written to a table.
     """
-    keys = list(keys)
+    keys, width = list(keys), settings.window_micros
     points = artifacts.filter(F.col("t").isNotNull()).select(*keys, "t").distinct()
-    jump = durable(scan.next_after(points, keys, "t", settings.window_micros, "to").filter(F.col("to").isNotNull()))
-    marks = durable(points.groupBy(*keys).agg(F.min("t").alias("t")))
-    n_marks = marks.count()
-    while True:
-        reached = marks.join(jump, [*keys, "t"]).select(*keys, F.col("to").alias("t"))
-        marks = durable(marks.unionByName(reached).distinct())
-        n_new = marks.count()
-        if n_new == n_marks:
-            break
-        n_marks = n_new
+    ends = points.groupBy(*keys).agg(F.min("t").alias("t"), F.max("t").alias("last"))
+    marks = durable(ends)
+    # buckets start more than a window apart, which bounds how many a key can have
+    most = marks.agg(F.max(F.floor((F.col("last") - F.col("t")) / F.lit(width))).cast("long")).first()[0] or 0
+    marks = marks.select(*keys, "t")
+    jump = scan.next_after(points, keys, "t", width, "to").filter(F.col("to").isNotNull())
+    reach = 1
+    while reach <= most:
+        jump = durable(jump)
+        # the marks are the first ``reach`` starts of each key, the jump leads ``reach`` starts on
+        marks = durable(marks.unionByName(marks.join(jump, [*keys, "t"]).select(*keys, F.col("to").alias("t"))))
         onward = jump.select(*keys, F.col("t").alias("to"), F.col("to").alias("_next"))
-        jump = durable(jump.join(onward, [*keys, "to"]).select(*keys, "t", F.col("_next").alias("to")))
+        jump = jump.join(onward, [*keys, "to"]).select(*keys, "t", F.col("_next").alias("to"))
+        reach *= 2
     return scan.last_mark(points, marks, keys, "t", "bucket_start")
 
 

@@ -15,11 +15,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 _STEP = 1_000_000
-_FRAMES = {
-    "upto": (Window.unboundedPreceding, Window.currentRow),
-    "before": (Window.unboundedPreceding, -1),
-    "after": (1, Window.unboundedFollowing),
-}
+# Frames only ever grow from the front, which Spark evaluates in one pass over a group; a frame that
+# shrinks towards the end would be evaluated anew for every row.  "after" looks at negated positions.
+_UPTO, _BEFORE = (Window.unboundedPreceding, Window.currentRow), (Window.unboundedPreceding, -1)
 _AGGREGATE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -42,8 +40,8 @@ def ordered_scan(points: DataFrame, keys: list[str], at: str,
     gives points that are distinct on (keys, at) up to a small constant.  Key
     columns must not be NULL.
     """
-    inner = _FRAMES[frame]
-    outer = (Window.unboundedPreceding, -1) if frame != "after" else (1, Window.unboundedFollowing)
+    inner = _UPTO if frame == "upto" else _BEFORE
+    position = (lambda c: -F.col(c)) if frame == "after" else F.col
     cols = points.columns
     src = points.select("*", _floor_div(at).alias("_sec"),
                         *[c.alias(f"_m_{n}") for n, (_, c) in measures.items()])
@@ -53,16 +51,16 @@ def ordered_scan(points: DataFrame, keys: list[str], at: str,
         return df.groupBy(*group).agg(*[_AGGREGATE[how](f"_m_{n}").alias(f"_m_{n}")
                                         for n, (how, _) in measures.items()])
 
-    def running(df, group, order, frame_, tag):
-        w = Window.partitionBy(*group).orderBy(order).rangeBetween(*frame_)
+    def running(df, group, order, bounds, tag):
+        w = Window.partitionBy(*group).orderBy(position(order)).rangeBetween(*bounds)
         return df.withColumns({f"_{tag}_{n}": _AGGREGATE[how](f"_m_{n}").over(w)
                                for n, (how, _) in measures.items()})
 
     seconds = totals(src, [*keys, "_blk", "_sec"])
     blocks = totals(seconds, [*keys, "_blk"])
     drop = [f"_m_{n}" for n in measures]
-    blocks = running(blocks, keys, "_blk", outer, "b").drop(*drop)
-    seconds = running(seconds, [*keys, "_blk"], "_sec", outer, "s").drop(*drop)
+    blocks = running(blocks, keys, "_blk", _BEFORE, "b").drop(*drop)
+    seconds = running(seconds, [*keys, "_blk"], "_sec", _BEFORE, "s").drop(*drop)
     seconds = seconds.join(blocks, [*keys, "_blk"]).drop("_blk")
     rows = running(src, [*keys, "_sec"], at, inner, "r").drop("_blk")
     rows = rows.join(seconds, [*keys, "_sec"])

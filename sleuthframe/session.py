@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -25,13 +26,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint that survives lost executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage through a table in the shared folder: computed once, and it survives lost executors."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Read one Parquet table; zone-less timestamps are taken as UTC instants."""
+def table(spark: SparkSession, folder: str, name: str, spread: bool = False) -> DataFrame:
+    """Read one Parquet table; zone-less timestamps are taken as UTC instants.
+
+    ``spread`` is for heavy work per row: a table of fewer splits than there are
+    cores is dealt out over all of them.  Large tables have more splits and stay.
+    """
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     naive = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
+    df = df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df

@@ -29,7 +29,7 @@ def artifacts(spark: SparkSession, folder: str) -> DataFrame:
 
 def evidence(spark: SparkSession, folder: str) -> DataFrame:
     """documents as text evidence files; ingest order follows doc_id."""
-    d = table(spark, folder, "documents")
+    d = table(spark, folder, "documents", spread=True)
     return d.select(
         F.col("doc_id").alias("evidence_id"),
         (F.col("doc_id") % 20).alias("case_id"),
@@ -97,9 +97,9 @@ def _address(key: str, first: str) -> "F.Column":
                        (F.shiftright(c, 8) % 256).cast("string"), (c % 256).cast("string"))
 
 
-def flows(spark: SparkSession, folder: str) -> DataFrame:
+def flows(spark: SparkSession, folder: str, spread: bool = False) -> DataFrame:
     """lineitem as network flows: supplier talks to part."""
-    li = table(spark, folder, "lineitem")
+    li = table(spark, folder, "lineitem", spread)
     port = F.element_at(F.array(*[F.lit(p) for p in FLOW_PORTS]), (F.col("l_partkey") % len(FLOW_PORTS) + 1).cast("int"))
     return li.select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"),

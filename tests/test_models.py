@@ -140,7 +140,7 @@ def test_timeline_order_and_fixture(spark):
                               "id long, case_id long, evidence_id long, source_ip string, destination_ip string, source_port int, destination_port int, protocol string, value string, timestamp string")
     r = spark.createDataFrame([(1, 10, "security.evtx", 0, 4625, "Security", "2024-01-01T01:00:00Z", {"u": "Admin"}), (1, 10, "security.evtx", 1, 4688, None, "2024-01-01T02:00:00Z", {})],
                               "case_id long, evidence_id long, filename string, idx long, event_id int, provider string, timestamp string, data map<string,string>")
-    rows = tl.in_order(tl.build([tl.sessions(n), tl.alerts(f), tl.log_records(r)])).collect()
+    rows = tl.build([tl.sessions(n), tl.alerts(f), tl.log_records(r)], ordered=True).collect()
     assert [x.event_id for x in rows] == ["evtx_10_4625_0", "evtx_10_4688_1", "finding_evt_401", "net_art_301"]
     assert rows[0].priority == "critical" and rows[3].timezone_badge == "MISSING" and rows[3].original_timestamp == "MISSING"
 
