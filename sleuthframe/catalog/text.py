@@ -244,8 +244,8 @@ WITH {EVIDENCE},
 long AS (SELECT evidence_id, 'MD5' AS algorithm, md5 AS digest FROM evidence UNION ALL
   SELECT evidence_id, 'SHA1', sha1 FROM evidence UNION ALL SELECT evidence_id, 'SHA256', sha256 FROM evidence),
 asked AS (SELECT evidence_id % 50 AS question, unnest([md5, sha1, sha256, md5(sha1)]) AS hash FROM evidence)
-SELECT a.question, a.hash, l.algorithm, l.evidence_id FROM (SELECT DISTINCT question, hash FROM asked) a
-LEFT JOIN long l ON l.digest = a.hash
+SELECT a.question, a.hash, count(l.evidence_id) AS n_files, min(l.evidence_id) AS first_evidence_id
+FROM (SELECT DISTINCT question, hash FROM asked) a LEFT JOIN long l ON l.digest = a.hash GROUP BY 1, 2
 """)
 def hash_lookup(spark, folder):
     """Questions that quote digests (of files and of nothing): which evidence do they name?"""
@@ -253,8 +253,7 @@ def hash_lookup(spark, folder):
     asked = ev.select((F.col("evidence_id") % 50).alias("question"),
                       F.concat_ws(", ", F.upper("md5"), "sha1", "sha256", F.md5(F.col("sha1").cast("binary"))).alias("text"))
     tokens = asked.select("question", F.inline(tx.hash_tokens(F.col("text")))).distinct()
-    out = dedup.known_digests(tokens, dedup.digests_long(ev))
-    return out.select("question", "hash", F.when(F.col("evidence_id").isNotNull(), F.col("algorithm")).alias("algorithm"), "evidence_id")
+    return dedup.known_digests(tokens, dedup.digests_long(ev)).select("question", "hash", "n_files", "first_evidence_id")
 
 
 @query("url_host", "SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)) AS host FROM pages")

@@ -358,11 +358,12 @@ def containing_values(artifacts: DataFrame) -> DataFrame:
     """
     v = (artifacts.select("case_id", sim.clean(F.col("entity_value")).alias("value"))
          .filter("value <> ''").distinct())
-    pieces = v.select("case_id", F.col("value").alias("outer_value"), F.explode(F.array_distinct(F.expr(
-        "flatten(transform(sequence(1, length(value)), i -> "
-        "transform(sequence(1, length(value) - i + 1), n -> substring(value, i, n))))"))).alias("value"))
-    return (pieces.filter("length(value) < length(outer_value)").join(v, ["case_id", "value"])
-            .filter(F.length(F.least("value", "outer_value")) >= 4)
+    # only substrings of a length that some value of the case has can be values
+    lengths = v.groupBy("case_id").agg(F.collect_set(F.length("value")).alias("lengths"))
+    pieces = v.join(lengths, "case_id").select("case_id", F.col("value").alias("outer_value"), F.explode(F.array_distinct(F.expr(
+        "flatten(transform(filter(lengths, n -> n < length(value)), "
+        "n -> transform(sequence(1, length(value) - n + 1), i -> substring(value, i, n))))"))).alias("value"))
+    return (pieces.join(v, ["case_id", "value"]).filter(F.length(F.least("value", "outer_value")) >= 4)
             .select("case_id", "outer_value", F.col("value").alias("inner_value")))
 
 

@@ -67,11 +67,15 @@ def grid_filter(df: DataFrame, term: str = "", **column_terms: str) -> DataFrame
 
 
 def grid_sort(df: DataFrame, column: str, ascending: bool = True) -> DataFrame:
-    """Severities by weight, numbers by value, other text in its own order."""
+    """Severities by weight, numbers by value, other text in its own order.
+
+    Equal values are ordered by a hash of the row, so that the sort can split a
+    value that a third of the rows share.
+    """
     text = F.trim(F.col(column).cast("string"))
     weight = F.create_map(*[F.lit(x) for kv in SEVERITY_WEIGHTS.items() for x in kv])[F.lower(text)]
     order = [F.coalesce(weight.cast("double"), text.try_cast("double")), F.lower(text), text]
-    return df.orderBy(*[(c.asc_nulls_last() if ascending else c.desc_nulls_first()) for c in order])
+    return df.orderBy(*[(c.asc_nulls_last() if ascending else c.desc_nulls_first()) for c in order], F.xxhash64(*df.columns))
 
 
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 50) -> DataFrame:

@@ -30,17 +30,23 @@ def case_edges(evidence: DataFrame, extracted: DataFrame | None = None, users: D
     file_node = F.concat(F.lit("evidence_"), text("evidence_id"))
     case_node = F.concat(F.lit("case_"), text("case_id"))
     short = F.substring("sha256", 1, 8)
-    parts = [
-        _edge(evidence, 0, case_node, file_node, "contains", 1.0, "Case evidence container", F.col("filename"), "evidence"),
-        _edge(evidence, 1, file_node, F.concat(F.lit("hash_"), short), "hashes_to", 1.0, "SHA256 cryptographic hash",
-              F.concat(F.lit("SHA256: "), short, F.lit("...")), "hash"),
-    ]
-    found = lambda pattern: evidence.select("case_id", "evidence_id", F.explode(F.array_distinct(
-        tx.find_all(F.col("metadata"), pattern))).alias("v"))
-    parts.append(_edge(found(tx.IP_V4), 2, file_node, F.concat(F.lit("ip_"), "v"), "references_ip", 0.85,
-                       F.concat(F.lit("Extracted IP endpoint "), "v"), F.col("v"), "ip"))
-    parts.append(_edge(found(GRAPH_EMAIL), 3, file_node, F.concat(F.lit("email_"), "v"), "contains_email", 0.85,
-                       F.concat(F.lit("Extracted Email "), "v"), F.col("v"), "email"))
+    # the four kinds of edges of a file come out of one pass over the evidence
+    def of_file(rank, source, target, label, score, reason, node_label, node_type):
+        as_col = lambda v: v if not isinstance(v, str) else F.lit(v)
+        return F.struct(source.alias("source"), target.alias("target"), F.lit(label).alias("label"), F.lit(score).alias("score"),
+                        F.lit("Strong").alias("strength_category"), as_col(reason).alias("reason"),
+                        as_col(node_label).alias("node_label"), F.lit(node_type).alias("node_type"), F.lit(rank).alias("rank"))
+
+    found = lambda pattern: F.array_distinct(tx.find_all(F.col("metadata"), pattern))
+    of_evidence = F.concat(
+        F.array(of_file(0, case_node, file_node, "contains", 1.0, "Case evidence container", F.col("filename"), "evidence"),
+                of_file(1, file_node, F.concat(F.lit("hash_"), short), "hashes_to", 1.0, "SHA256 cryptographic hash",
+                        F.concat(F.lit("SHA256: "), short, F.lit("...")), "hash")),
+        F.transform(found(tx.IP_V4), lambda v: of_file(
+            2, file_node, F.concat(F.lit("ip_"), v), "references_ip", 0.85, F.concat(F.lit("Extracted IP endpoint "), v), v, "ip")),
+        F.transform(found(GRAPH_EMAIL), lambda v: of_file(
+            3, file_node, F.concat(F.lit("email_"), v), "contains_email", 0.85, F.concat(F.lit("Extracted Email "), v), v, "email")))
+    parts = [evidence.select("case_id", F.explode(of_evidence).alias("e")).select("case_id", "e.*")]
     if users is not None:
         parts.append(_edge(users, 4, file_node, F.concat(F.lit("user_"), F.lower("user")), "logs_auth_user", 0.80,
                            F.concat(F.lit("Log auth username "), "user"), F.col("user"), "username"))

@@ -121,7 +121,12 @@ def alert_pairs(alerts: DataFrame, events: DataFrame, settings: Settings = DEFAU
 
 
 def sessions(events: DataFrame, key: str, at: str, gap: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    """Gap sessions per key; a session comes out when the watermark has passed its end."""
+    """Gap sessions per key; a session comes out when the watermark has passed its end.
+
+    Sessions are merged inside each task before the shuffle, so that a busy key
+    sends sessions and not rows.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (events.withWatermark(at, delay).groupBy(key, F.session_window(at, gap).alias("s")).agg(F.count("*").alias("n"))
             .select(key, F.unix_micros("s.start").alias("first_t"), F.unix_micros("s.end").alias("end_t"), "n"))
 
