@@ -59,6 +59,14 @@ def test_average_path():
     assert anomaly.average_path([256])[0] == pytest.approx(10.2448, abs=1e-3)
 
 
+def test_tree_over_values_that_differ_by_rounding():
+    x = np.full((64, 2), 0.1)
+    x[::2, 0] = np.nextafter(0.1, 1)
+    x[::3, 1] = 0.1 + 2e-7
+    for seed in range(50):
+        assert sum(n[6] for n in anomaly._grow(x, np.random.default_rng(seed)) if n[1] < 0) == 64
+
+
 def test_tree_isolates_an_outlier():
     x = np.vstack([np.random.default_rng(0).normal(0, 0.1, (255, 3)), [[9, 9, 9]]])
     nodes = anomaly._grow(x, np.random.default_rng(1))
