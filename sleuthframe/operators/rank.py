@@ -47,8 +47,8 @@ def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 20, vector: str
         bundle = asked.groupBy(*scope).agg(F.collect_list("q").alias("qs"))
         both = vectors.join(F.broadcast(bundle), scope)
     else:
-        bundle = asked.groupBy(F.lit(0).alias("_one")).agg(F.collect_list("q").alias("qs"))
-        both = vectors.withColumn("_one", F.lit(0)).join(F.broadcast(bundle), "_one")
+        # without a scope there is nothing to join on: the one row of queries is a scalar subquery
+        both = vectors.withColumn("qs", asked.agg(F.collect_list("q").alias("qs")).scalar())
     both = both.withColumn("_n", norm(F.col(vector)))
     scored = both.select(*scope, F.col(vector_id), F.explode(F.transform("qs", lambda q: F.struct(
         q["id"].alias(query_id), (_dot(F.col(vector), q["v"]) / F.nullif(F.col("_n") * q["n"], F.lit(0.0))).alias("cosine")))).alias("s"))
