@@ -225,7 +225,8 @@ def pair_summary(artifacts: DataFrame, settings: Settings = DEFAULT) -> DataFram
 
     Covers dated artifacts of one case that have a source and an event type and are
     equal or different in entity, source and event type.  Values that merely contain
-    each other are counted as different; ``containing_values`` names them.  For a given agreement of the
+    each other (``containing_values`` names them) and authentication against execution
+    events are counted as different.  For a given agreement of the
     three attributes the score only falls with distance in time, so each
     (type, strength) is an interval of distances; the number of pairs closer than
     its ends comes from running totals per attribute combination, and inclusion
