@@ -151,16 +151,21 @@ def corpus_frequency(docs: DataFrame) -> np.ndarray:
     return out / out.sum()
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_features: int = 20_000, prior: float = 2_000.0,
-        least: int = 3, drift: float = 0.5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_features: int = 20_000, prior_share: float = 0.005,
+        least: int = 3, least_z: float = 3.0, drift: float = 1.0) -> Model:
     """Learn from at most ``max_labels`` labelled rows; word frequencies come from all documents.
 
-    ``least``: toxic texts a word has to stand in to be listed; ``max_features``: listed
-    words, those of the greatest z; ``prior``: weight of the corpus in the Dirichlet prior, in words.
+    ``least``: toxic texts a word has to stand in to be listed; ``least_z``: standard
+    deviations its log-odds has to lie above zero; ``max_features``: listed words, those
+    of the greatest ratio; ``prior_share``: weight of the corpus in the Dirichlet prior, as
+    a share of the labelled words; ``drift``: what every unlisted word costs a segment.
+    Seven tenths of the labelled rows give the words, the others the calibration.
     Without labelled rows of both kinds no word is listed and every text gets the same score.
     """
     train = durable(training(docs, labels, max_labels))
 
+    fold = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(10)) < 3  # three tenths calibrate, on words chosen without them
+
     def count(batches):
         n_tox, n_clean, docs_tox, words = Counter(), Counter(), Counter(), [0, 0]
         for b in batches:
@@ -180,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_featur
             yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())],
                                              ["feature", "tox", "clean", "docs"])
 
-    summed = durable(train.select("text", "toxic").mapInArrow(count, "feature string, tox long, clean long, docs long")
+    summed = durable(train.where(~fold).select("text", "toxic").mapInArrow(count, "feature string, tox long, clean long, docs long")
                      .groupBy("feature").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean"), F.sum("docs").alias("docs"))
                      .where(f"docs >= {least} or feature = ''"))
     totals = summed.where("feature = ''").first()
@@ -189,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_featur
     # a bounded list: the greatest raw ratios first, the prior then decides
     ratio = F.col("tox") / F.lit(float(max(n_tox, 1))) / ((F.col("clean") + 0.5) / F.lit(float(max(n_clean, 1))))
     listed = summed.where("feature != ''").orderBy(F.desc(ratio * F.log1p("docs")), "feature").limit(max_features).collect()
-    weights = {}
+    weights, prior = {}, prior_share * (n_tox + n_clean)
     for r in listed:
         a = prior * frequency[bucket(r["feature"].rstrip("*"))] + 0.01
         odds_tox = (r["tox"] + a) / (n_tox + prior - r["tox"] - a)
@@ -197,10 +202,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_featur
         delta = math.log(max(odds_tox, 1e-12) / max(odds_clean, 1e-12))
         spread = math.sqrt(1 / (r["tox"] + a) + 1 / (r["clean"] + a))
         sure = delta - 1.0 * min(spread, 3.0)  # what is left after one standard deviation
-        if sure > drift and delta / spread > 1.96:
+        if sure > drift and delta / spread > least_z:
             weights[r["feature"]] = round(sure - drift, 6)
     model = Model(weights, drift)
-    return calibrate(model, train)
+    return calibrate(model, train.where(fold))
 
 
 def calibrate(model: Model, train: DataFrame) -> Model:
