@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections import defaultdict
 from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,8 @@ from .common import texts
 
 #: White space as the Unicode property has it (fixed value).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Entries of a lookup, after which it starts anew.
-HELD = 1 << 19
+#: Entries of a lookup; the older half goes when it is full.
+HELD = 1 << 18
 
 
 def byte_symbols() -> list[str]:
@@ -39,18 +41,25 @@ def byte_symbols() -> list[str]:
 
 
 class Memo(dict):
-    """Computed values by key, emptied when full."""
+    """Computed values by key: the newer half, and the older one from which what is asked for again moves over."""
 
     def __init__(self, compute):
         super().__init__()
-        self.compute = compute
+        self.compute, self.older = compute, {}
 
     def __missing__(self, key):
-        if len(self) >= HELD:
-            self.clear()
-        value = self[key] = self.compute(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        self.hold(key, value)
         return value
 
+    def hold(self, key, value) -> None:
+        if len(self) >= HELD // 2:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
 
 class WordBpe:
     """Lower-case word BPE with word ends, read from a tokenizer file's text."""
@@ -67,7 +76,8 @@ class WordBpe:
         self.ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["model"]["merges"])}
         self.inner, self.final = self.neighbours()
         self.words = Memo(self.word)
-        self.fragments = Memo(self.fragment)
+        self.fragments = Memo(self.cut_fragment)
+        self.raw = defaultdict(bytes, {t: i.to_bytes(4, "little") for t, i in self.vocab.items()})  # a symbol without an id has none
         names = {i: t for t, i in (self.vocab | added).items()}
         self.names = [names.get(i, "").encode() for i in range(max(names) + 1)]
 
@@ -84,35 +94,60 @@ class WordBpe:
         return inner, final
 
     def word(self, word: str) -> bytes:
-        chars = "".join([self.symbols[b] for b in word.encode("utf-8", "surrogatepass")])
-        cuts, n = [0], len(chars)
-        for i in range(1, n):
-            if chars[i - 1:i + 1] not in (self.final if i == n - 1 else self.inner):
-                cuts.append(i)
+        """Ids of a word: of its fragments between the certain cuts."""
+        symbols = self.symbols
+        chars = "".join([symbols[b] for b in word.encode("utf-8", "surrogatepass")])
+        pairs = list(map(add, chars, chars[1:]))
+        if not pairs:
+            return self.fragment(chars, True)
+        inner, n = self.inner, len(chars)
+        cuts = [] if inner.issuperset(pairs[:-1]) else [i + 1 for i, p in enumerate(pairs[:-1]) if p not in inner]
+        if pairs[-1] not in self.final:
+            cuts.append(n - 1)
+        if not cuts:
+            return self.fragment(chars, True)
         cuts.append(n)
-        return b"".join([self.fragments[chars[i:j], j == n] for i, j in zip(cuts, cuts[1:])])
+        return b"".join([self.fragments[chars[i:j] if j < n else chars[i:] + " "] for i, j in zip([0, *cuts], cuts)])
+
+    def cut_fragment(self, key: str) -> bytes:
+        """A fragment as it is looked up: a space marks the end of a word."""
+        return self.fragment(key[:-1], True) if key[-1] == " " else self.fragment(key, False)
 
-    def fragment(self, key: tuple[str, bool]) -> bytes:
-        chars, last = key
+    def fragment(self, chars: str, last: bool) -> bytes:
+        """Ids of a fragment: the lowest-ranked neighbours are joined, the leftmost first, until no two are ranked."""
         parts = list(chars)
         if last:
             parts[-1] += self.end
-        ranks, none = self.ranks, 1 << 30
-        while len(parts) > 1:
-            best, pair = min([(ranks.get(p, none), p) for p in zip(parts, parts[1:])])
+        rank_of, none = self.ranks.get, 1 << 30
+        ranks = [rank_of(p, none) for p in zip(parts, parts[1:])]
+        while ranks:
+            best = min(ranks)
             if best == none:
                 break
-            a, b = pair
-            out, i, n = [], 0, len(parts)
-            while i < n:  # from the left, every place of this pair
-                if i + 1 < n and parts[i] == a and parts[i + 1] == b:
-                    out.append(a + b)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return np.array([self.vocab[p] for p in parts if p in self.vocab], "<u4").tobytes()
+            if len(ranks) > 64 and ranks.count(best) > 16:  # a long run of the same pair: all places in one pass from the left
+                parts = self.joined(parts, ranks, best)
+                ranks = [rank_of(p, none) for p in zip(parts, parts[1:])]
+                continue
+            i = ranks.index(best)
+            parts[i] += parts.pop(i + 1)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of((parts[i - 1], parts[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank_of((parts[i], parts[i + 1]), none)
+        return b"".join(map(self.raw.__getitem__, parts))
+
+    @staticmethod
+    def joined(parts: list[str], ranks: list[int], best: int) -> list[str]:
+        out, i, n = [], 0, len(parts)
+        while i < n:
+            if i < n - 1 and ranks[i] == best:
+                out.append(parts[i] + parts[i + 1])
+                i += 2
+            else:
+                out.append(parts[i])
+                i += 1
+        return out
 
     def plain(self, text: str) -> bytes:
         if not text.isascii():

@@ -40,15 +40,17 @@ class ByteCounter:
         self.pieces = regex.compile(
             rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{s}\p{{L}}\p{{N}}]+|[{s}]+(?![^{s}])|[{s}]+")
         self.counts: dict[str, int] = {}
-
-    def ranks_of(self, symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Rank of each symbol with the next one of the same sequence."""
-        rank = np.full(len(symbols), _NONE)
-        if len(symbols) > 1:
-            key = symbols[:-1] << 32 | symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = (self.keys[at] == key) & (owner[:-1] == owner[1:])
-            rank[:-1][known] = self.rank[at[known]]
+        self.older: dict[str, int] = {}
+
+    def ranks_at(self, symbols: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rank of the symbols at the given places with the next one of the same sequence."""
+        rank = np.full(len(at), _NONE)
+        inner = np.flatnonzero(at < len(symbols) - 1)
+        i = at[inner]
+        key = symbols[i] << 32 | symbols[i + 1]
+        found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        known = (self.keys[found] == key) & (owner[i] == owner[i + 1])
+        rank[inner[known]] = self.rank[found[known]]
         return rank
 
     def count(self, tokens: list[str]) -> np.ndarray:
@@ -58,30 +60,29 @@ class ByteCounter:
         left = size.copy()
         symbols = self.symbol[np.frombuffer(b"".join(raw), np.uint8)]
         owner = np.repeat(np.arange(len(raw)), size)
+        rank = self.ranks_at(symbols, owner, np.arange(len(symbols)))
         while len(symbols):
-            rank = self.ranks_of(symbols, owner)
             first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             lowest = np.minimum.reduceat(rank, first)
             spread = np.repeat(lowest, np.diff(np.r_[first, len(owner)]))
             live = spread < _NONE  # sequences without a pair are done and leave
             hit = (rank == spread) & live
-            # x x x: of overlapping places of one pair the first, third, ... are joined
-            place = np.arange(len(hit))
-            run = place - np.maximum.accumulate(np.where(hit, -1, place))
-            overlap = np.r_[False, hit[1:] & hit[:-1]]
-            if overlap.any():
-                hit &= (run % 2 == 1)
-            symbols = symbols.copy()
-            symbols[hit] = self.made[rank[hit]]
-            gone = np.r_[False, hit[:-1]]
+            if (hit[1:] & hit[:-1]).any():  # x x x: of overlapping places of one pair the first, third, ... are joined
+                place = np.arange(len(hit))
+                hit &= (place - np.maximum.accumulate(np.where(hit, -1, place))) % 2 == 1
             left -= np.bincount(owner[hit], minlength=len(raw))
-            keep = live & ~gone
-            symbols, owner = symbols[keep], owner[keep]
+            symbols[hit] = self.made[rank[hit]]
+            keep = live & ~np.r_[False, hit[:-1]]
+            new = (np.cumsum(keep) - 1)[hit]  # where the joined symbols are now: their pairs and those before them changed
+            symbols, owner, rank = symbols[keep], owner[keep], rank[keep]
+            touched = np.zeros(len(symbols), bool)
+            touched[new] = touched[np.maximum(new - 1, 0)] = True
+            changed = np.flatnonzero(touched)
+            if len(changed):
+                rank[changed] = self.ranks_at(symbols, owner, changed)
         return left
 
     def learn(self, tokens: list[str]) -> None:
-        if len(self.counts) + len(tokens) > HELD:
-            self.counts.clear()
         start = 0
         while start < len(tokens):  # by slices of bounded bytes; one long pre-token is a slice of its own
             stop, held = start, 0
@@ -94,7 +95,7 @@ class ByteCounter:
     def totals(self, batch: list) -> list[int]:
         """Tokens of each text; a special token's string counts as one."""
         out: list[int] = []
-        held, chars, first = [], 0, True
+        held, chars = [], 0
         for i, text in enumerate(batch):
             found, special = [], 0
             if text:
@@ -115,9 +116,12 @@ class ByteCounter:
     def learn_missing(self, lists: list[list[str]]) -> None:
         seen = set().union(*lists)
         missing = [t for t in seen if t not in self.counts]
-        if len(self.counts) + len(missing) > HELD:
-            self.counts.clear()
-            missing = list(seen)
+        if len(self.counts) + len(missing) > HELD // 2:  # counts in use move over, the others are let go with the next turn
+            self.older, self.counts, missing = self.counts, {}, list(seen)
+        known = self.older
+        if known:
+            self.counts.update([(t, known[t]) for t in missing if t in known])
+            missing = [t for t in missing if t not in known]
         self.learn(missing)
 
 
