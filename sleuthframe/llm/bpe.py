@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import small, texts
 
 #: White space as the Unicode property has it (fixed value).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -184,7 +184,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches):
         model = model_of(source)
-        for b in batches:
+        for b in small(batches):
             ids = [model.encode(t) if t else b"" for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
                                               pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
@@ -199,7 +199,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches):
         model = model_of(source)
-        for b in batches:
+        for b in small(batches):
             out = [model.decode(x).decode("utf-8", "replace") if x else "" for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), b.column("ids"), pa.array(out, pa.string())],
                                              ["doc_id", "n_tokens", "ids", "decoded"])

@@ -18,6 +18,13 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def small(batches, rows: int = 1000):
+    """Arrow batches in slices of few rows, so that what is made of a slice stays small beside the batch."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def words(text: str | None) -> list[bytes]:
     """UTF-8 words in lower case (A-Z only), cut at the six ASCII white-space characters."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import shingle_codes, texts, word_codes, words
+from .common import shingle_codes, small, texts, word_codes, words
 
 _LANES = np.uint64(0x0101010101010101)
 #: Longest window in words: its shingles are counted in bytes.
@@ -188,7 +188,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, radiu
     hit = pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             found = items.scan(b.column("text").to_pylist(), threshold)
             rows = [[dict(zip(("item_id", "similarity", "first", "end"), h)) for h in f] for f in found]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([bool(f) for f in found], pa.bool_()),
@@ -204,7 +204,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, radius:
     items = items_of(benchmark, shingle, radius, max_bytes)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             yield b.filter(pa.array([not f for f in items.scan(b.column("text").to_pylist(), threshold)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
-from .common import bit_majority, connected, shingle_codes, texts, word_codes, words
+from .common import bit_majority, connected, shingle_codes, small, texts, word_codes, words
 
 #: Members of one key that a task links at once: 4,096 of them take 8 million distances.
 LIMIT = 4096
@@ -59,7 +59,7 @@ def simhashes(batch: list, shingle: int) -> np.ndarray:
 def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, fp (64 bits as a long) for every row; a text without words has fingerprint 0."""
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             fp = simhashes(b.column("text").to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, segments
 def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, shingles (sorted distinct 64-bit hashes, little-endian) of every row."""
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             sets = [np.unique(shingle_codes(word_codes(words(t)), shingle)).astype("<u8").tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
@@ -272,7 +272,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     Rows without a doc_id are left out.
     """
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             batch = b.column("text").to_pylist()
             fp = simhashes(batch, shingle)
             code = np.array([xxhash.xxh64_intdigest(b" ".join(words(t)), 7) for t in batch], np.uint64)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
-from .common import texts
+from .common import small, texts
 
 #: Buckets: the first half for n-grams of words, the second for n-grams of shapes.
 BUCKETS = 1 << 14
@@ -122,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, smoothing:
 
     def count(batches):
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for b in batches:
+        for b in small(batches):
             for text, quality in zip(b.column("text").to_pylist(), b.column("quality").to_pylist()):
                 each = np.bincount(ngrams(text), minlength=BUCKETS)
                 raw += each
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, smoothing:
             ratio[part] = np.log(t / t.sum() / p)
 
     def weigh(batches):
-        for b in batches:
+        for b in small(batches):
             weight = [score_of(t, ratio) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(weight, pa.float64()), b.column("quality")], ["weight", "quality"])
 
@@ -166,7 +166,7 @@ def ordered(key: np.ndarray) -> np.ndarray:
 def weights(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, log_importance, key, place (the key as a long of the same order) of every row."""
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             weight, key = model.keys(b.column("doc_id").to_pylist(), b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(weight), pa.array(key), pa.array(ordered(key))],
                                              ["doc_id", "log_importance", "key", "place"])
@@ -215,7 +215,7 @@ def keep_selected(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000,
     last = threshold(durable(weights(docs, model).select("log_importance", "place")), model)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             _, key = model.keys(b.column("doc_id").to_pylist(), b.column("text").to_pylist())
             yield b.filter(pa.array(ordered(key) >= last))
 

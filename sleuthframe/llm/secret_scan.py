@@ -17,7 +17,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import small, texts
 
 #: Reported kinds, in the order that settles equal starts.
 KINDS = ("assign", "access", "hex", "user", "secret", "endpoint")
@@ -96,7 +96,7 @@ def secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())])
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             found = [spans_of(t, reach) if t else [] for t in b.column("text").to_pylist()]
             flat = [x for row in found for x in row]
             offsets = [0]
@@ -125,7 +125,7 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 def without_secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
     """The rows of ``docs`` with all columns; each secret in ``text`` is replaced by its kind, ``n_chars`` follows."""
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             new = []
             for t in b.column("text").to_pylist():
                 found = spans_of(t, reach) if t else []

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from .bpe import HELD, SPACE, byte_symbols
-from .common import texts
+from .common import small, texts
 
 _NONE = np.int64(1 << 40)
 
@@ -142,7 +142,7 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
 
     def run(batches):
         model = model_of(source)
-        for b in batches:
+        for b in small(batches):
             batch = b.column("text").to_pylist()
             n = model.totals(batch)
             size = [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in batch]

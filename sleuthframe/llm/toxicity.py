@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
-from .common import texts
+from .common import small, texts
 
 #: Words of a listed start: these many first characters.
 STARTS = (5, 7)
@@ -136,7 +136,7 @@ def corpus_frequency(docs: DataFrame) -> np.ndarray:
         total = np.zeros(_BUCKETS, np.int64)
         from .bpe import Memo
         known = Memo(bucket).__getitem__
-        for b in batches:
+        for b in small(batches):
             for text in b.column("text").to_pylist():
                 found = tokens(text)
                 if found:
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_featur
 
     def count(batches):
         n_tox, n_clean, docs_tox, words = Counter(), Counter(), Counter(), [0, 0]
-        for b in batches:
+        for b in small(batches):
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
                 found = tokens(text)
                 words[toxic > 0] += len(found)
@@ -212,7 +212,7 @@ def calibrate(model: Model, train: DataFrame) -> Model:
     """Fit the clean texts' extreme-value law and the curve on the labelled rows: a few numbers per row."""
     def run(batches):
         own = model.ready()
-        for b in batches:
+        for b in small(batches):
             rows = []
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
                 n, found = own.scan(text)
@@ -264,7 +264,7 @@ def toxicity(docs: DataFrame, model: Model, alpha: float = 0.01) -> DataFrame:
 
     def run(batches):
         own = model.ready()
-        for b in batches:
+        for b in small(batches):
             scores, passages = [], []
             for text in b.column("text").to_pylist():
                 n, found = own.scan(text)
