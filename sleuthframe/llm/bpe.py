@@ -171,9 +171,10 @@ def model_of(source: str) -> WordBpe:
     return WordBpe(source)
 
 
-def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, decoded: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers) for every row.
 
+    With ``decoded`` the text that the ids decode to comes along, from the same pass.
     tokenizer: path of a tokenizer file, read once on the driver and sent to the tasks
     (one file, a few MB).  A missing or empty text has no ids; texts of any length are
     encoded whole; repeated rows come back as they are, rows without a doc_id too;
@@ -181,15 +182,18 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """
     with open(tokenizer, encoding="utf-8") as f:
         source = f.read()
+    names = ["doc_id", "n_tokens", "ids", *["decoded"] * decoded]
 
     def run(batches):
         model = model_of(source)
         for b in small(batches):
             ids = [model.encode(t) if t else b"" for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                                              pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            columns = [b.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+            if decoded:
+                columns.append(pa.array([model.decode(x).decode("utf-8", "replace") for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:

@@ -56,8 +56,7 @@ def op6_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document and their text, as digests."""
-    path = public_tokenizers.path("word_bpe_49k.json")
-    out = bpe.decode(bpe.encode(table(spark, folder, "documents"), path), path)
+    out = bpe.encode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), decoded=True)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
