@@ -28,13 +28,20 @@ from .common import bit_majority, connected, shingle_codes, small, texts, word_c
 LIMIT = 4096
 
 
-def simhashes(batch: list, shingle: int) -> np.ndarray:
-    """64-bit fingerprints of texts; hash: XXH64 with seed 42 of the words joined by a space."""
-    digest, out, parts, sizes, held = xxhash.xxh64_digest, [], [], [], 0
+def simhashes(batch: list, shingle: int, prints: int = 1) -> list[np.ndarray]:
+    """64-bit fingerprints of texts; hash: XXH64 with seed 42 of the words joined by a space.
+
+    Every further one of ``prints`` fingerprints mixes the same hashes anew.
+    """
+    digest, parts, sizes, held = xxhash.xxh64_digest, [], [], 0
+    out: list[list] = [[] for _ in range(prints)]
 
     def flush() -> None:
         h = np.frombuffer(b"".join(parts), ">u8").astype(np.uint64)
-        out.append(bit_majority(h, np.array(sizes, np.int64)))
+        for each in out:
+            each.append(bit_majority(h, np.array(sizes, np.int64)))
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
 
     for text in batch:
         found = words(text)
@@ -44,7 +51,7 @@ def simhashes(batch: list, shingle: int) -> np.ndarray:
         joined = b" ".join(found)
         k = min(shingle, len(found))
         ends = np.cumsum([len(w) + 1 for w in found])
-        starts = (ends - [len(w) + 1 for w in found])[:len(found) - k + 1].tolist()
+        starts = [0, *ends[:len(found) - k].tolist()]
         stops = (ends[k - 1:] - 1).tolist()
         parts.append(b"".join([digest(joined[i:j], 42) for i, j in zip(starts, stops)]))
         sizes.append(len(starts))
@@ -53,14 +60,14 @@ def simhashes(batch: list, shingle: int) -> np.ndarray:
             flush()
             parts, sizes, held = [], [], 0
     flush()
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return [np.concatenate(each) for each in out]
 
 
 def fingerprints(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, fp (64 bits as a long) for every row; a text without words has fingerprint 0."""
     def run(batches):
         for b in small(batches):
-            fp = simhashes(b.column("text").to_pylist(), shingle)
+            fp, = simhashes(b.column("text").to_pylist(), shingle)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     return texts(docs).mapInArrow(run, "doc_id long, fp long")
@@ -261,56 +268,64 @@ def _similar(threshold: float):
     return run
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 8, segments: int = 3) -> DataFrame:
-    """doc_id, group (least doc_id of the group) of every document that has near or exact copies.
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 8, segments: int = 3,
+                   prints: int = 3) -> DataFrame:
+    """doc_id, group (least doc_id of the group) of every document.
 
-    Fingerprints within ``radius`` bits are candidates; a link stands if the two texts'
-    sets of word shingles have at least the Jaccard similarity asked for.  Candidates are
-    the least spanning links under each key, so that every text is compared with its
-    nearest ones; texts of one fingerprint are compared with the least of them, and
-    exact copies need no comparison.  Texts without words are copies of each other.
-    Rows without a doc_id are left out.
+    Texts with a fingerprint within ``radius`` bits, by any of ``prints`` independent
+    fingerprints, are candidates; a link stands if the two texts' sets of word shingles
+    have at least the Jaccard similarity asked for.  Candidates are the least spanning
+    links under each key, so that every text is compared with its nearest ones; texts of
+    one fingerprint are compared with the least of them, and exact copies need no
+    comparison.  Texts without words are copies of each other.  Rows without a doc_id
+    are left out; a doc_id that stands for several texts is compared by one of them.
     """
+    names = [f"fp{i}" for i in range(prints)]
+
     def run(batches):
         for b in small(batches):
             batch = b.column("text").to_pylist()
-            fp = simhashes(batch, shingle)
             code = np.array([xxhash.xxh64_intdigest(b" ".join(words(t)), 7) for t in batch], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64)), pa.array(code.view(np.int64))],
-                                             ["doc_id", "fp", "code"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(x.view(np.int64)) for x in (code, *simhashes(batch, shingle, prints))]],
+                                             ["doc_id", "code", *names])
 
     own = texts(docs).where("doc_id is not null")
-    prints = durable(own.mapInArrow(run, "doc_id long, fp long, code long"))
-    kinds = durable(prints.groupBy("fp", "code").agg(F.min("doc_id").alias("node")))  # one row for each text
-    heads = durable(kinds.groupBy("fp").agg(F.min("node").alias("head")))
-    near = links(heads, radius, segments).distinct()
-    a = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a")
-    pairs = a.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    same = kinds.join(heads, "fp").where("node != head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    pairs = durable(pairs.unionByName(same).where("a != b"))
+    marked = durable(own.mapInArrow(run, "doc_id long, code long, " + ", ".join(f"{n} long" for n in names)))
+    kinds = durable(marked.groupBy("code", *names).agg(F.min("doc_id").alias("node")))  # one row for each text
+    pairs = None
+    for name in names:
+        heads = durable(kinds.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("head")))
+        near = links(heads, radius, segments).distinct()
+        a = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a")
+        each = a.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        each = each.unionByName(kinds.select(F.col(name).alias("fp"), F.col("node").alias("b")).join(heads, "fp")
+                                .select(F.col("head").alias("a"), "b"))
+        pairs = each if pairs is None else pairs.unionByName(each)
+    pairs = durable(pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = durable(shingle_sets(own.join(asked, "doc_id", "left_semi").select("doc_id", "text"), shingle)
+    sets = durable(shingle_sets(own.join(asked.hint("merge"), "doc_id", "left_semi").select("doc_id", "text"), shingle)
                    .groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
     first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     sure = both.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
     labels = connected(sure).withColumnRenamed("label", "group")
-    grouped = kinds.join(labels, "node", "left").select("fp", "code", F.coalesce("group", "node").alias("group"))
-    return prints.join(grouped, ["fp", "code"]).select("doc_id", "group")
+    grouped = durable(kinds.join(labels, "node", "left").select("code", *names, F.coalesce("group", "node").alias("group")))
+    return marked.join(grouped, ["code", *names]).select("doc_id", "group")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 8, segments: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 8, segments: int = 3,
+             prints: int = 3) -> DataFrame:
     """The rows of ``docs`` but for near copies: of each group the row of the least doc_id stays.
 
-    Of several rows with that doc_id one stays; rows without a doc_id all stay.  The
-    texts themselves are not shuffled: the ids that go are, and they are few columns wide.
+    Of several rows with that doc_id one stays; rows without a doc_id all stay.  Whole
+    rows are shuffled once, by doc_id, to meet the ids that go.
     """
-    groups = durable(similar_groups(docs, shingle, similarity, radius, segments))
+    groups = durable(similar_groups(docs, shingle, similarity, radius, segments, prints))
     gone = groups.where("doc_id != group").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti")
-    repeated = groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    repeated = durable(repeated)
+    left = docs.where("doc_id is not null").join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    unnamed = docs.where("doc_id is null")
+    repeated = durable(groups.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     if repeated.isEmpty():
-        return left
-    again = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").unionByName(again)
+        return left.unionByName(unnamed)
+    again = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(again).unionByName(unnamed)
