@@ -23,12 +23,12 @@ def _edges(spark, folder):
 
 
 EDGES = f"""
-ev AS (SELECT doc_id, doc_id % 20 AS case_id, source || '_' || doc_id || '.txt' AS filename, text, substr(sha256(text), 1, 8) AS h FROM documents),
+ev AS (SELECT doc_id, doc_id % 20 AS case_id, source || '_' || doc_id || '.txt' AS filename, text, sha256(text) AS h FROM documents),
 fnd AS (SELECT o_orderkey AS id, o_custkey % 20 AS case_id, o_custkey AS evidence_id,
   ['critical', 'high', 'medium', 'low', 'info'][substr(o_orderpriority, 1, 1)::INT] AS severity FROM orders),
 edges AS (
   SELECT 0 AS rank, case_id, 'case_' || case_id AS source, 'evidence_' || doc_id AS target, 'contains' AS label, 1.0 AS score, filename AS node_label, 'evidence' AS node_type FROM ev
-  UNION ALL SELECT 1, case_id, 'evidence_' || doc_id, 'hash_' || h, 'hashes_to', 1.0, 'SHA256: ' || h || '...', 'hash' FROM ev
+  UNION ALL SELECT 1, case_id, 'evidence_' || doc_id, 'hash_' || h, 'hashes_to', 1.0, 'SHA256: ' || substr(h, 1, 8) || '...', 'hash' FROM ev
   UNION ALL SELECT 2, case_id, 'evidence_' || doc_id, 'ip_' || v, 'references_ip', 0.85, v, 'ip'
     FROM (SELECT case_id, doc_id, unnest(list_distinct(regexp_extract_all(text, {sql_pattern(tx.IP_V4)}))) AS v FROM ev)
   UNION ALL SELECT 3, case_id, 'evidence_' || doc_id, 'email_' || v, 'contains_email', 0.85, v, 'email'

@@ -145,11 +145,11 @@ def nulls_last(spark, folder):
 
 
 @query("list_newest", """
-SELECT o_orderkey, epoch_us(o_orderdate) AS t FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 200
+SELECT o_orderkey, epoch_us(o_orderdate) AS t FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC
 """)
 def list_newest(spark, folder):
     o = table(spark, folder, "orders")
-    out = flt.page(o, [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()], size=200)
+    out = o.orderBy(F.col("o_orderdate").desc(), F.col("o_orderkey").desc())
     return out.select("o_orderkey", F.unix_micros("o_orderdate").alias("t"))
 
 

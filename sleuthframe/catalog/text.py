@@ -34,7 +34,7 @@ def _hits_sql(source: str, key: str) -> str:
         parts.append(f"SELECT {key}, {n} AS spec, '{kind}' AS artifact_type, trim({value}, E' \\t\\n\\r') AS value, "
                      f"{confidence}::DOUBLE AS confidence FROM ({zipped})")
     words = "|".join(tx.EVENT_WORDS)
-    parts.append(f"SELECT {key}, {len(tx.ENTITY_PATTERNS)}, 'EVENT', substr(line, 1, 300), 0.85 FROM ("
+    parts.append(f"SELECT {key}, {len(tx.ENTITY_PATTERNS)}, 'EVENT', line, 0.85 FROM ("
                  f"SELECT {key}, trim(unnest(string_split_regex({source}.text, '\\r\\n|[\\n\\r]')), E' \\t') AS line FROM {source}) "
                  f"WHERE regexp_matches(lower(line), '{words}') AND length(line) >= 10")
     hits = " UNION ALL ".join(parts)
@@ -118,7 +118,7 @@ def entities_pages(spark, folder):
 WITH src AS (SELECT event_id, {DRESS} AS text FROM events),
 lines AS (SELECT event_id, unnest(string_split_regex(text, '\\r\\n|[\\n\\r]')) AS line,
   unnest(range(1, len(string_split_regex(text, '\\r\\n|[\\n\\r]')) + 1)) AS line_number FROM src)
-SELECT event_id, line_number, substr(trim(line), 1, 300) AS value FROM lines
+SELECT event_id, line_number, trim(line) AS value FROM lines
 WHERE regexp_matches(lower(line), '{"|".join(tx.EVENT_WORDS)}') AND length(trim(line)) >= 10
 """)
 def event_lines(spark, folder):
@@ -280,13 +280,15 @@ def suffixes(spark, folder):
 
 @query("uuid_valid", """
 WITH u AS (SELECT doc_id, md5(text) AS h FROM documents),
-v AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN h ELSE substr(h,1,8) || '-' || substr(h,9,4) || '-' || substr(h,13,4) || '-' || substr(h,17,4) || '-' || substr(h,21) END AS id FROM u)
-SELECT doc_id, id, doc_id % 3 <> 0 AS valid FROM v
+v AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN substr(h, 2) WHEN doc_id % 3 = 0 THEN h WHEN doc_id % 3 = 1 THEN '{' || upper(h) || '}' ELSE 'urn:uuid:' || substr(h,1,8) || '-' || substr(h,9,4) || '-' || substr(h,13,4) || '-' || substr(h,17,4) || '-' || substr(h,21) END AS id FROM u)
+SELECT doc_id, id, doc_id % 7 <> 0 AS valid FROM v
 """)
 def uuid_valid(spark, folder):
     h = F.md5(F.col("text").cast("binary"))
     dashed = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
-    d = table(spark, folder, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, h).otherwise(dashed).alias("id"))
+    d = table(spark, folder, "documents").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.expr("substring(md5(cast(text as binary)), 2)")).when(F.col("doc_id") % 3 == 0, h)
+                                                    .when(F.col("doc_id") % 3 == 1, F.concat(F.lit("{"), F.upper(h), F.lit("}")))
+                                                    .otherwise(F.concat(F.lit("urn:uuid:"), dashed)).alias("id"))
     return d.withColumn("valid", tx.is_uuid(F.col("id")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession, functions as F
 
 from ..config import DEFAULT, Settings, Weights
+from . import text
 
 # Event names that count as authentication and as execution.
 AUTH_EVENTS = ("successful_login", "failed_login", "4624", "4625", "logon")
@@ -12,7 +13,7 @@ EXEC_EVENTS = ("program_execution", "4688", "1", "execution", "process")
 
 
 def clean(value: Column) -> Column:
-    return F.lower(F.trim(value))
+    return F.lower(text.strip(value))
 
 
 def missing(value: Column) -> Column:

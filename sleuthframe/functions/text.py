@@ -136,7 +136,7 @@ def event_lines(docs: DataFrame, keys: list[str], text: str = "text") -> DataFra
     line = line.select(*keys, (F.col("pos") + 1).cast("long").alias("line_number"), strip(F.col("line")).alias("line"))
     words = F.lower("line").rlike("|".join(EVENT_WORDS))
     return line.filter(words & (F.length("line") >= 10)).select(
-        *keys, "line_number", F.substring("line", 1, 300).alias("value"),
+        *keys, "line_number", F.col("line").alias("value"),
         F.substring("line", 1, 150).alias("context_snippet"))
 
 
@@ -223,7 +223,9 @@ def suffixes(name: Column) -> Column:
 
 
 def is_uuid(value: Column) -> Column:
-    return value.rlike("^(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
+    """32 hexadecimal digits, however dashed, after an optional ``urn:`` and ``uuid:`` and inside optional braces."""
+    bare = F.regexp_replace(F.regexp_replace(value, "urn:|uuid:", ""), r"^[{}]+|[{}]+$", "")
+    return F.translate(bare, "-", "").rlike(r"\A(?i)[0-9a-f]{32}\z")
 
 
 def gps_decimal(parts: Column, reference: Column) -> Column:

@@ -73,13 +73,13 @@ def normalise(extracted: DataFrame | None = None, findings: DataFrame | None = N
             F.lower("artifact_type").alias("event_type"), "case_id"))
     if network is not None:
         kind = F.coalesce("protocol", "artifact_type", F.lit("Unknown"))
-        value = F.coalesce("destination_ip", "source_ip", "value", F.lit(""))
+        value = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("destination_ip", "source_ip", "value")], F.lit(""))
         parts.append(network.select(
             F.lit("NetworkArtifact").alias("type"),
             F.concat(F.lit("net_"), F.col("id").cast("string")).alias("id"),
             F.substring(F.concat(prefix(), F.lit("Network "), kind, F.lit(": "), value), 1, 35).alias("label"),
             value.alias("entity_value"),
-            F.when(F.coalesce("destination_ip", "source_ip").isNotNull(), "ip").otherwise("domain").alias("entity_type"),
+            F.when(F.coalesce(F.nullif("destination_ip", F.lit("")), F.nullif("source_ip", F.lit(""))).isNotNull(), "ip").otherwise("domain").alias("entity_type"),
             F.col("timestamp"), F.unix_micros("timestamp").alias("t"),
             F.concat(F.lit("Network ("), kind, F.lit(")")).alias("source"),
             F.lower(kind).alias("event_type"), "case_id"))

@@ -40,7 +40,7 @@ def case_edges(evidence: DataFrame, extracted: DataFrame | None = None, users: D
     found = lambda pattern: F.array_distinct(tx.find_all(F.col("metadata"), pattern))
     of_evidence = F.concat(
         F.array(of_file(0, case_node, file_node, "contains", 1.0, "Case evidence container", F.col("filename"), "evidence"),
-                of_file(1, file_node, F.concat(F.lit("hash_"), short), "hashes_to", 1.0, "SHA256 cryptographic hash",
+                of_file(1, file_node, F.concat(F.lit("hash_"), F.col("sha256")), "hashes_to", 1.0, "SHA256 cryptographic hash",
                         F.concat(F.lit("SHA256: "), short, F.lit("...")), "hash")),
         F.transform(found(tx.IP_V4), lambda v: of_file(
             2, file_node, F.concat(F.lit("ip_"), v), "references_ip", 0.85, F.concat(F.lit("Extracted IP endpoint "), v), v, "ip")),
@@ -53,7 +53,7 @@ def case_edges(evidence: DataFrame, extracted: DataFrame | None = None, users: D
     if extracted is not None:
         kind = F.lower("artifact_type")
         parts.append(_edge(extracted, 5, file_node,
-                           F.concat(F.lit("art_"), kind, F.lit("_"), F.translate(F.substring("value", 1, 30), " ", "_")),
+                           F.concat(F.lit("art_"), kind, F.lit("_"), F.translate("value", " ", "_")),
                            F.concat(F.lit("extracted_"), kind), 0.75, F.concat(F.lit("Extracted "), "artifact_type"),
                            F.concat(F.col("artifact_type"), F.lit(": "), F.substring("value", 1, 25)), kind))
     if findings is not None:

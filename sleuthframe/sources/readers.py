@@ -51,7 +51,7 @@ def log_lines(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame
         empty(F.regexp_extract("line", tx.UNICODE + PORT_WORD, 1)).cast("int").alias("destination_port"),
         F.lit(None).cast("string").alias("protocol"),
         empty(F.upper(F.regexp_extract("line", tx.UNICODE + ACTION_WORD, 1))).alias("value"),
-        F.substring("line", 1, 1000).alias("line"))
+        F.col("line"))
 
 
 def firewall_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -139,7 +139,7 @@ def firefox(places: DataFrame, bookmarks: DataFrame, cookies: DataFrame, keys: l
                 name=c("name"), path=c("path"), secure=c("isSecure").cast("boolean")))))
 
 
-def bookmark_tree(docs: DataFrame, keys: list[str], body: str = "json", max_depth: int = 64) -> DataFrame:
+def bookmark_tree(docs: DataFrame, keys: list[str], body: str = "json") -> DataFrame:
     """Every url node of a bookmark JSON at any depth.
 
     Each step opens all objects and arrays of the current level, so the number of
@@ -148,20 +148,18 @@ def bookmark_tree(docs: DataFrame, keys: list[str], body: str = "json", max_dept
     from ..session import durable
     level = durable(docs.select(*keys, F.expr(f"try_variant_get(try_parse_json({body}), '$.roots', 'variant')").alias("node"))
                     .filter("node IS NOT NULL"))
-    found = None
-    for _ in range(max_depth):
+    def urls(nodes):
         text = lambda f: F.expr(f"try_variant_get(node, '$.{f}', 'string')")
-        urls = level.select(*keys, text("type").alias("t"), text("url").alias("url"), text("name").alias("title"),
+        return nodes.select(*keys, text("type").alias("t"), text("url").alias("url"), text("name").alias("title"),
                             text("date_added").alias("stamp")).filter("t = 'url' AND url <> ''").drop("t")
-        found = urls if found is None else found.unionByName(urls)
+
+    found = urls(level)
+    while not level.isEmpty():
         level = docs.sparkSession.sql(
             f"SELECT {', '.join(keys)}, e.value AS node FROM {{nodes}}, LATERAL variant_explode_outer(node) AS e "
             "WHERE e.value IS NOT NULL AND schema_of_variant(e.value) RLIKE '^(OBJECT|ARRAY)'", nodes=level)
         level = durable(level)
-        if level.isEmpty():
-            break
-    else:
-        raise ValueError(f"bookmark trees are deeper than {max_depth} levels")
+        found = found.unionByName(urls(level))
     return _dated(found.select(*keys, *_browser_row("chromium", "bookmark", F.col("url"), F.col("title"), F.col("stamp"))))
 
 
