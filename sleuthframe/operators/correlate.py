@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import DEFAULT, Settings
 from ..functions import similarity as sim
@@ -351,21 +351,125 @@ def anchored_buckets(artifacts: DataFrame, settings: Settings = DEFAULT, keys: t
 
 # ---- values that contain each other ---------------------------------------
 
-def containing_values(artifacts: DataFrame) -> DataFrame:
-    """Distinct entity values (outer, inner) where one contains the other, without comparing all values.
+def _containing(values: DataFrame, scope: str, least: int) -> DataFrame:
+    """scope, outer_value, inner_value of distinct ``value``s that contain another one of the scope.
 
     Every distinct value is cut into its own substrings, which meet the values by
     an equi-join; the work depends on the length of a value, not on how many there are.
     """
-    v = (artifacts.select("case_id", sim.clean(F.col("entity_value")).alias("value"))
-         .filter("value <> ''").distinct())
-    # only substrings of a length that some value of the case has can be values
-    lengths = v.groupBy("case_id").agg(F.collect_set(F.length("value")).alias("lengths"))
-    pieces = v.join(lengths, "case_id").select("case_id", F.col("value").alias("outer_value"), F.explode(F.array_distinct(F.expr(
+    # only substrings of a length that some value of the scope has can be values
+    lengths = values.groupBy(scope).agg(F.collect_set(F.length("value")).alias("lengths"))
+    pieces = values.join(lengths, scope).select(scope, F.col("value").alias("outer_value"), F.explode(F.array_distinct(F.expr(
         "flatten(transform(filter(lengths, n -> n < length(value)), "
         "n -> transform(sequence(1, length(value) - n + 1), i -> substring(value, i, n))))"))).alias("value"))
-    return (pieces.join(v, ["case_id", "value"]).filter(F.length(F.least("value", "outer_value")) >= 4)
-            .select("case_id", "outer_value", F.col("value").alias("inner_value")))
+    return (pieces.join(values, [scope, "value"]).filter(F.length(F.least("value", "outer_value")) >= least)
+            .select(scope, "outer_value", F.col("value").alias("inner_value")))
+
+
+def containing_values(artifacts: DataFrame) -> DataFrame:
+    """Distinct entity values (outer, inner) of a case where one contains the other, without comparing all values."""
+    v = artifacts.select("case_id", sim.clean(F.col("entity_value")).alias("value")).filter("value <> ''").distinct()
+    return _containing(v, "case_id", 4)
+
+
+# ---- best partner of every artifact -----------------------------------------
+
+def _filed(rows: DataFrame) -> DataFrame:
+    """Adds ``held`` and ``asked``: the group keys a row stands under and those it looks in.
+
+    A key names how a partner agrees in entity, source and event: the same value, a
+    value that contains it, the other one of authentication and execution, some value,
+    none.  Score falls with distance in time under each key, so the nearest one of every
+    key are all a best partner can be.
+    """
+    def held(name):
+        value, inner = F.col(name), F.col(f"{name}_inner")
+        return [F.array_compact(F.array(F.concat(F.lit("="), value))), F.transform(inner, lambda i: F.concat(F.lit(">"), i))]
+
+    def asked(name):
+        value, inner = F.col(name), F.col(f"{name}_inner")
+        return [F.array_compact(F.array(F.concat(F.lit("="), value), F.concat(F.lit(">"), value))),
+                F.transform(inner, lambda i: F.concat(F.lit("="), i))]
+
+    some = lambda name: F.array(F.when(F.col(name).isNull(), "-").otherwise("+"))
+    both = F.array(F.lit("+"), F.lit("-"))
+    auth, run = F.col("v").isin(*sim.AUTH_EVENTS), F.col("v").isin(*sim.EXEC_EVENTS)
+    same = F.concat(F.lit("="), F.col("v"))
+    own = F.array_compact(F.array(same, F.when(auth, "a"), F.when(run, "x")))
+    other = F.array_compact(F.array(same, F.when(auth, "x"), F.when(run, "a")))
+    def product(e, s, v):
+        return F.flatten(F.transform(e, lambda x: F.flatten(F.transform(s, lambda y: F.transform(
+            v, lambda z: F.concat_ws("\u0001", x, y, z))))))
+
+    anything = F.array(F.lit("*"))
+    return rows.withColumns({
+        "held": product(F.concat(*held("e"), anything), F.concat(*held("s"), some("s")), F.concat(own, some("v"))),
+        "asked": product(F.concat(*asked("e"), anything), F.concat(*asked("s"), both), F.concat(other, both))})
+
+
+def best_partner(artifacts: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """artifact_a_id, artifact_b_id and the score columns of every artifact's best partner, for all artifacts.
+
+    Partners share the entity or lie within the time window; a row without a time has
+    all rows of the scope as partners.  The best has the greatest score, then the least
+    distance in time (none counts as farthest), then the least id.  Entity, source and
+    event are compared without surrounding white space and case; blank counts as missing.
+    No pair is listed: under each way of agreeing an artifact's candidates are the
+    nearest rows before, at and after its time, found by ordered scans, and the least ids
+    of the undated rows.  Artifacts whose best score is below the least one have no row.
+    """
+    width = settings.window_micros
+    text = lambda c: F.nullif(sim.clean(F.col(c)), F.lit(""))
+    rows = artifacts.select("id", "t", (F.lit("") if settings.cross_case else F.col("case_id").cast("string")).alias("scope"),
+                            text("entity_value").alias("e"), text("source").alias("s"), text("event_type").alias("v"))
+    for name, least in (("e", 4), ("s", 1)):
+        values = rows.select("scope", F.col(name).alias("value")).filter("value IS NOT NULL").distinct()
+        inner = _containing(values, "scope", least).groupBy("scope", F.col("outer_value").alias(name)).agg(
+            F.collect_list("inner_value").alias(f"{name}_inner"))
+        rows = rows.join(inner, ["scope", name], "left").withColumn(
+            f"{name}_inner", F.coalesce(f"{name}_inner", F.array().cast("array<string>")))
+    rows = durable(_filed(rows))
+    keys = ["scope", "k"]
+    held = rows.select("id", "scope", "t", F.explode("held").alias("k"))
+    asked = rows.select("id", "scope", "t", F.explode("asked").alias("k"))
+
+    def first_two(df, group):
+        """The two least ids of each group: a row itself may be the first."""
+        ranked = df.withColumn("n", F.row_number().over(Window.partitionBy(*group).orderBy("id"))).filter("n <= 2")
+        return ranked.groupBy(*group).agg(F.min("id").alias("first"), F.max(F.when(F.col("n") == 2, F.col("id"))).alias("second"))
+
+    other = F.when(F.col("first") != F.col("id"), F.col("first")).otherwise(F.col("second"))
+    dated = durable(first_two(held.filter("t IS NOT NULL"), [*keys, "t"]))
+    undated = first_two(held.filter("t IS NULL"), keys)
+    every = first_two(held, keys)
+    points = dated.select(*keys, "t", F.col("t").alias("_data")).unionByName(
+        asked.filter("t IS NOT NULL").select(*keys, "t").distinct().withColumn("_data", F.lit(None).cast("long")))
+    before = scan.ordered_scan(points, keys, "t", {"near": ("max", F.col("_data"))}, "before").filter("_data IS NULL")
+    after = scan.ordered_scan(points, keys, "t", {"near": ("min", F.col("_data"))}, "after").filter("_data IS NULL")
+    # a pair beyond the window is related by the entity only
+    reach = (F.abs(F.col("near") - F.col("t")) < width) | F.startswith("k", F.lit("="))
+    near = before.unionByName(after).drop("_data").filter("near IS NOT NULL").filter(reach)
+    places = near.join(dated.select(*keys, F.col("t").alias("near"), "first"), [*keys, "near"]).select(*keys, "t", "first")
+    timed = asked.filter("t IS NOT NULL")
+    found = timed.join(places, [*keys, "t"]).select("id", F.col("first").alias("b"))
+    for some in (timed.join(dated, [*keys, "t"]), timed.join(undated, keys), asked.filter("t IS NULL").join(every, keys)):
+        found = found.unionByName(some.select("id", other.alias("b")))
+    found = durable(found.filter("b IS NOT NULL AND b <> id").distinct())
+    side = lambda x: rows.select(*[F.col(c).alias(f"{x}_{c}") for c in ("id", "t", "e", "s", "v")])
+    pairs = found.select(F.col("id").alias("a_id"), F.col("b").alias("b_id")).join(side("a"), "a_id").join(side("b"), "b_id")
+    apart = F.abs(F.col("a_t") - F.col("b_t"))
+    pairs = pairs.filter((F.coalesce(F.col("a_e") == F.col("b_e"), F.lit(False))) | apart.isNull() | (apart < width))
+    pairs = pairs.withColumns({
+        "s_time": F.when(apart.isNull(), 0.0).otherwise(sim.time_similarity(F.col("a_t"), F.col("b_t"), settings.window_seconds)),
+        "s_entity": sim.entity_similarity(F.col("a_e"), F.col("b_e")), "s_source": sim.source_similarity(F.col("a_s"), F.col("b_s")),
+        "s_event": sim.event_similarity(F.col("a_v"), F.col("b_v"))})
+    parts = [F.col(c) for c in ("s_time", "s_entity", "s_source", "s_event")]
+    scored = pairs.withColumn("score", sim.weighted_score(*parts, settings.weights)).filter(F.col("score") >= settings.min_score)
+    best = F.min(F.struct((-F.col("score")).alias("order"), F.coalesce(apart, F.lit(2 ** 62)).alias("apart"), "b_id", "score", *parts))
+    return scored.groupBy(F.col("a_id").alias("artifact_a_id")).agg(best.alias("x")).select(
+        "artifact_a_id", F.col("x.b_id").alias("artifact_b_id"), "x.score", *[f"x.{c}" for c in ("s_time", "s_entity", "s_source", "s_event")],
+        sim.strength(F.col("x.score")).alias("strength_category"),
+        sim.correlation_type(F.col("x.s_time"), F.col("x.s_entity"), F.col("x.s_source")).alias("correlation_type"))
 
 
 # ---- per artifact: last correlation ---------------------------------------

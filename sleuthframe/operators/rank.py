@@ -7,10 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
-from ..session import durable
 from . import aggregates
 
-MAX_QUERIES = 1000
 # Patterns and exceptions of the grounding check.
 LOOSE_IP = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
 LOOSE_DOMAIN = r"\b[a-zA-Z0-9][-a-zA-Z0-9]*\.[a-zA-Z]{2,}\b"
@@ -23,32 +21,25 @@ def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 20, vector: str = "embedding",
-                query_id: str = "query_id", vector_id: str = "vec_id", scope: list[str] | None = None) -> DataFrame:
+def top_similar(queries: DataFrame, vectors: DataFrame, k: int = 20, vector: str = "embedding", query_id: str = "query_id",
+                vector_id: str = "vec_id", scope: list[str] | None = None, block: int = 500) -> DataFrame:
     """The k vectors of greatest cosine to each query vector.
 
-    Up to MAX_QUERIES queries are broadcast as one row per scope, so the vectors
-    are read once and never shuffled as a whole: Spark keeps k per query and task
-    before the shuffle.  More queries are answered in as many such batches as needed.
+    Queries are bundled in blocks of about ``block``.  Each bundle meets every part of
+    the vectors once (parts by hash of the vector id, as many as shuffle partitions), by
+    an equality join; Spark keeps k per query and task before the last shuffle.
     """
     scope = scope or []
-    queries = durable(queries.select(*scope, query_id, vector))
-    batches = -(-queries.count() // MAX_QUERIES)
-    if batches > 1:
-        # hashing spreads the queries unevenly, so batches are cut at half the limit and checked
-        n = 2 * batches
-        parts = [queries.filter(F.pmod(F.xxhash64(query_id), F.lit(n)) == i) for i in range(n)]
-        return reduce(DataFrame.unionByName, [
-            top_similar(p, vectors, k, vector, query_id, vector_id, scope) for p in parts])
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-queries.count() // block))
     norm = lambda c: F.sqrt(_dot(c, c))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     asked = queries.select(
-        *scope, F.struct(F.col(query_id).alias("id"), F.col(vector).alias("v"), norm(F.col(vector)).alias("n")).alias("q"))
-    if scope:
-        bundle = asked.groupBy(*scope).agg(F.collect_list("q").alias("qs"))
-        both = vectors.join(F.broadcast(bundle), scope)
-    else:
-        # without a scope there is nothing to join on: the one row of queries is a scalar subquery
-        both = vectors.withColumn("qs", asked.agg(F.collect_list("q").alias("qs")).scalar())
+        *scope, F.pmod(F.xxhash64(query_id), F.lit(blocks)).cast("int").alias("_block"),
+        F.struct(F.col(query_id).alias("id"), F.col(vector).alias("v"), norm(F.col(vector)).alias("n")).alias("q"))
+    bundle = asked.groupBy(*scope, "_block").agg(F.collect_list("q").alias("qs")).withColumn("_part", every(parts))
+    dealt = vectors.withColumn("_part", F.pmod(F.xxhash64(vector_id), F.lit(parts)).cast("int")).withColumn("_block", every(blocks))
+    both = dealt.join(bundle, [*scope, "_block", "_part"])
     both = both.withColumn("_n", norm(F.col(vector)))
     scored = both.select(*scope, F.col(vector_id), F.explode(F.transform("qs", lambda q: F.struct(
         q["id"].alias(query_id), (_dot(F.col(vector), q["v"]) / F.nullif(F.col("_n") * q["n"], F.lit(0.0))).alias("cosine")))).alias("s"))
