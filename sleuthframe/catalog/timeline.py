@@ -9,7 +9,7 @@ from ..functions import similarity, timeparse
 from ..operators import correlate, timeline as tl
 from ..session import table
 from . import query
-from .correlation import ARTIFACT, FOCUS_SQL, IN_CASE, focus
+from .correlation import ARTIFACT, IN_CASE, SCORE, SIMILARITY
 from .graph_rank import FINDING
 
 
@@ -79,15 +79,20 @@ def timeline_utc(spark, folder):
 
 @query("timeline_zone", f"""
 WITH {TIMELINE},
-z AS (SELECT *, CASE WHEN make_timestamp(t) >= TIMESTAMP '2023-03-12 07:00:00' AND make_timestamp(t) < TIMESTAMP '2023-11-05 06:00:00' THEN 4
-  WHEN make_timestamp(t) >= TIMESTAMP '2024-03-10 07:00:00' THEN -1 ELSE 5 END AS h FROM raw WHERE t >= epoch_us(TIMESTAMP '2023-01-01'))
-SELECT case_id, event_id, strftime(make_timestamp(t) - INTERVAL 1 HOUR * h, '%Y-%m-%d %H:%M:%S') || CASE h WHEN 4 THEN ' EDT (-04:00)' ELSE ' EST (-05:00)' END AS display_timestamp
+y AS (SELECT *, year(make_timestamp(t)) AS y FROM raw),
+rule AS (SELECT y, CASE WHEN y >= 2007 THEN make_date(y, 3, 8) + CAST((7 - dayofweek(make_date(y, 3, 8))) % 7 AS INTEGER)
+                        ELSE make_date(y, 4, 1) + CAST((7 - dayofweek(make_date(y, 4, 1))) % 7 AS INTEGER) END + INTERVAL 7 HOUR AS begins,
+                CASE WHEN y >= 2007 THEN make_date(y, 11, 1) + CAST((7 - dayofweek(make_date(y, 11, 1))) % 7 AS INTEGER)
+                     ELSE make_date(y, 10, 31) - CAST(dayofweek(make_date(y, 10, 31)) AS INTEGER) END + INTERVAL 6 HOUR AS ends
+  FROM (SELECT DISTINCT y::INTEGER AS y FROM y WHERE y >= 1987)),
+z AS (SELECT y.*, CASE WHEN make_timestamp(t) >= begins AND make_timestamp(t) < ends THEN 4 WHEN begins IS NOT NULL THEN 5 END AS h FROM y LEFT JOIN rule USING (y))
+SELECT case_id, event_id, coalesce(strftime(make_timestamp(t) - INTERVAL 1 HOUR * h, '%Y-%m-%d %H:%M:%S') || CASE h WHEN 4 THEN ' EDT (-04:00)' ELSE ' EST (-05:00)' END,
+  'No Timestamp / Missing') AS display_timestamp
 FROM z
 """)
 def timeline_zone(spark, folder):
-    """The events of the investigation period as New York sees them, across the change of clocks."""
-    t = tl.build(_parts(spark, folder), "America/New_York")
-    return t.filter(F.col("timestamp") >= F.lit("2023-01-01").cast("timestamp")).select("case_id", "event_id", "display_timestamp")
+    """All events as New York sees them, by the rules for clocks of their years."""
+    return tl.build(_parts(spark, folder), "America/New_York").select("case_id", "event_id", "display_timestamp")
 
 
 @query("timeline_totals", f"""
@@ -97,24 +102,25 @@ def timeline_totals(spark, folder):
     return tl.totals(tl.build(_parts(spark, folder)), "case_id")
 
 
-_HEAD, _ = FOCUS_SQL.format(scope="AND a.case_id = b.case_id").split("\nSELECT case_id, artifact_a_id", 1)
-
-
 @query("timeline_last_corr", f"""
-{_HEAD},
-ranked AS (SELECT *, row_number() OVER (ORDER BY artifact_a_id, artifact_b_id) AS record_id FROM scored WHERE score >= 0.15),
-ends AS (SELECT artifact_a_id AS artifact_id, score, record_id FROM ranked UNION ALL SELECT artifact_b_id, score, record_id FROM ranked),
-last AS (SELECT artifact_id, max_by(score, record_id) AS score FROM ends GROUP BY 1)
-SELECT a.id AS artifact_id, l.score AS correlation_score FROM artifact a LEFT JOIN last l ON l.artifact_id = a.id
+WITH {ARTIFACT},
+scored AS (SELECT a, b, apart, {SCORE} AS score FROM (
+  SELECT a.id AS a, b.id AS b, abs(a.t - b.t) AS apart, {SIMILARITY}
+  FROM artifact a JOIN artifact b ON a.case_id = b.case_id AND a.id <> b.id
+   AND (a.entity_value = b.entity_value OR abs(a.t - b.t) < 3600000000))),
+best AS (SELECT a, max(score) AS score FROM scored WHERE score >= 0.15 GROUP BY 1)
+SELECT id AS artifact_id, score AS correlation_score,
+  CASE WHEN score >= 0.70 THEN 'Strong' WHEN score >= 0.40 THEN 'Moderate' WHEN score IS NOT NULL THEN 'Weak' END AS correlation_category
+FROM artifact LEFT JOIN best ON a = id
 """)
 def timeline_last_corr(spark, folder):
-    """Every artifact with its last correlation; records are ordered by their two ends."""
+    """Every event as an extracted artifact of the timeline, with its strongest correlation."""
     a = views.artifacts(spark, folder)
-    pairs = correlate.focus_pairs(a, focus(a), IN_CASE)
-    record = F.struct("artifact_a_id", "artifact_b_id")
-    last = correlate.last_correlation(pairs.withColumn("record_id", F.to_json(record)))
+    pairs = correlate.best_correlations(a, IN_CASE)
+    record = F.to_json(F.struct("artifact_a_id", "artifact_b_id"))
+    last = correlate.last_correlation(pairs.withColumn("record_id", record), F.struct("score", "record_id"))
     return (a.select(F.col("id").alias("artifact_id")).join(last, "artifact_id", "left")
-            .select("artifact_id", F.col("score").alias("correlation_score")))
+            .select("artifact_id", F.col("score").alias("correlation_score"), F.col("strength_category").alias("correlation_category")))
 
 
 FORMS = 11

@@ -13,7 +13,7 @@ The last two come from running totals (``scan.band_counts``), not from pairs.
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -181,10 +181,15 @@ def focus_pairs(artifacts: DataFrame, focus: DataFrame, settings: Settings = DEF
 
 # ---- exact counts without pairs -------------------------------------------
 
-def entity_groups(artifacts: DataFrame) -> DataFrame:
-    """Artifacts sharing an entity in a case, one row per group: its pairs are implied, not listed."""
+def entity_groups(artifacts: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """Artifacts sharing an entity, one row per group: its pairs are implied, not listed.
+
+    Groups lie within a case, or across all of them (case_id is null) if the settings say so.
+    """
+    across = settings is not None and settings.cross_case
     key = F.nullif(sim.clean(F.col("entity_value")), F.lit(""))
-    return (artifacts.withColumn("entity_key", key).filter(F.col("entity_key").isNotNull())
+    scope = F.lit(None).cast("long") if across else F.col("case_id")
+    return (artifacts.withColumns({"entity_key": key, "case_id": scope}).filter(F.col("entity_key").isNotNull())
             .groupBy("case_id", "entity_key")
             .agg(F.count("*").alias("n_artifacts"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
             .filter("n_artifacts > 1")
@@ -192,17 +197,21 @@ def entity_groups(artifacts: DataFrame) -> DataFrame:
 
 
 def partner_counts(artifacts: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Per artifact: partners sharing its entity, partners inside the window, and partners with both."""
+    """Per artifact: partners sharing its entity, partners inside the window, and partners with both.
+
+    Partners are those of the artifact's case, or of all cases if the settings say so.
+    """
     key = F.nullif(sim.clean(F.col("entity_value")), F.lit(""))
-    rows = artifacts.select("id", "case_id", "t", F.coalesce(key, F.lit("")).alias("entity_key"))
+    scope = F.lit("") if settings.cross_case else F.coalesce(F.col("case_id").cast("string"), F.lit(""))
+    rows = artifacts.select("id", "case_id", scope.alias("scope"), "t", F.coalesce(key, F.lit("")).alias("entity_key"))
     dated = rows.filter(F.col("t").isNotNull())
     width = settings.window_micros
-    near = scan.band_counts(dated, ["case_id"], "t", width, "n_near")
-    both = scan.band_counts(dated.filter("entity_key <> ''"), ["case_id", "entity_key"], "t", width, "n_both")
-    groups = (rows.filter("entity_key <> ''").groupBy("case_id", "entity_key").agg(F.count("*").alias("n_same")))
-    return (rows.join(groups, ["case_id", "entity_key"], "left")
-            .join(near, ["case_id", "t"], "left")
-            .join(both, ["case_id", "entity_key", "t"], "left")
+    near = scan.band_counts(dated, ["scope"], "t", width, "n_near")
+    both = scan.band_counts(dated.filter("entity_key <> ''"), ["scope", "entity_key"], "t", width, "n_both")
+    groups = (rows.filter("entity_key <> ''").groupBy("scope", "entity_key").agg(F.count("*").alias("n_same")))
+    return (rows.join(groups, ["scope", "entity_key"], "left")
+            .join(near, ["scope", "t"], "left")
+            .join(both, ["scope", "entity_key", "t"], "left")
             .select("id", "case_id", "entity_key", "t",
                     (F.coalesce("n_same", F.lit(1)) - 1).alias("n_same_entity"),
                     (F.coalesce("n_near", F.lit(1)) - 1).alias("n_in_window"),
@@ -223,29 +232,38 @@ def _widest_delta(test, width: int) -> int:
 def pair_summary(artifacts: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Pairs per case, correlation type and strength, counted without listing one pair.
 
-    Covers dated artifacts of one case that have a source and an event type and are
-    equal or different in entity, source and event type.  Values that merely contain
-    each other (``containing_values`` names them) and authentication against execution
-    events are counted as different.  For a given agreement of the
-    three attributes the score only falls with distance in time, so each
-    (type, strength) is an interval of distances; the number of pairs closer than
-    its ends comes from running totals per attribute combination, and inclusion
-    and exclusion turns "at least these agree" into "exactly these agree".
+    Covers dated artifacts.  An attribute of a pair is missing on one side, present on
+    both, or equal (blank counts as missing).  Values that merely contain each other
+    (``containing_values`` names them) and authentication against execution events are
+    counted as different.  For a given agreement of the three attributes the score only
+    falls with distance in time, so each (type, strength) is an interval of distances;
+    the number of pairs closer than its ends comes from running totals per attribute
+    combination, and inclusion and exclusion turns "at least this agreement" into
+    "exactly this one".  Across cases (``settings.cross_case``) there is one summary,
+    without a case.
     """
     w, width = settings.weights, settings.window_micros
     attributes = {"e": "_e", "s": "_s", "v": "_v"}
+    scope = F.lit(0).cast("long") if settings.cross_case else F.col("case_id")
+    text = lambda c: F.coalesce(sim.clean(F.col(c)), F.lit(""))
     base = artifacts.filter(F.col("t").isNotNull()).select(
-        "case_id", "t",
-        F.coalesce(sim.clean(F.col("entity_value")), F.lit("")).alias("_e"),
-        F.coalesce(sim.clean(F.col("source")), F.lit("")).alias("_s"),
-        F.coalesce(sim.clean(F.col("event_type")), F.lit("")).alias("_v"))
-    subsets = [frozenset(c) for r in range(4) for c in combinations("esv", r)]
+        scope.alias("case_id"), "t", text("entity_value").alias("_e"), text("source").alias("_s"), text("event_type").alias("_v"))
+    # levels of agreement: 0 any, 1 present on both sides, 2 equal; a missing entity scores like a different one
+    subsets = [(e, s, v) for e in (0, 2) for s in (0, 1, 2) for v in (0, 1, 2)]
+    step = {"e": {0: 2}, "s": {0: 1, 1: 2}, "v": {0: 1, 1: 2}}
+
+    def above(agree):
+        """The agreements one step up in some attributes, with the sign inclusion and exclusion gives them."""
+        out = [((), 1)]
+        for name, level in zip("esv", agree):
+            up = [(level, 1)] + ([(step[name][level], -1)] if level in step[name] else [])
+            out = [((*got, at), sign * more) for got, sign in out for at, more in up]
+        return out
 
     def parts(agree, delta):
         seconds = delta / 1_000_000.0
         s_time = round(max(0.0, 1.0 - seconds / settings.window_seconds), 4) if seconds < settings.window_seconds else 0.0
-        s_entity, s_source, s_event = (1.0 if "e" in agree else 0.0, 1.0 if "s" in agree else 0.2,
-                                       1.0 if "v" in agree else 0.3)
+        s_entity, s_source, s_event = (0.0, None, 1.0)[agree[0]], (0.1, 0.2, 1.0)[agree[1]], (0.2, 0.3, 1.0)[agree[2]]
         raw = (w.time * s_time + w.entity * s_entity + w.source * s_source + w.event * s_event) / w.total
         kind = ("ENTITY_MATCH" if s_entity > 0.8 else "TIME_PROXIMITY" if s_time > 0.7
                 else "COMMON_SOURCE" if s_source > 0.8 else "MULTI_FACTOR")
@@ -266,21 +284,26 @@ def pair_summary(artifacts: DataFrame, settings: Settings = DEFAULT) -> DataFram
                 cells.append((agree, low, high, kind, level))
                 cuts[agree] |= {low, high} - {0}
         kind, level, score = parts(agree, far)
-        if "e" in agree and score >= settings.min_score:      # far pairs come from the entity path only
+        if agree[0] == 2 and score >= settings.min_score:     # far pairs come from the entity path only
             cells.append((agree, far, None, kind, level))
             cuts[agree].add(far)
-    # a combination is asked for its own cuts and for those of every weaker agreement
-    wanted = {agree: sorted(set().union(*[cuts[less] for less in subsets if less <= agree])) for agree in subsets}
+    # a combination is asked for its own cuts and for those of the agreements a step below it
+    wanted = {agree: sorted(set().union(*[cuts[less] for less in subsets if agree in dict(above(less))])) for agree in subsets}
 
     # For every "at least these agree" the rows are keyed by those attributes, in one pass for all of
     # them.  The pairs closer than a cut are the later rows up to t + cut - 1, plus those at the same t.
-    tag = {agree: "".join(sorted(agree)) for agree in subsets}
-    keyed = F.explode(F.array(*[F.struct(
-        F.lit(tag[agree]).alias("agree"), F.concat_ws("\u0001", *[attributes[x] for x in sorted(agree)], F.lit("")).alias("k"))
-        for agree in subsets])).alias("_k")
+    tag = {agree: "".join(map(str, agree)) for agree in subsets}
+
+    def filed(agree):
+        levels = list(zip("esv", agree))
+        key = F.concat_ws("\u0001", *[F.col(attributes[x]) for x, level in levels if level == 2], F.lit(""))
+        whole = F.lit(True)  # a missing value agrees with nothing
+        for x, level in levels:
+            whole = whole & (F.col(attributes[x]) != "") if level else whole
+        return F.when(whole, F.struct(F.lit(tag[agree]).alias("agree"), key.alias("k")))
+
     keys = ["agree", "case_id", "k"]
-    agrees = ~(F.contains("agree", F.lit("e")) & (F.col("_e") == ""))       # a missing entity agrees with nothing
-    rows = base.select("*", keyed).select("case_id", "t", "_e", "_k.*").filter(agrees).drop("_e")
+    rows = base.select("case_id", "t", F.explode(F.array_compact(F.array(*map(filed, subsets)))).alias("_k")).select("case_id", "t", "_k.*")
     grouped = rows.groupBy(*keys, "t").agg(F.count("*").alias("_n"))
     probes = F.create_map(*[x for agree in subsets for x in (
         F.lit(tag[agree]), F.array(*[F.lit(c).cast("long") for c in [0, *wanted[agree]]]))])
@@ -290,7 +313,7 @@ def pair_summary(artifacts: DataFrame, settings: Settings = DEFAULT) -> DataFram
     scanned = scan.ordered_scan(points, keys, "_at", {"_total": ("sum", F.col("_w"))}, "upto")
     closer = scanned.groupBy("case_id", "agree", "cut").agg(
         F.sum(F.col("_n") * F.col("_total")).alias("_sum"), F.sum(F.expr("_w * (_w - 1) div 2")).alias("_same"))
-    every = (rows.filter(F.contains("agree", F.lit("e"))).groupBy(*keys).agg(F.count("*").alias("_n")).groupBy("case_id", "agree")
+    every = (rows.filter(F.startswith("agree", F.lit("2"))).groupBy(*keys).agg(F.count("*").alias("_n")).groupBy("case_id", "agree")
              .agg(F.sum(F.expr("_n * (_n - 1) div 2")).alias("n")))
     at = lambda agree, cut: (F.col("agree") == tag[agree]) & (F.col("cut") == cut)
     wide = closer.groupBy("case_id").agg(
@@ -299,7 +322,7 @@ def pair_summary(artifacts: DataFrame, settings: Settings = DEFAULT) -> DataFram
     wide = wide.select("case_id", *[(F.col(f"{tag[a]}_to_{cut}") + F.col(f"{tag[a]}_base")).alias(f"{tag[a]}_lt_{cut}")
                                     for a in subsets for cut in wanted[a]])
     far = every.groupBy("case_id").agg(*[F.max(F.when(F.col("agree") == tag[a], F.col("n"))).alias(f"{tag[a]}_lt_all")
-                                         for a in subsets if "e" in a])
+                                         for a in subsets if a[0] == 2])
     wide = wide.join(far, "case_id", "left")
 
     def at_least(agree, cut):
@@ -307,18 +330,15 @@ def pair_summary(artifacts: DataFrame, settings: Settings = DEFAULT) -> DataFram
         return F.lit(0) if cut == 0 else F.coalesce(F.col(f"`{tag[agree]}_{name}`"), F.lit(0))
 
     def exactly(agree, cut):
-        total = F.lit(0)
-        for more in subsets:
-            if more >= agree:
-                total = total + (1 if (len(more) - len(agree)) % 2 == 0 else -1) * at_least(more, cut)
-        return total
+        return reduce(lambda a, b: a + b, [sign * at_least(more, cut) for more, sign in above(agree)])
 
     rows = [F.struct(F.lit(kind).alias("correlation_type"), F.lit(level).alias("strength_category"),
                      (exactly(agree, high) - exactly(agree, low)).alias("n_pairs"))
             for agree, low, high, kind, level in cells]
     return (wide.select("case_id", F.inline(F.array(*rows)))
             .groupBy("case_id", "correlation_type", "strength_category")
-            .agg(F.sum("n_pairs").alias("n_pairs")).filter("n_pairs > 0"))
+            .agg(F.sum("n_pairs").alias("n_pairs")).filter("n_pairs > 0")
+            .withColumn("case_id", F.lit(None).cast("long") if settings.cross_case else F.col("case_id")))
 
 
 # ---- anchored time buckets -------------------------------------------------
@@ -472,13 +492,20 @@ def best_partner(artifacts: DataFrame, settings: Settings = DEFAULT) -> DataFram
         sim.correlation_type(F.col("x.s_time"), F.col("x.s_entity"), F.col("x.s_source")).alias("correlation_type"))
 
 
+def best_correlations(artifacts: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Full scored rows (as of ``focus_pairs``) of every artifact's best partner; ids have to be distinct."""
+    best = best_partner(artifacts, settings).select(
+        F.least("artifact_a_id", "artifact_b_id").alias("a_id"), F.greatest("artifact_a_id", "artifact_b_id").alias("b_id")).distinct()
+    return score_pairs(best.join(_side(artifacts, "a"), "a_id").join(_side(artifacts, "b"), "b_id"), settings)
+
+
 # ---- per artifact: last correlation ---------------------------------------
 
-def last_correlation(edges: DataFrame) -> DataFrame:
-    """For each artifact the info of its last correlation record (largest record id)."""
+def last_correlation(edges: DataFrame, order: Column | None = None) -> DataFrame:
+    """For each artifact the info of its last correlation record: largest record id, or greatest ``order``."""
     info = F.struct("score", "strength_category", "reason",
                     F.concat(F.lit("group_"), F.lower("correlation_type"), F.lit("_"), F.col("record_id").cast("string"))
                     .alias("group_id"))
-    ends = edges.select("record_id", info.alias("info"),
+    ends = edges.select((F.col("record_id") if order is None else order).alias("place"), info.alias("info"),
                         F.explode(F.array("artifact_a_id", "artifact_b_id")).alias("artifact_id"))
-    return ends.groupBy("artifact_id").agg(F.max_by("info", "record_id").alias("info")).select("artifact_id", "info.*")
+    return ends.groupBy("artifact_id").agg(F.max_by("info", "place").alias("info")).select("artifact_id", "info.*")
