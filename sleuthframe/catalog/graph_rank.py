@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..operators import classify, correlate, dedup, graph, rank
 from ..session import table
 from . import query
-from .correlation import IN_CASE, focus
+from .correlation import ARTIFACT, IN_CASE, SCORE, SIMILARITY
 from .rules import WATCHED
 from .text import sql_pattern
 
@@ -57,13 +57,31 @@ def graph_nodes(spark, folder):
     return graph.nodes(_edges(spark, folder))
 
 
-@query("graph_correlations")
+@query("graph_correlations", f"""
+WITH {ARTIFACT}, {EDGES},
+scored AS (SELECT *, {SCORE} AS score FROM (
+  SELECT a.case_id, a.id AS a, b.id AS b, abs(a.t - b.t) AS apart, {SIMILARITY}
+  FROM artifact a JOIN artifact b ON a.case_id = b.case_id AND a.id <> b.id
+   AND (a.entity_value = b.entity_value OR abs(a.t - b.t) < 3600000000))),
+best AS (SELECT * FROM scored WHERE score >= 0.15
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, apart, b) = 1),
+corr AS (SELECT DISTINCT case_id, 'corr_' || least(a, b) AS source, 'corr_' || greatest(a, b) AS target,
+    CASE WHEN s_entity > 0.8 THEN 'ENTITY_MATCH' WHEN s_time > 0.7 THEN 'TIME_PROXIMITY'
+         WHEN s_source > 0.8 THEN 'COMMON_SOURCE' ELSE 'MULTI_FACTOR' END
+      || ' (' || round(CAST(CAST(score AS VARCHAR) AS DECIMAL(10, 4)), 2)::DECIMAL(10, 2)::VARCHAR || ')' AS label,
+    round(CAST(CAST(score AS VARCHAR) AS DECIMAL(10, 4)), 2)::DOUBLE AS score,
+    CASE WHEN score >= 0.70 THEN 'Strong' WHEN score >= 0.40 THEN 'Moderate' ELSE 'Weak' END AS strength_category FROM best),
+every AS (SELECT rank, case_id, source, target, label, score::DOUBLE AS score, 'Strong' AS strength_category FROM edges WHERE rank < 6
+  UNION ALL SELECT 7, * FROM corr)
+SELECT case_id, source, target, label, score, strength_category,
+  CASE strength_category WHEN 'Strong' THEN '#06b6d4' WHEN 'Moderate' THEN '#f59e0b' ELSE '#64748b' END AS color FROM every
+QUALIFY row_number() OVER (PARTITION BY case_id, least(source, target), greatest(source, target) ORDER BY rank, source, target, label) = 1
+""")
 def graph_correlations(spark, folder):
-    """Graph edges of the correlations of the focus artifacts, with colours."""
-    a = views.artifacts(spark, folder)
-    pairs = correlate.focus_pairs(a, focus(a), IN_CASE)
+    """Graph edges of the files and of every event's best correlation, with colours."""
+    pairs = correlate.best_correlations(views.artifacts(spark, folder), IN_CASE)
     ev = dedup.with_digests(views.evidence(spark, folder), F.col("text")).withColumn("metadata", F.col("text"))
-    return graph.distinct_edges(graph.case_edges(ev, correlations=pairs))
+    return graph.distinct_edges(graph.case_edges(ev, correlations=pairs)).drop("reason")
 
 
 FLOW_EDGES = f"""

@@ -105,4 +105,6 @@ def register_sql_functions(spark: SparkSession, settings: Settings = DEFAULT) ->
             round(least(1D, greatest(0D, ({w.time}D * t + {w.entity}D * e + {w.source}D * s + {w.event}D * v)
                   / {w.total}D)), 4)""",
     ):
+        for side in "ab":  # white space of all kinds goes, as in ``clean``
+            ddl = ddl.replace(f"trim({side})", rf"regexp_replace({side}, r'(?U)^\s+|\s+$', '')")
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {ddl}")
