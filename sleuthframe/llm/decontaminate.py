@@ -1,9 +1,8 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-Every text is read through sliding windows whose lengths fit the benchmark's items: for
-an item of n words the window is the largest power of two that n exceeds by a quarter,
-so that a copy of the item, wherever it begins, holds a whole window on the sliding
-grid.  Windows and all windows of the items get SimHash fingerprints of word shingles.  Multi-index
+Every text is read through sliding windows whose lengths fit the benchmark's items: a
+copy of an item, wherever it begins and with as many broken places as the similarity
+allows, holds a whole window of the item on the sliding grid.  Windows and all windows of the items get SimHash fingerprints of word shingles.  Multi-index
 blocks (32-bit halves, each with the Hamming ball that the radius asks for) find every
 item window within the radius of a text window.  Each candidate is then verified
 exactly: the weighted share of the item's shingles that stand at that place.
@@ -28,9 +27,18 @@ LONGEST = 128
 STRETCH = 1 << 17
 
 
-def window_of(n: int) -> int:
-    """Window length for an item of n words; items under ten words are windows of their own length."""
-    return n if n < 10 else min(LONGEST, 1 << int(math.log2(n / 1.25)))
+def window_of(n: int, shingle: int, threshold: float) -> int:
+    """Window length for an item of n words; items under ten words are windows of their own length.
+
+    A copy that keeps the share ``threshold`` of the shingles has few broken places: one
+    inside costs ``shingle`` of them, and each word lost at the ends costs one.  The window
+    is the largest power of two that fits, wherever the grid lies, between those places.
+    """
+    if n < 10:
+        return n
+    lost = int((1 - threshold) * (n - shingle + 1) + 1e-9)
+    whole = min((n - inside - min(lost - inside * shingle, 2 * shingle - 2)) // (inside + 1) for inside in range(lost // shingle + 1))
+    return max(8, min(LONGEST, 1 << int(math.log2((whole + 1) / 1.25))))
 
 
 def window_prints(codes: np.ndarray, window: int, shingle: int, step: int) -> np.ndarray:
@@ -59,8 +67,8 @@ def window_prints(codes: np.ndarray, window: int, shingle: int, step: int) -> np
 class Items:
     """The benchmark as lookup tables: item shingles with weights, and item windows by Hamming block."""
 
-    def __init__(self, items: list[tuple[int, str]], shingle: int, radius: int):
-        self.shingle, self.radius = shingle, radius
+    def __init__(self, items: list[tuple[int, str]], shingle: int, radius: int, threshold: float):
+        self.shingle, self.radius, self.threshold = shingle, radius, threshold
         self.ids, self.codes, self.bags = [], [], []
         for item, text in items:
             found = words(text)
@@ -71,7 +79,8 @@ class Items:
         held = Counter(x for bag in self.bags for x in bag)
         self.weight = {x: math.log(1 + len(self.bags) / n) for x, n in held.items()}
         self.mass = [sum(self.weight[x] * n for x, n in bag.items()) for bag in self.bags]
-        self.tables = {w: self.table(w) for w in sorted({window_of(len(c)) for c in self.codes})}
+        self.windows = [window_of(len(c), shingle, threshold) for c in self.codes]
+        self.tables = {w: self.table(w) for w in sorted(set(self.windows))}
 
     def table(self, window: int):
         """Step of the text's grid, fingerprints, item and offset of all item windows, and the two blocks' sorted keys.
@@ -80,7 +89,7 @@ class Items:
         """
         prints, owner, offset, step = [], [], [], max(1, window // 4)
         for i, codes in enumerate(self.codes):
-            if window_of(len(codes)) == window:
+            if self.windows[i] == window:
                 step = min(step, len(codes) - window + 1)
                 p = window_prints(codes, window, self.shingle, 1)
                 prints.append(p)
@@ -134,7 +143,7 @@ class Items:
         here = Counter(shingle_codes(codes, self.shingle).tolist())
         return sum(self.weight[x] * min(n, here[x]) for x, n in self.bags[item].items() if x in here) / self.mass[item]
 
-    def scan(self, batch: list, threshold: float) -> list[list[tuple[int, float, int, int]]]:
+    def scan(self, batch: list) -> list[list[tuple[int, float, int, int]]]:
         """For each text (item id, similarity, first word, end) of each item at its best place."""
         out: list[list] = [[] for _ in batch]
         held, sizes, first = [], [], 0
@@ -151,7 +160,7 @@ class Items:
                         low, high = int(ends[t]) - sizes[t], int(ends[t])
                         begin = max(place, low)
                         s = self.similarity(codes[begin:min(place + len(self.codes[item]), high)], item)
-                        if s >= threshold and (s, low - begin) > best.get((t, item), (0.0, 0)):
+                        if s >= self.threshold and (s, low - begin) > best.get((t, item), (0.0, 0)):
                             best[t, item] = (s, low - begin)
                 for (t, item), (s, at) in sorted(best.items()):
                     out[first + t].append((self.ids[item], s, -at, min(-at + len(self.codes[item]), sizes[t])))
@@ -159,7 +168,7 @@ class Items:
         return out
 
 
-def items_of(benchmark: DataFrame, shingle: int, radius: int, max_bytes: int) -> Items:
+def items_of(benchmark: DataFrame, shingle: int, radius: int, threshold: float, max_bytes: int) -> Items:
     """The benchmark's items on the driver, after a check of their size.
 
     One item of each text is enough: the least item_id stands for repeated texts.  A
@@ -170,7 +179,7 @@ def items_of(benchmark: DataFrame, shingle: int, radius: int, max_bytes: int) ->
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > max_bytes:
         raise ValueError(f"the benchmark has {size} bytes of text, more than max_bytes = {max_bytes}")
-    return Items(sorted((r["item_id"], r["text"]) for r in own.collect()), shingle, radius)
+    return Items(sorted((r["item_id"], r["text"]) for r in own.collect()), shingle, radius, threshold)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, radius: int = 3, threshold: float = 0.8,
@@ -184,12 +193,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, radiu
     items without words are never hit; texts of any length are read whole; repeated rows
     come back as they are, rows without a doc_id too; other columns are left out.
     """
-    items = items_of(benchmark, shingle, radius, max_bytes)
+    items = items_of(benchmark, shingle, radius, threshold, max_bytes)
     hit = pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first", pa.int64()), ("end", pa.int64())])
 
     def run(batches):
         for b in small(batches):
-            found = items.scan(b.column("text").to_pylist(), threshold)
+            found = items.scan(b.column("text").to_pylist())
             rows = [[dict(zip(("item_id", "similarity", "first", "end"), h)) for h in f] for f in found]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([bool(f) for f in found], pa.bool_()),
                                               pa.array(rows, pa.list_(hit))], ["doc_id", "contaminated", "hits"])
@@ -201,10 +210,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, radiu
 def keep_clean(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, radius: int = 3, threshold: float = 0.8,
                max_bytes: int = 4_000_000) -> DataFrame:
     """The rows of ``docs`` without contamination, with all their columns."""
-    items = items_of(benchmark, shingle, radius, max_bytes)
+    items = items_of(benchmark, shingle, radius, threshold, max_bytes)
 
     def run(batches):
         for b in small(batches):
-            yield b.filter(pa.array([not f for f in items.scan(b.column("text").to_pylist(), threshold)], pa.bool_()))
+            yield b.filter(pa.array([not f for f in items.scan(b.column("text").to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -237,6 +237,25 @@ def test_decontamination_finds_items_wherever_they_stand(spark):
         decontaminate.contamination(docs, bench, max_bytes=10)
 
 
+def test_decontamination_finds_edited_items(spark):
+    """Whatever keeps four fifths of an item's shingles in place is found, what keeps fewer is not."""
+    rnd = random.Random(14)
+    vocabulary = ["".join(rnd.choices("klmnopqrst", k=5)) for _ in range(3000)]
+    items = [(i, rnd.choices(vocabulary, k=n)) for i, n in enumerate([20, 29, 38, 54, 60, 90, 150, 300, 600] * 6)]
+    rows, want = [], set()
+    for i, w in items:
+        new = list(w)
+        for at in rnd.sample(range(len(w)), max(1, len(w) // 26)):
+            new[at] = "edited"
+        share = sum(new[j:j + 5] == w[j:j + 5] for j in range(len(w) - 4)) / (len(w) - 4)
+        rows.append((i, " ".join(rnd.choices(vocabulary, k=rnd.randrange(60)) + new + rnd.choices(vocabulary, k=20)), "en", "s", 1))
+        want |= {i} if share >= 0.8 else set()
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {r["doc_id"]: [h["item_id"] for h in r["hits"]] for r in decontaminate.contamination(spark.createDataFrame(rows, DOCS), bench).collect()}
+    assert {d for d, hit in got.items() if hit} == want and all(hit in ([], [d]) for d, hit in got.items())
+    assert 20 < len(want) < len(rows)
+
+
 def test_decontamination_against_all_places(spark, sample):
     """Every document that holds nearly all shingles of an item is found, no other."""
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
