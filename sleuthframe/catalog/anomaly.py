@@ -68,6 +68,46 @@ def tfidf(spark, folder):
     return x.select("record", F.get(names, F.col("e.i")).alias("term"), F.round("e.w", 6).alias("weight"))
 
 
+@query("token_reasons", f"""
+WITH {TERMS},
+fields AS (SELECT event_id AS record, CASE event_type WHEN 'click' THEN 4624 WHEN 'view' THEN 7036 WHEN 'purchase' THEN 4688
+  WHEN 'error' THEN 4625 ELSE 6416 END AS code, 'user' || user_id AS account, 'WORK-' || lpad((user_id % 40)::VARCHAR, 3, '0') AS station FROM events)
+SELECT record, term, CASE
+  WHEN term LIKE '%ip%' OR term LIKE '%workstation%' THEN 'rare source IP / endpoint (' || station || ')'
+  WHEN term LIKE '%4625%' OR code = 4625 THEN 'repeated authentication failure (Event ID 4625)'
+  WHEN term LIKE '%4688%' OR term = '1' OR code IN (4688, 1) THEN 'unusual process execution (unusual binary)'
+  WHEN term LIKE '%6416%' OR code = 6416 THEN 'unusual USB hardware insertion (Event ID 6416)'
+  WHEN term LIKE '%user%' OR term LIKE '%admin%' THEN 'unusual account access (' || account || ')'
+  WHEN term LIKE '%time%' OR term LIKE '%logon%' THEN 'unusual login time or logon type'
+  ELSE 'anomalous event characteristic (' || term || ')' END AS reason
+FROM (SELECT DISTINCT record, term FROM kept WHERE record >= 0) JOIN fields USING (record)
+""")
+def token_reasons(spark, folder):
+    """Every term of every record with the reason it would be given."""
+    r = records(spark, folder)
+    words = anomaly.tokens(anomaly.row_text(F.col("event_id"), F.col("provider"), F.col("data")), anomaly.stop_words(spark))
+    each = r.select("record", "event_id", "data", F.explode(F.array_distinct(words)).alias("term"))
+    return each.select("record", "term", anomaly.token_reason(F.col("term"), F.col("data"), F.col("event_id")).alias("reason"))
+
+
+@query("finding_fields", """
+WITH r AS (SELECT event_id AS record, CASE event_type WHEN 'click' THEN 4624 WHEN 'view' THEN 7036 WHEN 'purchase' THEN 4688
+  WHEN 'error' THEN 4625 ELSE 6416 END AS code, value / 200::DOUBLE AS confidence FROM events WHERE value >= 100)
+SELECT record, 'Anomaly Event ID ' || code || ': Security' AS title, CASE WHEN confidence >= 0.8 THEN 'high' ELSE 'medium' END AS severity,
+  floor(confidence * 100)::BIGINT AS risk_score, CASE
+  WHEN code = 4625 THEN 'Investigate workstation brute force patterns and check for Active Directory lockouts.'
+  WHEN code IN (4688, 1) THEN 'Analyze execution binary hashes against VirusTotal and check parent process chains.'
+  WHEN code = 6416 THEN 'Review physical security logs and audit active USB registry entries.'
+  ELSE 'Validate host network traffic logs and execute memory forensics.' END AS recommendation FROM r
+""")
+def finding_fields(spark, folder):
+    """Title, severity, risk and advice of findings; events of value 100 and more stand for outliers, their value for the confidence."""
+    value = table(spark, folder, "events").select(F.col("event_id").alias("record"), "value")
+    scored = records(spark, folder).join(value, "record").withColumns(
+        {"is_outlier": F.col("value") >= 100, "confidence": F.col("value") / F.lit(200.0)})
+    return anomaly.findings(scored).select("record", "title", "severity", "risk_score", "recommendation")
+
+
 @query("iforest_rank")
 def iforest_rank(spark, folder):
     """Every record with its decision value and confidence; tests check the ranking and the share flagged."""

@@ -80,8 +80,7 @@ def dressed(spark, folder):
 
 
 def _counted(spark, docs, key):
-    best = tx.extract_entities(docs, [key])
-    return best.select(key, "artifact_type", F.lower("value").alias("entity"), "confidence")
+    return tx.entity_values(docs, [key]).drop("n_hits")
 
 
 @query("entities", f"""
@@ -100,18 +99,51 @@ def entities_log(spark, folder):
     return _counted(spark, dressed(spark, folder), "event_id")
 
 
-@query("entity_offsets")
+def _offsets_sql(source: str, key: str) -> str:
+    """Every hit with its offsets: lengths of the gaps and matches before it, summed."""
+    parts = []
+    for n, (kind, pattern, confidence) in enumerate(tx.ENTITY_PATTERNS):
+        p, grouped = sql_pattern(pattern), kind in ("USERNAME", "PERSON")
+        group = f"regexp_extract_all(text, {p}, 1)" if grouped else f"regexp_extract_all(text, {p}, 0)"
+        rule = "person_prefix" if kind == "PERSON" else pattern.removeprefix("(?i)")[:30]
+        extractor = "rule-based" if kind == "PERSON" else "regex-fallback"
+        parts.append(
+            f"SELECT {key}, text, {n} AS spec, '{kind}' AS artifact_type, {confidence}::DOUBLE AS confidence, '{extractor}' AS extractor, "
+            f"{sql_text(rule)} AS rule, generate_subscripts(m, 1) AS i, unnest(m) AS matched, unnest(g) AS grp, unnest(gaps[1:len(m)]) AS gap "
+            f"FROM (SELECT {key}, text, regexp_extract_all(text, {p}, 0) AS m, {group} AS g, string_split_regex(text, {p}) AS gaps "
+            f"FROM {source}) WHERE len(m) > 0")
+    hits = " UNION ALL ".join(parts)
+    return f"""
+hits AS ({hits}),
+placed AS (SELECT *, CASE WHEN grp <> '' THEN grp ELSE matched END AS whole,
+  sum(length(gap) + length(matched)) OVER (PARTITION BY {key}, spec ORDER BY i)::BIGINT AS end_char FROM hits),
+stripped AS (SELECT *, trim(whole, E' \\t\\n\\r') AS value, end_char - length(whole) AS start_char FROM placed),
+kept AS (SELECT * FROM stripped WHERE length(value) >= CASE WHEN artifact_type IN ('USERNAME', 'HOSTNAME') THEN 5
+    WHEN artifact_type = 'PERSON' THEN 3 ELSE 2 END
+  AND NOT (artifact_type = 'DOMAIN' AND regexp_matches(value, '^' || {sql_pattern(tx.IP_V4)}))
+  AND NOT (artifact_type IN ('HOSTNAME', 'USERNAME', 'PROCESS') AND regexp_full_match(value, '[0-9]+'))),
+shown AS (SELECT *, translate(substr(text, greatest(start_char - 40, 0) + 1, end_char + 40 - greatest(start_char - 40, 0)), E'\\r\\n', '  ') AS around,
+  start_char > 40 OR end_char + 40 < length(text) AS clipped FROM kept)
+"""
+
+
+@query("entity_offsets", f"""
+WITH src AS (SELECT doc_id, text FROM documents WHERE length(text) > 0), {_offsets_sql("src", "doc_id")}
+SELECT doc_id, spec, artifact_type, value, confidence, extractor, CASE WHEN clipped THEN '...' || around || '...' ELSE around END AS context_snippet,
+  start_char, end_char, rule FROM shown
+""")
 def entity_offsets(spark, folder):
-    """Every hit in the documents with offsets and snippet (tests compare it with Python's re)."""
+    """Every hit in the documents with offsets and snippet."""
     return tx.entity_hits(table(spark, folder, "documents", spread=True), ["doc_id"])
 
 
 @query("entities_pages", f"""
-WITH src AS (SELECT page_id, url AS text FROM pages), {_hits_sql("src", "page_id")}
+WITH src AS (SELECT page_id, url || E'\\n' || html AS text FROM pages), {_hits_sql("src", "page_id")}
 SELECT page_id, artifact_type, entity, confidence FROM best
 """)
 def entities_pages(spark, folder):
-    return _counted(spark, table(spark, folder, "pages").select("page_id", F.col("url").alias("text")), "page_id")
+    whole = F.concat("url", F.lit("\n"), "html").alias("text")
+    return _counted(spark, table(spark, folder, "pages", spread=True).select("page_id", whole), "page_id")
 
 
 @query("event_lines", f"""
@@ -194,14 +226,15 @@ def iocs(spark, folder):
 
 
 @query("iocs_pages", f"""
-WITH t AS (SELECT page_id, 'visit ' || url || ', then (' || url || ').' AS body, md5(url) AS digest FROM pages)
+WITH t AS (SELECT page_id, 'visit ' || url || ', then (' || url || E').\\n' || html AS body, md5(url) AS digest FROM pages)
 SELECT page_id, 'ip' AS indicator_type, unnest(list_distinct(regexp_extract_all(body, {sql_pattern(tx.IP_V4)}))) AS value FROM t
 UNION ALL SELECT page_id, 'url', regexp_replace(unnest(list_distinct(regexp_extract_all(body, {sql_pattern(tx.IOC_URL)}))), '[.,;)]+$', '') FROM t
 UNION ALL SELECT page_id, 'sha256', digest FROM t
 """)
 def iocs_pages(spark, folder):
-    p = table(spark, folder, "pages")
-    body = F.concat(F.lit("visit "), F.col("url"), F.lit(", then ("), F.col("url"), F.lit(")."))
+    """Indicators of the url, written as a log would, and of the whole page."""
+    p = table(spark, folder, "pages", spread=True)
+    body = F.concat(F.lit("visit "), "url", F.lit(", then ("), "url", F.lit(").\n"), "html")
     return p.select("page_id", F.inline(tx.indicators(body, F.md5(F.col("url").cast("binary")))))
 
 

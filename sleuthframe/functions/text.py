@@ -46,8 +46,12 @@ _CHUNK = 256
 _REACH = 40
 
 
+#: Unicode white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return F.btrim(value, F.lit(WHITE))
 
 
 def find_all(text: Column, pattern: str, group: int = 0) -> Column:
@@ -60,6 +64,42 @@ def lines(text: Column) -> Column:
 
 # ---- entities ---------------------------------------------------------------
 
+def _accepted() -> Column:
+    """Whether a stripped value is long enough and of the kind its type says."""
+    kind, size = F.col("artifact_type"), F.length("value")
+    least = F.when(kind.isin("USERNAME", "HOSTNAME"), 5).when(kind == "PERSON", 3).when(kind == "EVENT", 10).otherwise(2)
+    return ((size >= least)
+            & ~((kind == "DOMAIN") & (F.col("value").contains("/") | F.col("value").contains("\\")
+                                      | F.col("value").rlike("^" + UNICODE + IP_V4)))
+            & ~(kind.isin("HOSTNAME", "USERNAME", "PROCESS") & F.col("value").rlike(r"(?U)^\d+$")))
+
+
+def entity_values(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """keys, artifact_type, entity (lower-cased value), confidence (the greatest), n_hits: the entities without their places.
+
+    Each text is matched once, and no offsets or snippets are made; equal entities
+    of a text are counted before they are shuffled.
+    """
+    body = F.col(text)
+
+    def values(kind: str, pattern: str) -> Column:
+        whole = find_all(body, pattern)
+        if kind not in ("USERNAME", "PERSON"):
+            return whole
+        return F.zip_with(find_all(body, pattern, 1), whole, lambda g, m: F.when(g != "", g).otherwise(m))
+
+    def found(kind: str, confidence: float, values: Column) -> Column:
+        return F.struct(F.lit(kind).alias("artifact_type"), F.lit(confidence).alias("confidence"), values.alias("values"))
+
+    every = [found(kind, confidence, F.when(F.contains(body, F.lit(needed)), values(kind, pattern)) if needed else values(kind, pattern))
+             for (kind, pattern, confidence), needed in zip(ENTITY_PATTERNS, NEEDED_LITERALS)]
+    every.append(found("EVENT", 0.85, F.filter(lines(body), lambda line: F.lower(line).rlike("|".join(EVENT_WORDS)))))
+    hits = docs.filter(F.length(text) > 0).select(*keys, F.inline(F.array(*every)))
+    hits = hits.select(*keys, "artifact_type", "confidence", F.explode(F.transform("values", strip)).alias("value")).filter(_accepted())
+    return (hits.groupBy(*keys, "artifact_type", F.lower("value").alias("entity"))
+            .agg(F.max("confidence").alias("confidence"), F.count("*").alias("n_hits")))
+
+
 def entity_hits(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Every accepted pattern hit with its offsets and snippet, one row per hit.
 
@@ -114,12 +154,7 @@ def entity_hits(docs: DataFrame, keys: list[str], text: str = "text") -> DataFra
     hits = hits.withColumns({
         "length": F.length("value"), "start_char": F.col("end_char") - F.length("value"), "value": strip(F.col("value")),
         "lead": F.concat("before", F.expr("left(matched, length(matched) - length(value))"))})
-    kind, size = F.col("artifact_type"), F.length("value")
-    hits = hits.filter(
-        (size >= F.when(kind.isin("USERNAME", "HOSTNAME"), 5).when(kind == "PERSON", 3).otherwise(2))
-        & ~((kind == "DOMAIN") & (F.col("value").rlike("^" + UNICODE + IP_V4) | F.col("value").contains("/")
-                                  | F.col("value").contains("\\")))
-        & ~(kind.isin("HOSTNAME", "USERNAME", "PROCESS") & F.col("value").rlike(r"(?U)^\d+$")))
+    hits, kind = hits.filter(_accepted()), F.col("artifact_type")
     window = F.concat(F.expr(f"right(lead, {_REACH})"), F.expr("right(matched, length)"), F.expr(f"left(after, {_REACH})"))
     plain = F.translate(window, "\r\n", "  ")
     clipped = (F.col("start_char") > _REACH) | (F.col("end_char") + _REACH < F.col("n_chars"))

@@ -71,6 +71,19 @@ def test_best_entity_keeps_first_of_equal_confidence(spark):
     assert rows["EMAIL", "a.b@c.com"] == 5 and ("EMAIL", "A.B@c.com") not in rows
 
 
+def test_values_are_those_of_the_full_entities(spark):
+    texts = [PARAGRAPH, "", None, "mail a.b@c.com then A.B@c.com", "\u2003login failed here\u3000\nsudo ls \u00a0", "User: Jane Doe user=\u00e4b ip 10.0.0.1, 10.0.0.1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    full = {(r.id, r.artifact_type, r.value.lower(), r.confidence) for r in tx.extract_entities(df, ["id"]).collect()}
+    brief = [(r.id, r.artifact_type, r.entity, r.confidence) for r in tx.entity_values(df, ["id"]).collect()]
+    assert set(brief) == full and len(brief) == len(full)
+
+
+def test_strip_takes_unicode_white_space(spark):
+    df = spark.createDataFrame([("\u3000\t a b\u2028\xa0\r\n",), ("",), (None,), ("\u00e4",)], "v string")
+    assert [r[0] for r in df.select(tx.strip(F.col("v"))).collect()] == ["a b", "", None, "\u00e4"]
+
+
 def test_scorer_comes_first(spark):
     df = spark.createDataFrame([(1, "User: Jane Doe")], "id long, text string")
     ner = lambda docs: docs.select("id", F.lit("PERSON").alias("artifact_type"), F.lit("jane doe").alias("value"), F.lit(0.88).alias("confidence"),
