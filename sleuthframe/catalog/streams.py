@@ -41,10 +41,13 @@ def stream_extract(spark, folder):
     return streams.run_append(rows, streams.work_path(spark, "extract"))
 
 
-def _latest(spark, folder):
+def _feed(spark, folder):
     status = (F.when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "purchase", "COMPLETED").otherwise("PROCESSING"))
-    feed = _events(spark, folder).select("user_id", F.col("ts").alias("at"), "event_id", status.alias("status"), F.col("event_type").alias("stage"))
-    latest = streams.latest_status(feed, ["user_id"], "at", ["event_id", "status", "stage"])
+    return _events(spark, folder).select("user_id", F.col("ts").alias("at"), "event_id", status.alias("status"), F.col("event_type").alias("stage"))
+
+
+def _latest(spark, folder):
+    latest = streams.latest_status(_feed(spark, folder), ["user_id"], "at", ["event_id", "status", "stage"])
     return streams.run_update(latest, ["user_id"], streams.work_path(spark, "latest"))
 
 
@@ -71,6 +74,20 @@ def stream_stuck(spark, folder):
     return streams.stuck(_latest(spark, folder), now).select("user_id", "status", "stage_message")
 
 
+@query("stream_stuck_timer", f"""
+WITH {LATEST}
+SELECT user_id, t, 'FAILED' AS status, 'Job timed out while processing at stage ''' || stage || '''.' AS stage_message,
+  '{{"error":"no progress before the time limit","stage_at_timeout":"' || stage || '","cleanup_action":"auto_reset_to_failed"}}' AS error_info,
+  'STUCK_JOB_CLEANUP' AS action, 'Job ' || user_id || ' failed: stuck at stage ''' || stage || '''.' AS description FROM st
+WHERE status = 'PROCESSING' AND t // 1000 + 1800000 < (SELECT max(epoch_us(ts)) FROM events) // 1000 - 600000
+""")
+def stream_stuck_timer(spark, folder):
+    """The feed watched by timers until its input is used up; each job failed with its audit row."""
+    late = streams.stuck_by_timer(_feed(spark, folder), "user_id", "at", "event_id")
+    found = streams.run_append(late, streams.work_path(spark, "timers"))
+    return streams.failed(found).drop("stage").join(streams.cleanup_audit(found, "user_id"), "user_id")
+
+
 @query("stream_daily", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
 def stream_daily(spark, folder):
     return streams.run_update(streams.daily_counts(_events(spark, folder)), ["day"], streams.work_path(spark, "daily"))

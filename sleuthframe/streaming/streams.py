@@ -8,7 +8,9 @@ key counts.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..config import DEFAULT, Settings
@@ -70,8 +72,8 @@ def run_ingest(arrivals: DataFrame, path: str, content: Column, keys: tuple[str,
         hashed = dedup.with_digests(batch, content)
         first = dedup.first_of_group(hashed, list(keys), order)
         if number:
-            earlier = [f"{path}/rows/batch={n}" for n in range(number)]
-            first = dedup.not_seen(first, spark.read.parquet(*earlier), keys)
+            kept = spark.read.schema(first.select(*columns).schema.add("batch", "long")).parquet(f"{path}/rows")
+            first = dedup.not_seen(first, kept.where(F.col("batch") < number), keys)
         first.select(*columns).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
 
     query = (arrivals.writeStream.option("checkpointLocation", f"{path}/_state").foreachBatch(accept)
@@ -94,9 +96,57 @@ def latest_status(events: DataFrame, key: list[str], at: str, keep: list[str]) -
 def stuck(latest: DataFrame, now: Column, at: str = "at", minutes: int = 30) -> DataFrame:
     """Feeds whose newest state is PROCESSING for longer than the threshold, failed with a message."""
     late = (F.col("status") == "PROCESSING") & (F.col(at) < now - F.make_dt_interval(mins=F.lit(minutes)))
-    return latest.filter(late).withColumns({
+    return failed(latest.filter(late))
+
+
+def failed(stuck_feeds: DataFrame) -> DataFrame:
+    """The fields of a job that ran out of time at ``stage``: status, message, error details."""
+    return stuck_feeds.withColumns({
         "status": F.lit("FAILED"),
-        "stage_message": F.concat(F.lit("Job timed out while processing at stage '"), "stage", F.lit("'."))})
+        "stage_message": F.concat(F.lit("Job timed out while processing at stage '"), "stage", F.lit("'.")),
+        "error_info": F.to_json(F.struct(F.lit("no progress before the time limit").alias("error"),
+                                         F.col("stage").alias("stage_at_timeout"),
+                                         F.lit("auto_reset_to_failed").alias("cleanup_action")))})
+
+
+def cleanup_audit(stuck_feeds: DataFrame, key: str) -> DataFrame:
+    """One audit row for each job that was failed."""
+    return stuck_feeds.select(
+        key, F.lit("STUCK_JOB_CLEANUP").alias("action"),
+        F.concat(F.lit("Job "), F.col(key).cast("string"), F.lit(" failed: stuck at stage '"), "stage", F.lit("'.")).alias("description"))
+
+
+def stuck_by_timer(feed: DataFrame, key: str, at: str, order: str, minutes: int = 30, delay: str = "10 minutes") -> DataFrame:
+    """key, t (microseconds), stage of every feed whose newest state stays PROCESSING for longer than the threshold.
+
+    A timer on event time stands for each feed: it fires when the watermark (the newest
+    time seen less ``delay``) has passed the newest state by ``minutes``, and every newer
+    state sets it again.  ``order`` (a long) breaks ties of time.  A feed that ended is
+    forgotten when its timer fires, so that state holds the feeds of the last minutes.
+    """
+    kind = feed.schema[key].dataType.simpleString()
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        newest = tuple(state.get) if state.exists else None
+        fires = state.hasTimedOut
+        if not fires:
+            for b in batches:
+                for row in b[["t", "o", "status", "stage"]].itertuples(index=False, name=None):
+                    newest = row if newest is None or row[:2] >= newest[:2] else newest
+            ends = int(newest[0]) // 1000 + minutes * 60_000
+            fires = ends <= state.getCurrentWatermarkMs()
+            if not fires:
+                state.update((int(newest[0]), int(newest[1]), newest[2], newest[3]))
+                state.setTimeoutTimestamp(ends)
+                return
+        if state.exists:
+            state.remove()
+        if newest[2] == "PROCESSING":
+            yield pd.DataFrame({key: [k[0]], "t": [int(newest[0])], "stage": [newest[3]]})
+
+    rows = feed.withWatermark(at, delay).select(key, at, F.unix_micros(at).alias("t"), F.col(order).cast("long").alias("o"), "status", "stage")
+    return rows.groupBy(key).applyInPandasWithState(
+        step, f"{key} {kind}, t long, stage string", "t long, o long, status string, stage string", "append", "EventTimeTimeout")
 
 
 def daily_counts(events: DataFrame, at: str = "ts", delay: str = "1 day") -> DataFrame:

@@ -164,6 +164,26 @@ def test_streams_match_batches_over_several_micro_batches(spark, tmp_path):
     assert got.select("sha256").distinct().count() == got.count() == 70
 
 
+def test_timers_fail_stuck_jobs_over_batches_and_restarts(spark, tmp_path):
+    from datetime import datetime
+    from sleuthframe.streaming import streams
+    at = lambda h, m=0: datetime(2024, 1, 1, h, m)
+    parts = [[(1, at(1), 1, "PROCESSING", "parse"), (2, at(1), 2, "PROCESSING", "hash"), (3, at(1), 3, "PROCESSING", "parse")],
+             [(2, at(1, 20), 4, "COMPLETED", "done"), (3, at(1, 20), 5, "PROCESSING", "score"), (4, at(1, 25), 6, "FAILED", "parse")],
+             [(3, at(1, 45), 7, "COMPLETED", "done"), (5, at(3), 8, "PROCESSING", "parse"), (6, at(3), 9, None, None)],
+             [(7, at(5), 10, "COMPLETED", "done")]]
+    schema = "job long, at timestamp, n long, status string, stage string"
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+        if i != 1:  # the query is stopped and started again between the parts
+            out = streams.run_append(streams.stuck_by_timer(stream, "job", "at", "n"), str(tmp_path / "out"))
+    assert sorted((r.job, r.stage) for r in out.collect()) == [(1, "parse"), (5, "parse")]
+    assert [r.status for r in streams.failed(out).collect()] == ["FAILED", "FAILED"]
+    assert {r.description for r in streams.cleanup_audit(out, "job").collect()} == {
+        "Job 1 failed: stuck at stage 'parse'.", "Job 5 failed: stuck at stage 'parse'."}
+
+
 def test_late_events_are_dropped_by_the_watermark(spark, tmp_path):
     from datetime import datetime
     from sleuthframe.streaming import streams
