@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import views
 from ..functions import similarity, timeparse
-from ..operators import correlate, timeline as tl
+from ..operators import correlate, scan, timeline as tl
 from ..session import table
 from . import query
 from .correlation import ARTIFACT, IN_CASE, SCORE, SIMILARITY
@@ -154,18 +154,20 @@ def time_formats(spark, folder):
 
 @query("sql_functions", f"""
 WITH {ARTIFACT},
-p AS (SELECT a.id, a.t, lag(a.t) OVER w AS t2, a.event_type AS e1, lag(a.event_type) OVER w AS e2, a.source AS s1, lag(a.source) OVER w AS s2
-  FROM artifact a WINDOW w AS (PARTITION BY case_id, entity_value ORDER BY t, seq))
-SELECT id, CASE WHEN e1 = e2 THEN 1.0 ELSE 0.3 END AS event_similarity, CASE WHEN s1 = s2 THEN 1.0 ELSE 0.2 END AS source_similarity,
-  abs(t - t2) < 3600000000 AS near FROM p WHERE t2 IS NOT NULL
+points AS (SELECT case_id, entity_value, t, arg_max(source, seq) AS source, arg_max(event_type, seq) AS event_type FROM artifact GROUP BY 1, 2, 3),
+before AS (SELECT case_id, entity_value, t AS here, lag(t) OVER w AS t, lag(source) OVER w AS source, lag(event_type) OVER w AS event_type
+  FROM points WINDOW w AS (PARTITION BY case_id, entity_value ORDER BY t)),
+p AS (SELECT a.id, {SIMILARITY} FROM artifact a JOIN before b ON a.case_id = b.case_id AND a.entity_value = b.entity_value AND a.t = b.here
+  WHERE b.t IS NOT NULL)
+SELECT id, s_time, s_entity, s_source, s_event, {SCORE} AS score FROM p
 """)
 def sql_functions(spark, folder):
-    """The similarities by their SQL names, between successive sightings of an entity."""
+    """The similarities and the score by their SQL names, between each sighting of an entity and the last row of the instant before."""
     similarity.register_sql_functions(spark)
-    views.artifacts(spark, folder).createOrReplaceTempView("artifact_rows")
-    return spark.sql("""
-        SELECT id, event_similarity(e1, e2) AS event_similarity, source_similarity(s1, s2) AS source_similarity,
-               time_similarity(t, t2) > 0 AS near
-        FROM (SELECT id, t, lag(t) OVER w AS t2, event_type AS e1, lag(event_type) OVER w AS e2, source AS s1, lag(source) OVER w AS s2
-              FROM artifact_rows WINDOW w AS (PARTITION BY case_id, entity_value ORDER BY t, seq))
-        WHERE t2 IS NOT NULL""")
+    a, keys = views.artifacts(spark, folder), ["case_id", "entity_value"]
+    points = a.groupBy(*keys, "t").agg(F.max(F.struct("t", "seq", "entity_value", "source", "event_type")).alias("last"))
+    before = scan.ordered_scan(points, keys, "t", {"b": ("max", F.col("last"))}, "before").where("b IS NOT NULL")
+    each = a.join(before.select(*keys, "t", "b"), [*keys, "t"]).selectExpr(
+        "id", "time_similarity(t, b.t) AS s_time", "entity_similarity(entity_value, b.entity_value) AS s_entity",
+        "source_similarity(source, b.source) AS s_source", "event_similarity(event_type, b.event_type) AS s_event")
+    return each.selectExpr("*", "correlation_score(s_time, s_entity, s_source, s_event) AS score")
