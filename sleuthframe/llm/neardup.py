@@ -28,10 +28,11 @@ from .common import bit_majority, connected, shingle_codes, small, texts, word_c
 LIMIT = 4096
 
 
-def simhashes(batch: list, shingle: int, prints: int = 1) -> list[np.ndarray]:
+def simhashes(batch: list, shingle: int, prints: int = 1, distinct: bool = False) -> list[np.ndarray]:
     """64-bit fingerprints of texts; hash: XXH64 with seed 42 of the words joined by a space.
 
-    Every further one of ``prints`` fingerprints mixes the same hashes anew.
+    Every further one of ``prints`` fingerprints mixes the same hashes anew.  ``distinct``
+    counts a shingle once however often it stands in the text.
     """
     digest, parts, sizes, held = xxhash.xxh64_digest, [], [], 0
     out: list[list] = [[] for _ in range(prints)]
@@ -53,9 +54,12 @@ def simhashes(batch: list, shingle: int, prints: int = 1) -> list[np.ndarray]:
         ends = np.cumsum([len(w) + 1 for w in found])
         starts = [0, *ends[:len(found) - k].tolist()]
         stops = (ends[k - 1:] - 1).tolist()
-        parts.append(b"".join([digest(joined[i:j], 42) for i, j in zip(starts, stops)]))
-        sizes.append(len(starts))
-        held += len(starts)
+        hashes = [digest(joined[i:j], 42) for i, j in zip(starts, stops)]
+        if distinct:
+            hashes = set(hashes)
+        parts.append(b"".join(hashes))
+        sizes.append(len(hashes))
+        held += len(hashes)
         if held > 500_000:
             flush()
             parts, sizes, held = [], [], 0
@@ -83,10 +87,13 @@ def segments_of(radius: int, segments: int) -> list[tuple[int, int, int]]:
     return [(sum(widths[:i]), widths[i], tolerance[i]) for i in range(segments) if tolerance[i] >= 0]
 
 
-def keys_of(fp: np.ndarray, plan: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and fingerprints: each one's balls in all segments; the segment's number is in the top six bits."""
+def keys_of(fp: np.ndarray, plan: list[tuple[int, int, int]], kind: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and fingerprints: each one's balls in all segments; the segment's number is in the top six bits.
+
+    Fingerprints of another ``kind`` never share a key: segments are counted on over the kinds.
+    """
     keys, owners = [], []
-    for s, (low, width, tolerance) in enumerate(plan):
+    for s, (low, width, tolerance) in enumerate(plan, kind * len(plan)):
         value = (fp >> np.uint64(low)) & np.uint64((1 << width) - 1)
         top = np.uint64(s << 58)
         keys.append(value | top)
@@ -138,7 +145,7 @@ def link_runs(keys: np.ndarray, fps: np.ndarray, radius: int, plan) -> tuple[np.
     for i, g in zip(at[size > 16], size[size > 16]):
         run = np.unique(fps[i:i + g])
         if plan:  # all reached this key over the same flipped bits: their own key links them
-            low, width, _ = plan[int(keys[i]) >> 58]
+            low, width, _ = plan[(int(keys[i]) >> 58) % len(plan)]
             values = (run >> np.uint64(low)) & np.uint64((1 << width) - 1)
             if (values == values[0]).all() and int(values[0]) != int(keys[i]) & ((1 << 58) - 1):
                 continue
@@ -197,23 +204,30 @@ def linker(radius: int, plan, limit: int | None):
     return run
 
 
-def links(prints: DataFrame, radius: int = 4, segments: int = 2, limit: int = LIMIT) -> DataFrame:
+def links(prints: DataFrame, radius: int = 4, segments: int = 2, limit: int = LIMIT, kinds: int = 1) -> DataFrame:
     """a, b: links between fingerprints at most ``radius`` bits apart that connect all that such links connect.
 
-    prints: column fp, distinct and not null.  Every fingerprint keeps a link to its
-    nearest one within the radius under each key they share.
+    prints: column fp, distinct and not null; with a column kind (integers from 0 to
+    ``kinds`` - 1) distinct within a kind, and only those of one kind are linked.  Every
+    fingerprint keeps a link to its nearest one within the radius under each key they share.
     """
     spark, plan = prints.sparkSession, segments_of(radius, segments)
+    if kinds * len(plan) > 64:
+        raise ValueError("at most 64 segments over all kinds are supported")
 
     def emit(batches):
         for b in batches:
-            fp = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            for part in range(0, len(fp), 2000):
-                keys, owners = keys_of(fp[part:part + 2000], plan)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(owners.view(np.int64))], ["key", "fp"])
-
-    filed = prints.select("fp").mapInArrow(emit, "key long, fp long")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            every = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            kind = b.column("kind").to_numpy(zero_copy_only=False)
+            for k in range(kinds):
+                fp = every[kind == k]
+                for part in range(0, len(fp), 2000):
+                    keys, owners = keys_of(fp[part:part + 2000], plan, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(owners.view(np.int64))], ["key", "fp"])
+
+    named = F.col("kind").cast("int") if "kind" in prints.columns else F.lit(0)
+    filed = prints.select("fp", named.alias("kind")).mapInArrow(emit, "key long, fp long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * kinds
     found = durable(filed.repartition(parts, "key").sortWithinPartitions("key")
                     .mapInArrow(linker(radius, plan, limit), "a long, b long, key long"))
     near, large = found.where("b is not null").select("a", "b"), found.where("b is null").select("key", F.col("a").alias("fp"))
@@ -268,17 +282,104 @@ def _similar(threshold: float):
     return run
 
 
+def rivals_of(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, label: np.ndarray, size: np.ndarray, radius: int,
+              cap: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of nodes of two groups within the radius under one key, and whether there are more.
+
+    The member of the smaller group meets its ``cap`` nearest ones of larger groups.
+    """
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    ends = np.r_[at[1:], len(keys)]
+    mixed = np.minimum.reduceat(label, at) != np.maximum.reduceat(label, at)
+    a, b, more = [], [], False
+    for i, j in zip(at[mixed], ends[mixed]):
+        f, n, l, z = fp[i:j], node[i:j], label[i:j], size[i:j]
+        for s in range(0, len(f), 256):
+            r = slice(s, s + 256)
+            apart = np.bitwise_count(f[r, None] ^ f)
+            larger = (z[r, None] < z) | ((z[r, None] == z) & (l[r, None] > l))
+            apart[~larger | (apart > radius)] = 255
+            if (apart < 255).sum(1).max() > cap:
+                more = True
+                far = np.argpartition(apart, cap, axis=1)[:, cap:]
+                np.put_along_axis(apart, far, 255, axis=1)
+            x, y = np.nonzero(apart < 255)
+            a.append(n[r][x])
+            b.append(n[y])
+    if not a:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    both = np.unique(np.c_[np.concatenate(a), np.concatenate(b)], axis=0)
+    return both.min(1), both.max(1), more
+
+
+def rivals(members: DataFrame, radius: int, segments: int, cap: int, limit: int = LIMIT) -> DataFrame:
+    """a, b: nodes of two groups with fingerprints of one kind within the radius; a row without b says that there are more.
+
+    members: kind, fp, node, label and size of its group.  A member meets at most ``cap``
+    others under each key and block; keys of over ``limit`` members are cut into blocks
+    and every two blocks meet.
+    """
+    spark, plan, columns = members.sparkSession, segments_of(radius, segments), ["fp", "node", "label", "size"]
+    schema = "key long, fp long, node long, label long, size long"
+
+    def emit(batches):
+        for b in small(batches, 2000):
+            kind = b.column("kind").to_numpy(zero_copy_only=False)
+            for k in np.unique(kind):
+                at = np.flatnonzero(kind == k)
+                fp, *others = (b.column(c).to_numpy(zero_copy_only=False)[at] for c in columns)
+                order = np.argsort(fp, kind="stable")
+                keys, owners = keys_of(np.unique(fp).view(np.uint64), plan, int(k))
+                low, high = (np.searchsorted(fp[order], owners.view(np.int64), side) for side in ("left", "right"))
+                n = high - low  # all members that share the fingerprint
+                own = order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                filed = np.repeat(keys, n)
+                yield pa.RecordBatch.from_arrays([pa.array(filed.view(np.int64)), pa.array(fp[own]), *[pa.array(x[own]) for x in others]],
+                                                 ["key", *columns])
+
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 5
+        for batch in batches:
+            held = [np.r_[x, batch.column(c).to_numpy(zero_copy_only=False)] for x, c in zip(held, ["key", *columns])]
+            last = int(np.argmax(held[0] == held[0][-1])) if len(held[0]) else 0  # the last run may go on in the next batch
+            if last:
+                yield out(*rivals_of(*typed([x[:last] for x in held]), radius, cap))
+                held = [x[last:] for x in held]
+        if len(held[0]):
+            yield out(*rivals_of(*typed(held), radius, cap))
+
+    def typed(held):
+        return held[0], held[1].view(np.uint64), *held[2:]
+
+    def out(a, b, more):
+        if more:
+            return pa.RecordBatch.from_arrays([pa.array(np.r_[a, 0]), pa.array([*b.tolist(), None], pa.int64())], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    filed = durable(members.select("kind", *columns).mapInArrow(emit, schema))
+    blocks = (filed.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("l"), F.max("label").alias("m"))
+              .where("l != m").select("key", F.when(F.col("members") > limit, F.ceil(F.col("members") * 2 / limit)).otherwise(1).alias("n")))
+    own = filed.join(blocks, "key").select("key", *columns, "n", F.expr("pmod(xxhash64(node), n)").alias("i"))
+    dealt = own.select("*", F.expr("explode(sequence(0L, n - 1))").alias("j")).select(
+        F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), *columns)
+    return durable(dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct())
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 8, segments: int = 3,
                    prints: int = 3) -> DataFrame:
     """doc_id, group (least doc_id of the group) of every document.
 
     Texts with a fingerprint within ``radius`` bits, by any of ``prints`` independent
-    fingerprints, are candidates; a link stands if the two texts' sets of word shingles
-    have at least the Jaccard similarity asked for.  Candidates are the least spanning
-    links under each key, so that every text is compared with its nearest ones; texts of
-    one fingerprint are compared with the least of them, and exact copies need no
-    comparison.  Texts without words are copies of each other.  Rows without a doc_id
-    are left out; a doc_id that stands for several texts is compared by one of them.
+    fingerprints of their distinct shingles, are candidates; a link stands if the two
+    texts' sets of word shingles have at least the Jaccard similarity asked for.  First
+    every text is compared with the least one of its fingerprint, and those with their
+    nearest ones (the least spanning links under each key).  Where texts that candidates
+    connect are then in different groups, members of the smaller group meet their nearest
+    8, 64, 512 ... ones of the others, until every candidate pair is compared or in one
+    group.  Exact copies need no comparison.  Texts without words are copies of each
+    other.  Rows without a doc_id are left out; a doc_id that stands for several texts is
+    compared by one of them.
     """
     names = [f"fp{i}" for i in range(prints)]
 
@@ -286,29 +387,47 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
         for b in small(batches):
             batch = b.column("text").to_pylist()
             code = np.array([xxhash.xxh64_intdigest(b" ".join(words(t)), 7) for t in batch], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(x.view(np.int64)) for x in (code, *simhashes(batch, shingle, prints))]],
-                                             ["doc_id", "code", *names])
+            found = (code, *simhashes(batch, shingle, prints, distinct=True))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(x.view(np.int64)) for x in found]], ["doc_id", "code", *names])
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
+        both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+        return durable(both.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"))
 
     own = texts(docs).where("doc_id is not null")
     marked = durable(own.mapInArrow(run, "doc_id long, code long, " + ", ".join(f"{n} long" for n in names)))
     kinds = durable(marked.groupBy("code", *names).agg(F.min("doc_id").alias("node")))  # one row for each text
-    pairs = None
-    for name in names:
-        heads = durable(kinds.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("head")))
-        near = links(heads, radius, segments).distinct()
-        a = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a")
-        each = a.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        each = each.unionByName(kinds.select(F.col(name).alias("fp"), F.col("node").alias("b")).join(heads, "fp")
-                                .select(F.col("head").alias("a"), "b"))
-        pairs = each if pairs is None else pairs.unionByName(each)
+    each = kinds.select("node", F.posexplode(F.array(*names)).alias("kind", "fp"))
+    heads = durable(each.groupBy("kind", "fp").agg(F.min("node").alias("head")))
+    near = links(heads, radius, segments, kinds=prints).distinct()
+    a = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x"), "kind"), "a")
+    trees = a.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y"), "kind"), ["b", "kind"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    pairs = trees.unionByName(each.join(heads, ["kind", "fp"]).select(F.col("head").alias("a"), F.col("node").alias("b")))
     pairs = durable(pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = durable(shingle_sets(own.join(asked.hint("merge"), "doc_id", "left_semi").select("doc_id", "text"), shingle)
                    .groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
-    first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    sure = both.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
-    labels = connected(sure).withColumnRenamed("label", "group")
+    sure = compared(pairs)
+    labels = connected(sure)
+    met = connected(pairs).withColumnRenamed("label", "cluster")  # all that candidates connect, similar or not
+    cap, more = 8, True
+    while more:
+        groups = durable(met.join(labels, "node", "left").select("node", "cluster", F.coalesce("label", "node").alias("label")))
+        open_ = groups.groupBy("cluster").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l != m").select("cluster")
+        left = groups.join(open_, "cluster")
+        if left.isEmpty():
+            break
+        size = groups.groupBy("label").agg(F.count("*").alias("size"))
+        members = each.join(left.join(size, "label").select("node", "label", "size"), "node").select("kind", "fp", "node", "label", "size")
+        found = rivals(members, radius, segments, cap)
+        more = not found.where("b is null").isEmpty()
+        new = durable(found.where("b is not null").join(pairs, ["a", "b"], "left_anti").select("a", "b"))
+        if not new.isEmpty():
+            sure, pairs = sure.unionByName(compared(new)), pairs.unionByName(new)
+            labels = connected(sure)
+        cap *= 8
+    labels = labels.withColumnRenamed("label", "group")
     grouped = durable(kinds.join(labels, "node", "left").select("code", *names, F.coalesce("group", "node").alias("group")))
     return marked.join(grouped, ["code", *names]).select("doc_id", "group")
 

@@ -211,6 +211,44 @@ def test_near_copies_against_all_pairs(spark, sample):
     assert not [d for d in want if got[d] != d and want[d] == d] and len(lost) <= 0.1 * sum(want[d] != d for d in want)
 
 
+@pytest.mark.parametrize("repeats, common, own", [(200, 11, 60), (1, 160, 40)])
+def test_near_copies_among_texts_of_near_fingerprints(spark, repeats, common, own):
+    """Every pair within the radius is compared, also where the least text and the nearest ones are not similar."""
+    rnd = random.Random(7)
+    vocabulary = ["".join(rnd.choices("klmnopqrst", k=5)) for _ in range(3000)]
+    line, rows = " ".join(rnd.choices(vocabulary, k=common)), []
+    for g in range(40):
+        mine = rnd.choices(vocabulary, k=own)
+        for c in range(3):
+            rows.append((3 * g + c, " ".join([line] * repeats + mine[:own - c] + ["end"] * c), "en", "s", 1))
+    rnd.shuffle(rows)
+    prints = neardup.simhashes([r[1] for r in rows], 5, 3, distinct=True)
+    sets = [shingles(r[1]) for r in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if min(int(p[i] ^ p[j]).bit_count() for p in prints) <= 8]
+    linked = [(j, i) for i, j in near if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    label = groups(len(rows), linked)
+    want = {}
+    for i, r in enumerate(rows):
+        want.setdefault(label[i], []).append(r[0])
+    got = neardup.similar_groups(spark.createDataFrame(rows, DOCS), radius=8, prints=3).collect()
+    assert {r["doc_id"]: r["group"] for r in got} == {d: min(ids) for ids in want.values() for d in ids}
+    assert 40 <= len(want) < 80 and (repeats > 1 or len(near) > len(linked))
+
+
+def test_rivals_meet_across_blocks(spark):
+    """Whatever the cap and the blocks, growing caps reach all pairs of two groups within the radius."""
+    rnd = random.Random(8)
+    rows = [(k, rnd.getrandbits(4), 100 + i, 100 + i % 7, 10 + i % 7) for i in range(90) for k in (0, 1)]
+    near = {(min(a[2], b[2]), max(a[2], b[2])) for a in rows for b in rows
+            if a[0] == b[0] and a[3] != b[3] and (a[1] ^ b[1]).bit_count() <= 2}
+    members = spark.createDataFrame(rows, "kind int, fp long, node long, label long, size long")
+    for cap, limit, whole in ((1, 20, False), (200, 20, True), (200, 4096, True), (3, 4096, False)):
+        got = [(r["a"], r["b"]) for r in neardup.rivals(members, 2, 2, cap, limit).collect()]
+        found = {x for x in got if x[1] is not None}
+        assert (found == near) if whole else (found < near and len(found) > 80)
+        assert (len(got) == len(found)) == whole
+
+
 def test_decontamination_finds_items_wherever_they_stand(spark):
     rnd = random.Random(4)
     vocabulary = ["".join(rnd.choices("klmnopqrst", k=5)) for _ in range(2000)]
