@@ -1,18 +1,19 @@
 """Secret scan with multipart linking.
 
 Strong forms (an assignment to a key name, an access identifier, a long hexadecimal
-run) are reported wherever they stand.  Weak parts, a mixed 40-character run that may
-be a secret key, a service endpoint, a user name beside "user", are reported only where
+run) are reported wherever they stand.  Weak parts, a mixed run of 32 to 128 characters,
+padded or not, that may be a secret key, a service endpoint, a user name beside "user", are reported only where
 parts that complete each other stand in one scope: an identifier or user name with a
-secret, or a secret with an endpoint.  A scope is a stretch of ``reach`` characters
-around a part.  The interval join of a text's parts is one merge over their sorted
-starts, whatever their number.
+secret, or a secret with an endpoint.  Two parts share a scope if at most ``reach``
+characters lie between them, however long they are.  The interval join of a text's parts
+searches their sorted starts beside the running maximum of their ends.
 """
 
 from __future__ import annotations
 
 import bisect
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +26,7 @@ _ASSIGN = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"(?<![0-9a-f])[0-9a-f]{24,}")
 _USER = re.compile(rb"""(?<![a-z0-9])(?:user(?:name)?|login|client_?id)["']?\x20*[:=]\x20*["']?[a-z0-9@_.-]{3,64}""")
-_SECRET = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_=-])")
+_SECRET = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/]{32,128}={0,2}(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(rb"""(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\x00-\x20"'<>]{3,}""")
 
 
@@ -42,13 +43,8 @@ def mixed(run: bytes) -> bool:
     return bool(re.search(rb"[A-Z]", run) and re.search(rb"[a-z]", run) and re.search(rb"[0-9]", run))
 
 
-def within(starts: list[int], low: int, high: int) -> bool:
-    i = bisect.bisect_left(starts, low)
-    return i < len(starts) and starts[i] <= high
-
-
-def linked(found: list[tuple[int, int, int]], text: bytes, lower: bytes, reach: int) -> list[tuple[int, int, int]]:
-    """Weak parts that a complementary part stands beside."""
+def weak(found: list[tuple[int, int, int]], text: bytes, lower: bytes) -> list[tuple[int, int, int]]:
+    """(start, end, kind) in bytes of the weak parts outside the strong forms."""
     taken = [(i, j) for i, j, _ in sorted(found)]
     begins = [i for i, _ in taken]
 
@@ -56,16 +52,47 @@ def linked(found: list[tuple[int, int, int]], text: bytes, lower: bytes, reach:
         k = bisect.bisect_right(begins, i) - 1
         return not (k >= 0 and taken[k][1] > i or k + 1 < len(taken) and begins[k + 1] < j)
 
-    secrets = [(m.start(), m.end(), 4) for m in _SECRET.finditer(text) if mixed(m.group())]
-    secrets = [x for x in secrets if free(x[0], x[1])]
     users = [(m.start(), m.end(), 3) for m in _USER.finditer(lower) if free(*m.span())]
     ends = [(m.start(), m.end(), 5) for m in _ENDPOINT.finditer(lower) if free(*m.span())] if b"://" in lower else []
-    held = sorted([i for i, _, kind in found if kind in (0, 2)] + [i for i, _, _ in secrets])  # whatever may be the secret part
-    names = sorted([i for i, _, kind in found if kind == 1] + [i for i, _, _ in users])
-    places = sorted(i for i, _, _ in ends)
-    out = [x for x in secrets if within(names, x[0] - reach, x[1] + reach) or within(places, x[0] - reach, x[1] + reach)]
-    out += [x for x in users if within(held, x[0] - reach, x[1] + reach)]
-    return out + [x for x in ends if within(held, x[0] - reach, x[1] + reach)]
+    places = [i for i, _, _ in ends]  # endpoints do not overlap
+
+    def path(m: re.Match) -> bool:
+        """A run with slashes inside an endpoint, but for one of the usual 40 characters, is a part of its path."""
+        k = bisect.bisect_right(places, m.start()) - 1
+        return k >= 0 and m.end() <= ends[k][1] and len(m.group()) != 40 and b"/" in m.group()
+
+    runs = [(m.start(), m.end(), 4) for m in _SECRET.finditer(text) if mixed(m.group()) and not path(m) and free(*m.span())]
+    return users + runs + ends
+
+
+def near(parts: list[tuple[int, int, int]], reach: int):
+    """Function (start, end): whether one of the parts lies at most ``reach`` away."""
+    parts = sorted(parts)
+    starts, ends = [i for i, _, _ in parts], list(accumulate((j for _, j, _ in parts), max))
+
+    def test(start: int, end: int) -> bool:
+        k = bisect.bisect_right(starts, end + reach)
+        return k > 0 and ends[k - 1] >= start - reach
+
+    return test
+
+
+def linked(found: list[tuple[int, int, int]], parts: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int, int]]:
+    """Weak parts that a complementary part stands beside."""
+    held = near([x for x in found if x[2] in (0, 2)] + [x for x in parts if x[2] == 4], reach)  # whatever may be the secret part
+    names = near([x for x in found if x[2] == 1] + [x for x in parts if x[2] == 3], reach)
+    places = near([x for x in parts if x[2] == 5], reach)
+    return [(i, j, kind) for i, j, kind in parts if (names(i, j) or places(i, j) if kind == 4 else held(i, j))]
+
+
+def in_points(raw: bytes, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The parts with byte places turned into code points."""
+    at, seen, place = {}, 0, 0
+    for p in sorted({p for i, j, _ in found for p in (i, j)}):
+        place += len(raw[seen:p].decode("utf-8", "surrogatepass"))
+        at[p] = place
+        seen = p
+    return [(at[i], at[j], kind) for i, j, kind in found]
 
 
 def spans_of(text: str, reach: int) -> list[tuple[int, int, int]]:
@@ -73,22 +100,16 @@ def spans_of(text: str, reach: int) -> list[tuple[int, int, int]]:
     raw = text.encode("utf-8", "surrogatepass")
     lower = raw.lower()  # bytes: A-Z only
     found = strong(raw, lower)
-    found = sorted(found + linked(found, raw, lower, reach), key=lambda x: (x[0], x[2], x[1]))
-    if found and len(raw) != len(text):
-        points = sorted({p for i, j, _ in found for p in (i, j)})
-        at, seen, place = {}, 0, 0
-        for p in points:
-            place += len(raw[seen:p].decode("utf-8", "surrogatepass"))
-            at[p] = place
-            seen = p
-        found = [(at[i], at[j], kind) for i, j, kind in found]
-    return found
+    parts = weak(found, raw, lower)
+    if len(raw) != len(text):
+        found, parts = in_points(raw, found), in_points(raw, parts)
+    return sorted(found + (linked(found, parts, reach) if parts else []), key=lambda x: (x[0], x[2], x[1]))
 
 
 def secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
     """doc_id, spans (array of start, end, kind; code points, end exclusive) for every row.
 
-    ``reach``: code units between parts of one scope.  A missing or empty text has no
+    ``reach``: code points between parts of one scope.  A missing or empty text has no
     spans; a text of any length is searched whole.  Repeated rows come back as they
     are, rows without a doc_id too; other columns are left out.
     """

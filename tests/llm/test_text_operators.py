@@ -355,6 +355,25 @@ def test_weak_parts_need_each_other(spark):
     assert {r["doc_id"]: r["text"] for r in clean}[7] is None
 
 
+def test_weak_parts_beside_long_parts():
+    """The distance counts from end to start, in characters, whichever part comes first and however long it is."""
+    key = "aB3dE5gH7jK9mN1pQ2rS4tU6vW8xY0zA1bC2dE3f"
+    long_end, long_run, wide = "https://h.example.com/?q=" + "a-" * 125, "0123456789abcdef" * 20, "\u6771" * 150
+    for text, want in ((f"{long_end} {key}", [5, 4]), (f"{key} {long_end}", [4, 5]), (f"{long_run} user: bob", [2, 3]), (f"user: bob {long_run}", [3, 2]),
+                       (f"password={'x.' * 150} user: bob", [0, 3]), (f"user: bob {wide} {key}", [3, 4]), (f"user: bob{' ' * 200}{key}", [3, 4]),
+                       (f"user: bob{' ' * 201}{key}", []), (f"user: bob{wide}{wide}{key}", [])):
+        assert [k for _, _, k in secret_scan.spans_of(text, 200)] == want, text
+
+
+def test_secret_parts_of_many_lengths():
+    run = "aB3dE5gH7jK9mN1pQ2rS4tU6vW8xY0zA1bC2dE3f" * 4
+    for n in (31, 32, 40, 43, 64, 86, 128, 129):
+        for pad in ("", "=", "=="):
+            text = f"user: bob {run[:n]}{pad} end"
+            assert secret_scan.spans_of(text, 200) == ([(0, 9, 3), (10, 10 + n + len(pad), 4)] if 32 <= n <= 128 else []), (n, pad)
+    assert secret_scan.spans_of("see https://example.com/Docs/2024/Guides/Start/Here/And/There", 200) == []
+
+
 def naive_segments(scores):
     """Recursive definition: the best segment, then left and right of it."""
     best = max(((sum(scores[i:j]), -(j - i), i, j) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)), default=(0, 0, 0, 0))
