@@ -1,8 +1,8 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Every text is read through sliding windows whose lengths fit the benchmark's items: a
-copy of an item, wherever it begins and with as many broken places as the similarity
-allows, holds a whole window of the item on the sliding grid.  Windows and all windows of the items get SimHash fingerprints of word shingles.  Multi-index
+copy of an item, wherever it begins and with as many broken places as the weighted
+similarity allows, holds a whole window of the item on the sliding grid.  Windows and all windows of the items get SimHash fingerprints of word shingles.  Multi-index
 blocks (32-bit halves, each with the Hamming ball that the radius asks for) find every
 item window within the radius of a text window.  Each candidate is then verified
 exactly: the weighted share of the item's shingles that stand at that place.
@@ -11,8 +11,8 @@ exactly: the weighted share of the item's shingles that stand at that place.
 from __future__ import annotations
 
 import math
-from collections import Counter
-from itertools import combinations
+from collections import Counter, deque
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +27,46 @@ LONGEST = 128
 STRETCH = 1 << 17
 
 
-def window_of(n: int, shingle: int, threshold: float) -> int:
-    """Window length for an item of n words; items under ten words are windows of their own length.
+def most_kept(weights: list[float], n: int, shingle: int, longest: int) -> float:
+    """The most weight that a copy of n words keeps without an unbroken stretch of over ``longest`` words.
 
-    A copy that keeps the share ``threshold`` of the shingles has few broken places: one
-    inside costs ``shingle`` of them, and each word lost at the ends costs one.  The window
-    is the largest power of two that fits, wherever the grid lies, between those places.
+    weights: of the item's shingles in order.  A break between two words costs the shingles
+    over it; each word lost at an end is such a break.
     """
-    if n < 10:
-        return n
-    lost = int((1 - threshold) * (n - shingle + 1) + 1e-9)
-    whole = min((n - inside - min(lost - inside * shingle, 2 * shingle - 2)) // (inside + 1) for inside in range(lost // shingle + 1))
-    return max(8, min(LONGEST, 1 << int(math.log2((whole + 1) / 1.25))))
+    before = [0.0, *accumulate(weights)]
+    best = [0.0] * (n + 1)  # of the first j words, with a break behind them
+    open_: deque[int] = deque()  # begins of a last stretch, the best ones in falling order
+    for j in range(1, n + 1):
+        best[j] = best[j - 1]
+        i = j - shingle
+        if i >= 0:
+            gain = best[i] - before[i]
+            while open_ and best[open_[-1]] - before[open_[-1]] <= gain:
+                open_.pop()
+            open_.append(i)
+        while open_ and open_[0] < j - longest:
+            open_.popleft()
+        if open_:
+            best[j] = max(best[j], best[open_[0]] - before[open_[0]] + before[j - shingle + 1])
+    return best[n]
+
+
+def window_of(weights: list[float], n: int, shingle: int, threshold: float) -> tuple[int, int]:
+    """Window length and step of the text's grid for an item of n words with these weights of its shingles.
+
+    Every copy that keeps the share ``threshold`` of the weight has an unbroken stretch
+    in which a window lies, wherever the grid lies: 128 to 8 words on steps of a quarter
+    of them, else 8 words down to one shingle at every word.
+    """
+    if n <= shingle:
+        return n, 1
+    need = threshold * sum(weights) - 1e-9
+    grids = [(w, w // 4) for w in (128, 64, 32, 16, 8) if w <= LONGEST] + [(w, 1) for w in range(8, shingle, -1)]
+    for window, step in grids:
+        whole = window + step - 1
+        if whole <= n and window >= shingle and most_kept(weights, n, shingle, whole - 1) < need:
+            return window, step
+    return shingle, 1
 
 
 def window_prints(codes: np.ndarray, window: int, shingle: int, step: int) -> np.ndarray:
@@ -79,18 +107,14 @@ class Items:
         held = Counter(x for bag in self.bags for x in bag)
         self.weight = {x: math.log(1 + len(self.bags) / n) for x, n in held.items()}
         self.mass = [sum(self.weight[x] * n for x, n in bag.items()) for bag in self.bags]
-        self.windows = [window_of(len(c), shingle, threshold) for c in self.codes]
+        self.windows = [window_of([self.weight[x] for x in shingle_codes(c, shingle).tolist()], len(c), shingle, threshold) for c in self.codes]
         self.tables = {w: self.table(w) for w in sorted(set(self.windows))}
 
-    def table(self, window: int):
-        """Step of the text's grid, fingerprints, item and offset of all item windows, and the two blocks' sorted keys.
-
-        An item has at least as many windows as the step is wide: a copy of it holds one on the grid.
-        """
-        prints, owner, offset, step = [], [], [], max(1, window // 4)
+    def table(self, grid: tuple[int, int]):
+        """Fingerprints, item and offset of all windows of the items on this grid, and the two blocks' sorted keys."""
+        prints, owner, offset, window = [], [], [], grid[0]
         for i, codes in enumerate(self.codes):
-            if self.windows[i] == window:
-                step = min(step, len(codes) - window + 1)
+            if self.windows[i] == grid:
                 p = window_prints(codes, window, self.shingle, 1)
                 prints.append(p)
                 owner.append(np.full(len(p), i))
@@ -107,15 +131,15 @@ class Items:
             seen = np.zeros(1 << 22, bool)  # most text windows are turned away here
             seen[self.slot(keys)] = True
             blocks.append((shift, keys[order], owners[order], seen))
-        return step, prints, owner, offset, blocks
+        return prints, owner, offset, blocks
 
     @staticmethod
     def slot(keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
 
-    def candidates(self, codes: np.ndarray, text_of: np.ndarray, window: int) -> set[tuple[int, int, int]]:
+    def candidates(self, codes: np.ndarray, text_of: np.ndarray, grid: tuple[int, int]) -> set[tuple[int, int, int]]:
         """(text, item, place): a window of the text lies within the radius of an item window; the item would begin at place."""
-        step, prints, owner, offset, blocks = self.tables[window]
+        (window, step), (prints, owner, offset, blocks) = grid, self.tables[grid]
         out: set[tuple[int, int, int]] = set()
         stretch = STRETCH - STRETCH % step
         for base in range(0, len(codes), stretch):
@@ -155,12 +179,12 @@ class Items:
                 codes, ends = word_codes(held), np.cumsum(sizes)
                 text_of = np.repeat(np.arange(len(sizes)), sizes)
                 best: dict[tuple[int, int], tuple[float, int]] = {}
-                for window in self.tables:
-                    for t, item, place in self.candidates(codes, text_of, window):
+                for grid in self.tables:
+                    for t, item, place in self.candidates(codes, text_of, grid):
                         low, high = int(ends[t]) - sizes[t], int(ends[t])
                         begin = max(place, low)
                         s = self.similarity(codes[begin:min(place + len(self.codes[item]), high)], item)
-                        if s >= self.threshold and (s, low - begin) > best.get((t, item), (0.0, 0)):
+                        if s >= self.threshold - 1e-12 and (s, low - begin) > best.get((t, item), (0.0, 0)):
                             best[t, item] = (s, low - begin)
                 for (t, item), (s, at) in sorted(best.items()):
                     out[first + t].append((self.ids[item], s, -at, min(-at + len(self.codes[item]), sizes[t])))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -294,6 +295,35 @@ def test_decontamination_finds_edited_items(spark):
     assert 20 < len(want) < len(rows)
 
 
+def test_decontamination_finds_edited_short_items_and_shared_preambles(spark):
+    """Against brute force: a changed or lost word of items of 5 to 16 words, and copies without what many items share."""
+    rnd = random.Random(15)
+    vocabulary = ["".join(rnd.choices("klmnopqrst", k=5)) for _ in range(3000)]
+    preamble = rnd.choices(vocabulary, k=6)
+    items = [rnd.choices(vocabulary, k=n) for n in [5, 6, 7, 8, 9, 10, 11, 12, 14, 16] * 3]
+    items += [preamble[-m:] + rnd.choices(vocabulary, k=n) for n in (6, 7, 8, 10, 14) for m in (1, 3, 6) for _ in range(6)]
+    bags = [Counter(" ".join(w[j:j + 5]) for j in range(len(w) - 4)) for w in items]
+    held = Counter(x for b in bags for x in b)
+    weight = {x: np.log(1 + len(items) / n) for x, n in held.items()}
+
+    def share(text, i):
+        n = len(items[i])
+        some = [Counter(" ".join(w[j:j + 5]) for j in range(len(w) - 4)) for at in range(-n, len(text)) for w in [text[max(at, 0):max(at + n, 0)]]]
+        return max(sum(weight[x] * min(c, s[x]) for x, c in bags[i].items()) for s in some) / sum(weight[x] * c for x, c in bags[i].items())
+
+    rows, want, near = [], {}, 0
+    for i, w in enumerate(items):
+        edits = [w[1:], w[:-1], ["other", *w[1:]], [*w[:-1], "other"], w[2:], w[3:], w[6:], w[:-2]]
+        for new in edits:
+            text = rnd.choices(vocabulary, k=rnd.randrange(9)) + new + rnd.choices(vocabulary, k=12)
+            want[len(rows)] = {k for k in range(len(items)) if (k == i or set(preamble) & set(items[k])) and share(text, k) >= 0.8 - 1e-9}
+            near += want[len(rows)] == {i}
+            rows.append((len(rows), " ".join(text), "en", "s", 1))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: {h["item_id"] for h in r["hits"]} for r in decontaminate.contamination(spark.createDataFrame(rows, DOCS), bench).collect()}
+    assert got == want and 200 < near < len(rows)
+
+
 def test_decontamination_against_all_places(spark, sample):
     """Every document that holds nearly all shingles of an item is found, no other."""
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
