@@ -145,7 +145,7 @@ def link_runs(keys: np.ndarray, fps: np.ndarray, radius: int, plan) -> tuple[np.
     for i, g in zip(at[size > 16], size[size > 16]):
         run = np.unique(fps[i:i + g])
         if plan:  # all reached this key over the same flipped bits: their own key links them
-            low, width, _ = plan[(int(keys[i]) >> 58) % len(plan)]
+            low, width, _ = plan[int(keys[i]) >> 58]
             values = (run >> np.uint64(low)) & np.uint64((1 << width) - 1)
             if (values == values[0]).all() and int(values[0]) != int(keys[i]) & ((1 << 58) - 1):
                 continue
@@ -204,30 +204,23 @@ def linker(radius: int, plan, limit: int | None):
     return run
 
 
-def links(prints: DataFrame, radius: int = 4, segments: int = 2, limit: int = LIMIT, kinds: int = 1) -> DataFrame:
+def links(prints: DataFrame, radius: int = 4, segments: int = 2, limit: int = LIMIT) -> DataFrame:
     """a, b: links between fingerprints at most ``radius`` bits apart that connect all that such links connect.
 
-    prints: column fp, distinct and not null; with a column kind (integers from 0 to
-    ``kinds`` - 1) distinct within a kind, and only those of one kind are linked.  Every
-    fingerprint keeps a link to its nearest one within the radius under each key they share.
+    prints: column fp, distinct and not null.  Every fingerprint keeps a link to its
+    nearest one within the radius under each key they share.
     """
     spark, plan = prints.sparkSession, segments_of(radius, segments)
-    if kinds * len(plan) > 64:
-        raise ValueError("at most 64 segments over all kinds are supported")
 
     def emit(batches):
         for b in batches:
-            every = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
-            kind = b.column("kind").to_numpy(zero_copy_only=False)
-            for k in range(kinds):
-                fp = every[kind == k]
-                for part in range(0, len(fp), 2000):
-                    keys, owners = keys_of(fp[part:part + 2000], plan, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(owners.view(np.int64))], ["key", "fp"])
-
-    named = F.col("kind").cast("int") if "kind" in prints.columns else F.lit(0)
-    filed = prints.select("fp", named.alias("kind")).mapInArrow(emit, "key long, fp long")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions")) * kinds
+            fp = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            for part in range(0, len(fp), 2000):
+                keys, owners = keys_of(fp[part:part + 2000], plan)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(owners.view(np.int64))], ["key", "fp"])
+
+    filed = prints.select("fp").mapInArrow(emit, "key long, fp long")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = durable(filed.repartition(parts, "key").sortWithinPartitions("key")
                     .mapInArrow(linker(radius, plan, limit), "a long, b long, key long"))
     near, large = found.where("b is not null").select("a", "b"), found.where("b is null").select("key", F.col("a").alias("fp"))
@@ -367,7 +360,7 @@ def rivals(members: DataFrame, radius: int, segments: int, cap: int, limit: int
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 8, segments: int = 3,
-                   prints: int = 3) -> DataFrame:
+                   prints: int = 8) -> DataFrame:
     """doc_id, group (least doc_id of the group) of every document.
 
     Texts with a fingerprint within ``radius`` bits, by any of ``prints`` independent
@@ -381,6 +374,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     other.  Rows without a doc_id are left out; a doc_id that stands for several texts is
     compared by one of them.
     """
+    if prints * segments > 64:
+        raise ValueError("at most 64 segments over all fingerprints are supported")
     names = [f"fp{i}" for i in range(prints)]
 
     def run(batches):
@@ -399,11 +394,15 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     marked = durable(own.mapInArrow(run, "doc_id long, code long, " + ", ".join(f"{n} long" for n in names)))
     kinds = durable(marked.groupBy("code", *names).agg(F.min("doc_id").alias("node")))  # one row for each text
     each = kinds.select("node", F.posexplode(F.array(*names)).alias("kind", "fp"))
-    heads = durable(each.groupBy("kind", "fp").agg(F.min("node").alias("head")))
-    near = links(heads, radius, segments, kinds=prints).distinct()
-    a = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x"), "kind"), "a")
-    trees = a.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y"), "kind"), ["b", "kind"]).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    pairs = trees.unionByName(each.join(heads, ["kind", "fp"]).select(F.col("head").alias("a"), F.col("node").alias("b")))
+    pairs = None
+    for name in names:  # one after the other: a shuffle holds the keys of one fingerprint of each text
+        heads = durable(kinds.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("head")))
+        near = links(heads, radius, segments).distinct()
+        a = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a")
+        both = a.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        both = both.unionByName(kinds.select(F.col(name).alias("fp"), F.col("node").alias("b")).join(heads, "fp")
+                                .select(F.col("head").alias("a"), "b"))
+        pairs = both if pairs is None else pairs.unionByName(both)
     pairs = durable(pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = durable(shingle_sets(own.join(asked.hint("merge"), "doc_id", "left_semi").select("doc_id", "text"), shingle)
@@ -433,7 +432,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 8, segments: int = 3,
-             prints: int = 3) -> DataFrame:
+             prints: int = 8) -> DataFrame:
     """The rows of ``docs`` but for near copies: of each group the row of the least doc_id stays.
 
     Of several rows with that doc_id one stays; rows without a doc_id all stay.  Whole

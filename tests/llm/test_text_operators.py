@@ -236,6 +236,23 @@ def test_near_copies_among_texts_of_near_fingerprints(spark, repeats, common, ow
     assert 40 <= len(want) < 80 and (repeats > 1 or len(near) > len(linked))
 
 
+def test_pairs_just_above_the_similarity_are_proposed(spark):
+    """Of groups of two texts at 0.80 to 0.82, at most one in 20 keeps both."""
+    rnd = random.Random(9)
+    vocabulary, rows, n = ["".join(rnd.choices("klmnopqrst", k=5)) for _ in range(5000)], [], 0
+    while n < 300:
+        first = rnd.choices(vocabulary, k=rnd.randrange(100, 400))
+        second = list(first)
+        for at in rnd.sample(range(len(first)), round(len(first) / 45)):
+            second[at] = "edited"
+        a, b = shingles(" ".join(first)), shingles(" ".join(second))
+        if 0.8 <= len(a & b) / len(a | b) < 0.82:
+            rows += [(2 * n, " ".join(first), "en", "s", 1), (2 * n + 1, " ".join(second), "en", "s", 1)]
+            n += 1
+    got = {r["doc_id"]: r["group"] for r in neardup.similar_groups(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(g in (d, d - d % 2) for d, g in got.items()) and sum(got[2 * i + 1] != 2 * i for i in range(n)) <= 15
+
+
 def test_rivals_meet_across_blocks(spark):
     """Whatever the cap and the blocks, growing caps reach all pairs of two groups within the radius."""
     rnd = random.Random(8)
