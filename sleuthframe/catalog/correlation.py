@@ -148,12 +148,12 @@ def pair_summary(spark, folder):
     return correlate.pair_summary(views.artifacts(spark, folder), IN_CASE)
 
 
-@query("best_partner", f"""
+BEST_SQL = f"""
 WITH {ARTIFACT},
 art AS (SELECT * REPLACE (CASE WHEN event_type = 'error' AND seq % 3 = 0 THEN NULL ELSE t END AS t) FROM artifact),
 pairs AS (
   SELECT a.id AS artifact_a_id, b.id AS artifact_b_id, abs(a.t - b.t) AS apart, {SIMILARITY}
-  FROM art a JOIN art b ON a.case_id = b.case_id AND a.id <> b.id
+  FROM art a JOIN art b ON {{scope}}a.id <> b.id
    AND (a.entity_value = b.entity_value OR a.t IS NULL OR b.t IS NULL OR abs(a.t - b.t) < 3600000000)),
 scored AS (SELECT *, {SCORE} AS score FROM pairs)
 SELECT artifact_a_id, artifact_b_id, score,
@@ -162,12 +162,25 @@ SELECT artifact_a_id, artifact_b_id, score,
        WHEN s_source > 0.8 THEN 'COMMON_SOURCE' ELSE 'MULTI_FACTOR' END AS correlation_type
 FROM scored WHERE score >= 0.15
 QUALIFY row_number() OVER (PARTITION BY artifact_a_id ORDER BY score DESC, apart ASC NULLS LAST, artifact_b_id) = 1
-""")
-def best_partner(spark, folder):
-    """The best correlation of every event in its case; a third of the 'error' events lose their time."""
+"""
+
+
+def _best_rows(spark, folder, settings):
     a = views.artifacts(spark, folder)
     a = a.withColumn("t", F.when((F.col("event_type") != "error") | (F.col("seq") % 3 != 0), F.col("t")))
-    return correlate.best_partner(a, IN_CASE).select("artifact_a_id", "artifact_b_id", "score", "strength_category", "correlation_type")
+    return correlate.best_partner(a, settings).select("artifact_a_id", "artifact_b_id", "score", "strength_category", "correlation_type")
+
+
+@query("best_partner", BEST_SQL.format(scope="a.case_id = b.case_id AND "))
+def best_partner(spark, folder):
+    """The best correlation of every event in its case; a third of the 'error' events lose their time."""
+    return _best_rows(spark, folder, IN_CASE)
+
+
+@query("best_partner_cross_case", BEST_SQL.format(scope=""))
+def best_partner_cross_case(spark, folder):
+    """The best correlation of every event over all cases; a third of the 'error' events lose their time."""
+    return _best_rows(spark, folder, Settings(cross_case=True))
 
 
 @query("containing_values", f"""
