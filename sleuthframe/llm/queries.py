@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 
 from ..session import prepare, table
-from . import bpe, decontaminate, neardup, quality, secret_scan, sharding, token_count, toxicity, urls, vectors
+from . import alignment, bpe, clustering, decontaminate, neardup, quality, secret_scan, sharding, token_count, toxicity, urls, vectors
 
 #: The rules of the url query: host, path, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -86,16 +86,53 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_count.token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Links between the tokens of two tokenizers in every document, weighed by how many documents hold them."""
+    return alignment.alignment(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                               public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Nearest of 16 centroids for every vector after three rounds."""
+    return clustering.clusters(table(spark, folder, "embeddings"), k=16, rounds=3)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus pipeline over documents."""
     return corpus_pipeline.run(spark, folder)
 
 
 _ALL = (op1_url_filter, op2_shuffle_shards, op3_simhash, op4_toxicity, op5_decontaminate, op6_exact_topk, op7_bpe, op8_quality,
-        op9_secrets, op10_token_counts, pipeline)
+        op9_secrets, op10_token_counts, op11_alignment, op12_centroids, pipeline)
 QUERIES = {f.__name__: (lambda spark, folder, f=f: f(prepare(spark), folder)) for f in _ALL}
 
+
+def _centroid_sql(rounds: int) -> str:
+    """Centroids c0, c1, ... and assignments a0, a1, ...: each round repeats the same two tables."""
+    tables = []
+    for r in range(rounds + 1):
+        tables.append(f"""
+d{r} AS (SELECT v.n, c.c, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{r} c),
+a{r} AS (SELECT n, c, d FROM d{r} QUALIFY row_number() OVER (PARTITION BY n ORDER BY d, c) = 1)""")
+        if r < rounds:
+            tables.append(f"""
+m{r} AS (
+  SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x
+  FROM (SELECT a.c, i, sum(v.x[i]) AS s, count(*) AS n FROM a{r} a JOIN v USING (n), range(1, 65) t(i) GROUP BY a.c, i) GROUP BY c),
+c{r + 1} AS (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m USING (c))""")
+    return ",".join(tables)
+
+
 ORACLES = {
+    "op12_centroids": f"""
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x
+       FROM (SELECT x, sha256('1:' || vec_id) AS h FROM v ORDER BY h LIMIT 16)),{_centroid_sql(3)}
+SELECT v.vec_id, a.c::INTEGER AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+       (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(k.x, ',')) AS centroid_sha256
+FROM a3 a JOIN v USING (n) JOIN c3 k ON k.c = a.c""",
     "op1_url_filter": """
 WITH place AS (
   SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0
