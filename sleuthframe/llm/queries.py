@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 
 from ..session import prepare, table
-from . import alignment, bpe, clustering, decontaminate, neardup, quality, secret_scan, sharding, token_count, toxicity, urls, vectors
+from . import alignment, bpe, clustering, decontaminate, minhash, neardup, quality, secret_scan, sharding, token_count, toxicity, urls, vectors
 
 #: The rules of the url query: host, path, verdict.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -97,13 +97,19 @@ def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
     return clustering.clusters(table(spark, folder, "embeddings"), k=16, rounds=3)
 
 
+def op13_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents whose sets of two-word shingles share 80 percent, and the one of each group that is kept."""
+    return minhash.near_duplicates(table(spark, folder, "documents"), shingle=2, percent=80)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The corpus pipeline over documents."""
     return corpus_pipeline.run(spark, folder)
 
 
 _ALL = (op1_url_filter, op2_shuffle_shards, op3_simhash, op4_toxicity, op5_decontaminate, op6_exact_topk, op7_bpe, op8_quality,
-        op9_secrets, op10_token_counts, op11_alignment, op12_centroids, pipeline)
+        op9_secrets, op10_token_counts, op11_alignment, op12_centroids, op13_minhash,
+        pipeline)
 QUERIES = {f.__name__: (lambda spark, folder, f=f: f(prepare(spark), folder)) for f in _ALL}
 
 
