@@ -17,7 +17,7 @@ from ..session import durable
 from .common import connected
 
 #: Members, and bytes of their sets, that one task holds of a cluster on either side.
-MEMBERS, BYTES = 4096, 24 << 20
+MEMBERS, BYTES = 1024, 16 << 20
 
 
 def similar_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -103,13 +103,31 @@ def settle(groups: DataFrame, sets: DataFrame, percent: int, members: int = MEMB
     return durable(held.unionByName(asks).groupBy("cluster", "i", "j").applyInArrow(_settler(percent), "a long, b long"))
 
 
-def groups_of(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """node, label: the least node reachable over similar pairs among the candidates that ``pairs`` connects, for all nodes of a pair."""
-    sure = similar_links(pairs, sets, percent)
+def stars(filed: DataFrame) -> DataFrame:
+    """a, b: the distinct links of every key's least node with its others; filed: key, node."""
+    heads = filed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("members")).where("members > 1").select("key", "a")
+    return durable(filed.join(heads.hint("merge"), "key").where("node != a").select("a", F.col("node").alias("b")).distinct())
+
+
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``pairs`` whose nodes have different labels; a node without one is its own."""
+    named = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")).hint("merge")
+    both = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    return durable(both.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b"))
+
+
+def groups_of(early: DataFrame, late, sets: DataFrame, percent: int) -> DataFrame:
+    """node, label: the least node reachable over similar pairs among the nodes that candidates connect.
+
+    early: candidate links, verified first; late: function of the labels they give that
+    returns further candidate links, which need to join different labels only.  Copies of
+    one text meet under nearly every key: most of their links are spared in this way.
+    sets: node, shingles of all nodes of a link.
+    """
+    sure = similar_links(early, sets, percent)
+    more = late(connected(sure))
+    pairs, sure = early.unionByName(more), sure.unionByName(similar_links(more, sets, percent))
     clusters = connected(pairs).withColumnRenamed("label", "cluster")
-    labels = connected(sure)
-    groups = durable(clusters.join(labels.hint("merge"), "node", "left").select("node", "cluster", F.coalesce("label", "node").alias("label")))
-    more = settle(groups, sets, percent)
-    if more.isEmpty():
-        return groups.select("node", "label")
-    return connected(sure.unionByName(more))
+    groups = durable(clusters.join(connected(sure).hint("merge"), "node", "left").select("node", "cluster", F.coalesce("label", "node").alias("label")))
+    last = settle(groups, sets, percent)
+    return groups.select("node", "label") if last.isEmpty() else connected(sure.unionByName(last))

@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
 from .common import small, texts, words
-from .grouping import groups_of
+from .grouping import groups_of, stars
 
 #: Elements that walk at once: their permutations take ELEMENTS x places bytes.
 ELEMENTS = 1 << 16
+#: Bands whose candidates are verified before the others'.
+FIRST = 6
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -144,11 +146,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, bands:
     marked = marks(docs, shingle, bands, rows)
     kinds = durable(marked.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.min("place").alias("node")))
     first = marked.select(F.col("place").alias("node"), "keys").join(kinds.select("node").hint("merge"), "node", "left_semi")
-    filed = durable(first.select(F.explode("keys").alias("key"), "node"))
-    heads = filed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("members")).where("members > 1").select("key", "a")
-    pairs = durable(filed.join(heads.hint("merge"), "key").where("node != a").select("a", F.col("node").alias("b")).distinct())
-    wanted = kinds.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().hint("merge"), "node")
-    labels = groups_of(pairs, sets_of(docs, wanted, shingle), percent)
+    filed = durable(first.select(F.posexplode("keys").alias("band", "key"), "node"))
+    shared = filed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
+    filed = durable(filed.join(shared.hint("merge"), "key"))
+
+    def late(labels: DataFrame) -> DataFrame:
+        """Links of one member of each label under every key."""
+        labelled = filed.join(labels.hint("merge"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        return stars(labelled.groupBy("key", "label").agg(F.min("node").alias("node")).select("key", "node"))
+
+    wanted = kinds.join(filed.select("node").distinct().hint("merge"), "node")
+    labels = groups_of(stars(filed.where(F.col("band") < FIRST).select("key", "node")), late, sets_of(docs, wanted, shingle), percent)
     named = kinds.join(labels.hint("merge"), "node", "left").select("c1", "c2", "doc_id", F.coalesce("label", "node").alias("label"))
     named = durable(named)
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
