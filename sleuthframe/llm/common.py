@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+import xxhash
+from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
 
@@ -31,10 +30,8 @@ def words(text: str | None) -> list[bytes]:
 
 
 def word_codes(found: list[bytes]) -> np.ndarray:
-    """A 64-bit mix of each word's CRC."""
-    h = np.fromiter(map(zlib.crc32, found), np.uint64, len(found))
-    h = (h + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+    """A 64-bit hash of each word."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
 
 
 def shingle_codes(codes: np.ndarray, k: int) -> np.ndarray:
@@ -100,8 +97,3 @@ def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = done.select("node", "label")
         if done.where("label != before").isEmpty():
             return labels
-
-
-def crc_mod(column: str, n: int) -> Column:
-    """crc32 of an id written as text, modulo n; an id that is missing counts as empty text."""
-    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n

@@ -14,6 +14,7 @@ every two blocks are linked for themselves: exact, with groups of bounded size.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -22,7 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
-from .common import bit_majority, connected, shingle_codes, small, texts, word_codes, words
+from .common import bit_majority, connected, small, texts, words
+from .grouping import apart, groups_of
+from .minhash import shingle_set
 
 #: Members of one key that a task links at once: 4,096 of them take 8 million distances.
 LIMIT = 4096
@@ -255,108 +258,21 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, shingles (sorted distinct 64-bit hashes, little-endian) of every row."""
     def run(batches):
         for b in small(batches):
-            sets = [np.unique(shingle_codes(word_codes(words(t)), shingle)).astype("<u8").tobytes() for t in b.column("text").to_pylist()]
+            sets = [shingle_set(t, shingle).astype("<u8").tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
     return texts(docs).mapInArrow(run, "doc_id long, shingles binary")
 
 
-def _similar(threshold: float):
-    """Task function: the pairs a, b whose shingle sets overlap enough (Jaccard)."""
-    def run(batches):
-        for b in batches:
-            kept = []
-            for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist()):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                kept.append(both >= threshold * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-    return run
-
-
-def rivals_of(keys: np.ndarray, fp: np.ndarray, node: np.ndarray, label: np.ndarray, size: np.ndarray, radius: int,
-              cap: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Pairs of nodes of two groups within the radius under one key, and whether there are more.
-
-    The member of the smaller group meets its ``cap`` nearest ones of larger groups.
-    """
-    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    ends = np.r_[at[1:], len(keys)]
-    mixed = np.minimum.reduceat(label, at) != np.maximum.reduceat(label, at)
-    a, b, more = [], [], False
-    for i, j in zip(at[mixed], ends[mixed]):
-        f, n, l, z = fp[i:j], node[i:j], label[i:j], size[i:j]
-        for s in range(0, len(f), 256):
-            r = slice(s, s + 256)
-            apart = np.bitwise_count(f[r, None] ^ f)
-            larger = (z[r, None] < z) | ((z[r, None] == z) & (l[r, None] > l))
-            apart[~larger | (apart > radius)] = 255
-            if (apart < 255).sum(1).max() > cap:
-                more = True
-                far = np.argpartition(apart, cap, axis=1)[:, cap:]
-                np.put_along_axis(apart, far, 255, axis=1)
-            x, y = np.nonzero(apart < 255)
-            a.append(n[r][x])
-            b.append(n[y])
-    if not a:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), False
-    both = np.unique(np.c_[np.concatenate(a), np.concatenate(b)], axis=0)
-    return both.min(1), both.max(1), more
-
-
-def rivals(members: DataFrame, radius: int, segments: int, cap: int, limit: int = LIMIT) -> DataFrame:
-    """a, b: nodes of two groups with fingerprints of one kind within the radius; a row without b says that there are more.
-
-    members: kind, fp, node, label and size of its group.  A member meets at most ``cap``
-    others under each key and block; keys of over ``limit`` members are cut into blocks
-    and every two blocks meet.
-    """
-    spark, plan, columns = members.sparkSession, segments_of(radius, segments), ["fp", "node", "label", "size"]
-    schema = "key long, fp long, node long, label long, size long"
-
-    def emit(batches):
-        for b in small(batches, 2000):
-            kind = b.column("kind").to_numpy(zero_copy_only=False)
-            for k in np.unique(kind):
-                at = np.flatnonzero(kind == k)
-                fp, *others = (b.column(c).to_numpy(zero_copy_only=False)[at] for c in columns)
-                order = np.argsort(fp, kind="stable")
-                keys, owners = keys_of(np.unique(fp).view(np.uint64), plan, int(k))
-                low, high = (np.searchsorted(fp[order], owners.view(np.int64), side) for side in ("left", "right"))
-                n = high - low  # all members that share the fingerprint
-                own = order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-                filed = np.repeat(keys, n)
-                yield pa.RecordBatch.from_arrays([pa.array(filed.view(np.int64)), pa.array(fp[own]), *[pa.array(x[own]) for x in others]],
-                                                 ["key", *columns])
-
-    def run(batches):
-        held = [np.zeros(0, np.int64)] * 5
-        for batch in batches:
-            held = [np.r_[x, batch.column(c).to_numpy(zero_copy_only=False)] for x, c in zip(held, ["key", *columns])]
-            last = int(np.argmax(held[0] == held[0][-1])) if len(held[0]) else 0  # the last run may go on in the next batch
-            if last:
-                yield out(*rivals_of(*typed([x[:last] for x in held]), radius, cap))
-                held = [x[last:] for x in held]
-        if len(held[0]):
-            yield out(*rivals_of(*typed(held), radius, cap))
-
-    def typed(held):
-        return held[0], held[1].view(np.uint64), *held[2:]
-
-    def out(a, b, more):
-        if more:
-            return pa.RecordBatch.from_arrays([pa.array(np.r_[a, 0]), pa.array([*b.tolist(), None], pa.int64())], ["a", "b"])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    filed = durable(members.select("kind", *columns).mapInArrow(emit, schema))
-    blocks = (filed.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("l"), F.max("label").alias("m"))
-              .where("l != m").select("key", F.when(F.col("members") > limit, F.ceil(F.col("members") * 2 / limit)).otherwise(1).alias("n")))
-    own = filed.join(blocks, "key").select("key", *columns, "n", F.expr("pmod(xxhash64(node), n)").alias("i"))
-    dealt = own.select("*", F.expr("explode(sequence(0L, n - 1))").alias("j")).select(
-        F.xxhash64("key", F.least("i", "j"), F.greatest("i", "j")).alias("key"), *columns)
-    return durable(dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long").distinct())
+def print_links(kinds: DataFrame, name: str, radius: int, segments: int) -> DataFrame:
+    """a, b: nodes that fingerprint ``name`` connects: each print's least node with its others, and with those of near prints."""
+    heads = durable(kinds.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("head")))
+    near = links(heads, radius, segments).distinct()
+    a = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")).hint("merge"), "a")
+    both = a.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")).hint("merge"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    both = both.unionByName(kinds.select(F.col(name).alias("fp"), F.col("node").alias("b")).join(heads.hint("merge"), "fp")
+                            .where("head != b").select(F.col("head").alias("a"), "b"))
+    return durable(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 8, segments: int = 3,
@@ -365,14 +281,15 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
 
     Texts with a fingerprint within ``radius`` bits, by any of ``prints`` independent
     fingerprints of their distinct shingles, are candidates; a link stands if the two
-    texts' sets of word shingles have at least the Jaccard similarity asked for.  First
-    every text is compared with the least one of its fingerprint, and those with their
-    nearest ones (the least spanning links under each key).  Where texts that candidates
-    connect are then in different groups, members of the smaller group meet their nearest
-    8, 64, 512 ... ones of the others, until every candidate pair is compared or in one
-    group.  Exact copies need no comparison.  Texts without words are copies of each
-    other.  Rows without a doc_id are left out; a doc_id that stands for several texts is
-    compared by one of them.
+    texts' sets of word shingles have at least the Jaccard similarity asked for.  The least
+    spanning links under each key are verified, those of the first two prints before the
+    others'.  Texts that candidates connect without being similar to their neighbours
+    there meet all other texts so connected inside the tasks of ``grouping.settle``, so that
+    no candidate pair of two groups stays undecided and no list of pairs leaves a task.
+    Exact copies need no comparison.  Texts without words are copies of each other.  Rows
+    without a doc_id are left out; a doc_id that stands for several texts is compared by one
+    of them.  Texts of any length are read whole, other columns are left out, and an empty
+    table has no groups.
     """
     if prints * segments > 64:
         raise ValueError("at most 64 segments over all fingerprints are supported")
@@ -385,50 +302,21 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
             found = (code, *simhashes(batch, shingle, prints, distinct=True))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(x.view(np.int64)) for x in found]], ["doc_id", "code", *names])
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        first = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-        both = first.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-        return durable(both.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"))
-
     own = texts(docs).where("doc_id is not null")
     marked = durable(own.mapInArrow(run, "doc_id long, code long, " + ", ".join(f"{n} long" for n in names)))
     kinds = durable(marked.groupBy("code", *names).agg(F.min("doc_id").alias("node")))  # one row for each text
-    each = kinds.select("node", F.posexplode(F.array(*names)).alias("kind", "fp"))
-    pairs = None
-    for name in names:  # one after the other: a shuffle holds the keys of one fingerprint of each text
-        heads = durable(kinds.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("head")))
-        near = links(heads, radius, segments).distinct()
-        a = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a")
-        both = a.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        both = both.unionByName(kinds.select(F.col(name).alias("fp"), F.col("node").alias("b")).join(heads, "fp")
-                                .select(F.col("head").alias("a"), "b"))
-        pairs = both if pairs is None else pairs.unionByName(both)
-    pairs = durable(pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    found = [print_links(kinds, name, radius, segments) for name in names]  # one after the other: a shuffle holds the keys of one fingerprint
+    first, rest = (durable(union(part).where("a != b").distinct()) for part in (found[:2], found[2:] or found[:1]))
+    asked = durable(first.unionByName(rest).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     sets = durable(shingle_sets(own.join(asked.hint("merge"), "doc_id", "left_semi").select("doc_id", "text"), shingle)
-                   .groupBy("doc_id").agg(F.min("shingles").alias("shingles")))
-    sure = compared(pairs)
-    labels = connected(sure)
-    met = connected(pairs).withColumnRenamed("label", "cluster")  # all that candidates connect, similar or not
-    cap, more = 8, True
-    while more:
-        groups = durable(met.join(labels, "node", "left").select("node", "cluster", F.coalesce("label", "node").alias("label")))
-        open_ = groups.groupBy("cluster").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l != m").select("cluster")
-        left = groups.join(open_, "cluster")
-        if left.isEmpty():
-            break
-        size = groups.groupBy("label").agg(F.count("*").alias("size"))
-        members = each.join(left.join(size, "label").select("node", "label", "size"), "node").select("kind", "fp", "node", "label", "size")
-        found = rivals(members, radius, segments, cap)
-        more = not found.where("b is null").isEmpty()
-        new = durable(found.where("b is not null").join(pairs, ["a", "b"], "left_anti").select("a", "b"))
-        if not new.isEmpty():
-            sure, pairs = sure.unionByName(compared(new)), pairs.unionByName(new)
-            labels = connected(sure)
-        cap *= 8
-    labels = labels.withColumnRenamed("label", "group")
-    grouped = durable(kinds.join(labels, "node", "left").select("code", *names, F.coalesce("group", "node").alias("group")))
-    return marked.join(grouped, ["code", *names]).select("doc_id", "group")
+                   .groupBy(F.col("doc_id").alias("node")).agg(F.min("shingles").alias("shingles")))
+    labels = groups_of(first, lambda known: apart(rest, known), sets, round(100 * similarity)).withColumnRenamed("label", "group")
+    grouped = durable(kinds.join(labels.hint("merge"), "node", "left").select("code", *names, F.coalesce("group", "node").alias("group")))
+    return marked.join(grouped.hint("merge"), ["code", *names]).select("doc_id", "group")
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 8, segments: int = 3,

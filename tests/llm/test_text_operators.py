@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Row, functions as F
 from tokenizers import Tokenizer
 
-from sleuthframe.llm import bpe, common, decontaminate, neardup, quality, queries, secret_scan, token_count, toxicity
+from sleuthframe.llm import bpe, common, decontaminate, grouping, neardup, quality, queries, secret_scan, token_count, toxicity
 
 FOLDER = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -253,18 +253,32 @@ def test_pairs_just_above_the_similarity_are_proposed(spark):
     assert all(g in (d, d - d % 2) for d, g in got.items()) and sum(got[2 * i + 1] != 2 * i for i in range(n)) <= 15
 
 
-def test_rivals_meet_across_blocks(spark):
-    """Whatever the cap and the blocks, growing caps reach all pairs of two groups within the radius."""
+def test_settled_groups_across_blocks(spark):
+    """However small the blocks, links join exactly the labels that similar pairs of a cluster join, with fewer links than labels a block."""
     rnd = random.Random(8)
-    rows = [(k, rnd.getrandbits(4), 100 + i, 100 + i % 7, 10 + i % 7) for i in range(90) for k in (0, 1)]
-    near = {(min(a[2], b[2]), max(a[2], b[2])) for a in rows for b in rows
-            if a[0] == b[0] and a[3] != b[3] and (a[1] ^ b[1]).bit_count() <= 2}
-    members = spark.createDataFrame(rows, "kind int, fp long, node long, label long, size long")
-    for cap, limit, whole in ((1, 20, False), (200, 20, True), (200, 4096, True), (3, 4096, False)):
-        got = [(r["a"], r["b"]) for r in neardup.rivals(members, 2, 2, cap, limit).collect()]
-        found = {x for x in got if x[1] is not None}
-        assert (found == near) if whole else (found < near and len(found) > 80)
-        assert (len(got) == len(found)) == whole
+    sets = {}
+    for i in range(120):  # families around seven sets, from near copies to half the set
+        base = range(1000 * (i % 7), 1000 * (i % 7) + 60)
+        sets[i] = sorted(rnd.sample(base, 60 - rnd.choice((0, 2, 4, 9, 20)))) + [10 ** 6 + i] * rnd.choice((0, 0, 1))
+    sets[120] = []
+    members = [(i, i % 7 if i < 120 else 0, i) for i in sets]
+    members += [(200 + i, 9, 200) for i in range(50)]  # a large label beside one other
+    sets |= {200 + i: [1, 2, 3, 4, 5, 500 + i] for i in range(50)} | {300: [1, 2, 3, 4, 5, 500]}
+    members.append((300, 9, 300))
+    alike = lambda x, y: 100 * len(set(x) & set(y)) >= 80 * len(set(x) | set(y)) > 0
+    linked = [(a[0], b[0]) for a in members for b in members if a[0] < b[0] and a[1] == b[1] and a[2] != b[2] and alike(sets[a[0]], sets[b[0]])]
+    linked += [(200, 200 + i) for i in range(50)]
+    nodes = [m[0] for m in members]
+    place = {n: i for i, n in enumerate(nodes)}
+    label = groups(len(nodes), [(place[a], place[b]) for a, b in linked])
+    held = spark.createDataFrame([(n, np.array(s, "<u8").tobytes()) for n, s in sets.items()], "node long, shingles binary")
+    grouped = spark.createDataFrame(members, "node long, cluster long, label long")
+    for most, size in ((1024, 1 << 20), (7, 1 << 20), (1024, 900)):
+        got = [(r["a"], r["b"]) for r in grouping.settle(grouped, held, 80, most, size).collect()]
+        assert all(alike(sets[a], sets[b]) for a, b in got) and (most < 1024 or size < 1000 or len(got) < len(set(m[2] for m in members)))
+        found = groups(len(nodes), [(place[a], place[b]) for a, b in got + [(200, 200 + i) for i in range(50)]])
+        assert [found[i] == found[j] for i in range(len(nodes)) for j in range(i)] == [label[i] == label[j] for i in range(len(nodes)) for j in range(i)]
+    assert grouping.settle(grouped.where("cluster < 0"), held, 80).count() == 0
 
 
 def test_decontamination_finds_items_wherever_they_stand(spark):
