@@ -233,7 +233,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, radiu
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, radius: int = 3, threshold: float = 0.8,
                max_bytes: int = 4_000_000) -> DataFrame:
-    """The rows of ``docs`` without contamination, with all their columns."""
+    """The rows of ``docs`` without contamination, with all their columns.
+
+    Missing and empty texts and rows without a doc_id stay; repeated rows share their fate.
+    """
     items = items_of(benchmark, shingle, radius, threshold, max_bytes)
 
     def run(batches):

@@ -149,10 +149,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, smoothing:
     def weigh(batches):
         for b in small(batches):
             weight = [score_of(t, ratio) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(weight, pa.float64()), b.column("quality")], ["weight", "quality"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(weight, pa.float64()), b.column("quality")], ["doc_id", "weight", "quality"])
 
-    labelled = texts(docs).join(F.broadcast(chosen), "doc_id").select("text", "quality")
-    seen = labelled.mapInArrow(weigh, "weight double, quality int").collect()  # at most max_labels ids
+    labelled = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    seen = (labelled.mapInArrow(weigh, "doc_id long, weight double, quality int").groupBy("doc_id")
+            .agg(F.min("weight").alias("weight"), F.min("quality").alias("quality")).collect())  # at most max_labels ids, however often they stand there
     weight, good = np.array([r["weight"] for r in seen]), np.array([r["quality"] > 0 for r in seen], bool)
     return Model(ratio, best_cut(weight, good) if len(seen) else -math.inf, seed)
 
@@ -210,7 +211,7 @@ def quality(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, seed:
 
 
 def keep_selected(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, seed: int = 11) -> DataFrame:
-    """The rows of ``docs`` that ``quality`` selects, with all their columns."""
+    """The rows of ``docs`` that ``quality`` selects, with all their columns; odd rows fare as there."""
     model = fit(docs, labels, max_labels, seed=seed)
     last = threshold(durable(weights(docs, model).select("log_importance", "place")), model)
 

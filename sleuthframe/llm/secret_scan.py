@@ -1,8 +1,8 @@
 """Secret scan with multipart linking.
 
 Strong forms (an assignment to a key name, an access identifier, a long hexadecimal
-run) are reported wherever they stand.  Weak parts, a mixed run of 32 to 128 characters,
-padded or not, that may be a secret key, a service endpoint, a user name beside "user", are reported only where
+run) are reported wherever they stand.  Weak parts, a mixed run of 32 characters or
+more, padded or not, also of the url-safe alphabet, that may be a secret key, a service endpoint, a user name beside "user", are reported only where
 parts that complete each other stand in one scope: an identifier or user name with a
 secret, or a secret with an endpoint.  Two parts share a scope if at most ``reach``
 characters lie between them, however long they are.  The interval join of a text's parts
@@ -25,8 +25,8 @@ KINDS = ("assign", "access", "hex", "user", "secret", "endpoint")
 _ASSIGN = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"(?<![0-9a-f])[0-9a-f]{24,}")
-_USER = re.compile(rb"""(?<![a-z0-9])(?:user(?:name)?|login|client_?id)["']?\x20*[:=]\x20*["']?[a-z0-9@_.-]{3,64}""")
-_SECRET = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/]{32,128}={0,2}(?![A-Za-z0-9+/_=-])")
+_USER = re.compile(rb"""(?<![a-z0-9])(?:user(?:name)?|login|client_?id)["']?\x20*[:=]\x20*["']?[a-z0-9@_.-]{3,}""")
+_SECRET = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}={0,2}(?![A-Za-z0-9+/_=-])")
 _ENDPOINT = re.compile(rb"""(?:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\x00-\x20"'<>]{3,}""")
 
 
@@ -144,7 +144,10 @@ def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def without_secrets(docs: DataFrame, reach: int = 200) -> DataFrame:
-    """The rows of ``docs`` with all columns; each secret in ``text`` is replaced by its kind, ``n_chars`` follows."""
+    """The rows of ``docs`` with all columns; each secret in ``text`` is replaced by its kind, ``n_chars`` follows.
+
+    Missing and empty texts, repeated rows and rows without a doc_id stay as they are.
+    """
     def run(batches):
         for b in small(batches):
             new = []

@@ -209,21 +209,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, max_featur
 
 
 def calibrate(model: Model, train: DataFrame) -> Model:
-    """Fit the clean texts' extreme-value law and the curve on the labelled rows: a few numbers per row."""
-    def run(batches):
-        own = model.ready()
-        for b in small(batches):
-            rows = []
-            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-                n, found = own.scan(text)
-                rows.append((n, int(toxic > 0), [s for s, _, _ in found]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()),
-                                              pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["n", "toxic", "scores"])
-
-    bare = Model(model.weights, model.drift)
-    model, bare = bare, bare
-    seen = train.select("text", "toxic").mapInArrow(run, "n long, toxic int, scores array<double>").collect()  # at most max_labels rows
-    tops = np.array([[math.log(max(r["n"], 1)), max(r["scores"])] for r in seen if not r["toxic"] and r["scores"]])
+    """Fit the clean texts' extreme-value law, then the curve, on the labelled rows.
+
+    What comes to the driver is a few numbers for each labelled doc_id: where an id stands in
+    several rows, the least of them.
+    """
+    def each(of, names: list[str]) -> list:
+        def run(batches):
+            own = model.ready()
+            for b in small(batches):
+                rows = [of(*own.scan(text)) for text in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), *[pa.array([float(r[i]) for r in rows]) for i in range(len(names))]],
+                                                 ["doc_id", "toxic", *names])
+
+        found = train.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, " + ", ".join(f"{n} double" for n in names))
+        return found.groupBy("doc_id").agg(F.min(F.struct("toxic", *names)).alias("r")).select("r.*").collect()
+
+    tops = np.array([(math.log(max(r["n"], 1)), r["best"]) for r in each(lambda n, found: (n, max((s for s, _, _ in found), default=-1)), ["n", "best"])
+                     if r["toxic"] <= 0 and r["best"] > 0]).reshape(-1, 2)
     if len(tops) >= 30:
         top = tops[:, 1]
         beta = max(float(top.std()) * math.sqrt(6) / math.pi, 1e-3)
@@ -231,8 +234,9 @@ def calibrate(model: Model, train: DataFrame) -> Model:
         rest = top / beta - tops[:, 0]
         model.spread = max(float(rest.std()) * math.sqrt(6) / math.pi, 1e-3)
         model.place = float(rest.mean()) - 0.5772156649 * model.spread
-    x = np.array([model.evidence(r["n"], [(s, 0, 0) for s in r["scores"]]) for r in seen]).reshape(-1, 4)
-    y = np.array([r["toxic"] for r in seen], float)
+    seen = each(model.evidence, ["best", "over", "one", "none"])
+    x = np.array([[r["best"], r["over"], r["one"], r["none"]] for r in seen]).reshape(-1, 4)
+    y = np.array([r["toxic"] > 0 for r in seen], float)
     if len(y) and 0 < y.sum() < len(y):
         model.curve = logistic(x, y)
     elif len(y):

@@ -428,10 +428,13 @@ def test_weak_parts_beside_long_parts():
 
 def test_secret_parts_of_many_lengths():
     run = "aB3dE5gH7jK9mN1pQ2rS4tU6vW8xY0zA1bC2dE3f" * 4
-    for n in (31, 32, 40, 43, 64, 86, 128, 129):
+    for n in (31, 32, 40, 43, 64, 86, 128, 129, 160, 4000):
         for pad in ("", "=", "=="):
-            text = f"user: bob {run[:n]}{pad} end"
-            assert secret_scan.spans_of(text, 200) == ([(0, 9, 3), (10, 10 + n + len(pad), 4)] if 32 <= n <= 128 else []), (n, pad)
+            for own in ((run * 25)[:n], ("_-" + run * 25)[:n]):
+                text = f"user: bob {own}{pad} end"
+                assert secret_scan.spans_of(text, 200) == ([(0, 9, 3), (10, 10 + n + len(pad), 4)] if n >= 32 else []), (n, pad)
+    name = "bob.long-name" * 20  # whole names go, whatever their length
+    assert secret_scan.redacted(f"user: {name} {run}", secret_scan.spans_of(f"user: {name} {run}", 200)) == "[user] [secret]"
     assert secret_scan.spans_of("see https://example.com/Docs/2024/Guides/Start/Here/And/There", 200) == []
 
 
@@ -493,6 +496,46 @@ def test_kth_place(spark):
         assert quality.kth_place(frame, k) == sorted(places.tolist(), reverse=True)[k - 1]
 
 
+def test_labelled_ids_that_stand_very_often(spark):
+    """What the fits bring to the driver follows the labelled ids, not their rows; the least row stands for an id."""
+    frame = spark.range(60_000).selectExpr("id % 40 doc_id", "concat('word', id % 7, ' awful', id % 40 % 2, ' text ', id % 5) text").withColumn("lang", F.lit("en"))
+    labels = spark.range(40).selectExpr("id doc_id", "int(id % 2) quality", "int(id % 2) toxic")
+    model = toxicity.fit(frame, labels)
+    assert {r["score"] >= 0.5 for r in toxicity.toxicity(frame.where("doc_id % 2 = 1").limit(50), model).collect()} <= {True, False}
+    chosen = quality.fit(frame, labels)
+    assert np.isfinite(chosen.cut) or chosen.cut in (np.inf, -np.inf)
+
+
+def test_quality_model_by_hand(spark):
+    """Counts of all documents and of the good ones, ratios, importance and choice, one n-gram at a time."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows, marked = docs.select("doc_id", "text").collect(), {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None}
+    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for i, text in rows:
+        for g in quality.ngrams(text):
+            raw[g] += 1
+            target[g] += marked.get(i, 0) > 0
+    half, ratio = quality.BUCKETS // 2, np.zeros(quality.BUCKETS)
+    for part in (range(half), range(half, 2 * half)):
+        p = {g: (raw[g] + 0.5) / (raw[part].sum() + 0.5 * half) for g in part}
+        mass = target[part].sum() + 50
+        for g in part:
+            ratio[g] = np.log((target[g] + 50 * p[g]) / mass / p[g])
+    weight = {i: sum(ratio[g] for g in quality.ngrams(text)) for i, text in rows}
+    known = [(weight[i], marked[i] > 0) for i in weight if i in marked]
+    def price(cut):
+        return sum(10 if good else 0 for w, good in known if w < cut) + sum(not good for w, good in known if w >= cut)
+    best = min(price(c) for c in [-np.inf, np.inf, *[w for w, _ in known]])
+    model = quality.fit(docs, labels)
+    assert np.allclose(model.ratio, ratio, atol=1e-9) and price(model.cut) == best
+    k = sum(w >= model.cut for w in weight.values())
+    key = {i: weight[i] + quality.gumbel(i, text, 11) for i, text in rows}
+    got = {r["doc_id"]: r for r in quality.quality(docs, labels).collect()}
+    assert all(abs(got[i]["log_importance"] - weight[i]) < 1e-6 for i in weight)
+    assert {i for i in got if got[i]["selected"]} == set(sorted(key, key=key.get)[len(key) - k:])
+
+
 def test_quality_odd_rows(spark, docs):
     labels = spark.createDataFrame([(3, 1, 1), (4, 0, 0), (None, 1, 1), (5, None, 0)], "doc_id long, quality int, toxic int")
     for own in (labels, labels.where("false"), labels.where("quality = 1")):
