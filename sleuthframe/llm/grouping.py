@@ -109,24 +109,18 @@ def stars(filed: DataFrame) -> DataFrame:
     return durable(filed.join(heads.hint("merge"), "key").where("node != a").select("a", F.col("node").alias("b")).distinct())
 
 
-def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``pairs`` whose nodes have different labels; a node without one is its own."""
-    named = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")).hint("merge")
-    both = pairs.join(named("a"), "a", "left").join(named("b"), "b", "left")
-    return durable(both.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b"))
-
-
-def groups_of(early: DataFrame, late, sets: DataFrame, percent: int) -> DataFrame:
+def groups_of(early: DataFrame, sets: DataFrame, percent: int, late=None) -> DataFrame:
     """node, label: the least node reachable over similar pairs among the nodes that candidates connect.
 
     early: candidate links, verified first; late: function of the labels they give that
-    returns further candidate links, which need to join different labels only.  Copies of
-    one text meet under nearly every key: most of their links are spared in this way.
-    sets: node, shingles of all nodes of a link.
+    returns further candidate links, which need to join different labels only, and the sets
+    of all nodes.  Copies of one text meet under nearly every key: most of their links are
+    spared in this way.  sets: node, shingles of the nodes of the early links.
     """
-    sure = similar_links(early, sets, percent)
-    more = late(connected(sure))
-    pairs, sure = early.unionByName(more), sure.unionByName(similar_links(more, sets, percent))
+    pairs, sure = early, similar_links(early, sets, percent)
+    if late is not None:
+        more, sets = late(connected(sure))
+        pairs, sure = early.unionByName(more), sure.unionByName(similar_links(more, sets, percent))
     clusters = connected(pairs).withColumnRenamed("label", "cluster")
     groups = durable(clusters.join(connected(sure).hint("merge"), "node", "left").select("node", "cluster", F.coalesce("label", "node").alias("label")))
     last = settle(groups, sets, percent)

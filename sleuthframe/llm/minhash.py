@@ -150,13 +150,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80, bands:
     shared = filed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     filed = durable(filed.join(shared.hint("merge"), "key"))
 
-    def late(labels: DataFrame) -> DataFrame:
+    def late(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links of one member of each label under every key."""
         labelled = filed.join(labels.hint("merge"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        return stars(labelled.groupBy("key", "label").agg(F.min("node").alias("node")).select("key", "node"))
+        return stars(labelled.groupBy("key", "label").agg(F.min("node").alias("node")).select("key", "node")), sets
 
     wanted = kinds.join(filed.select("node").distinct().hint("merge"), "node")
-    labels = groups_of(stars(filed.where(F.col("band") < FIRST).select("key", "node")), late, sets_of(docs, wanted, shingle), percent)
+    sets = sets_of(docs, wanted, shingle)
+    labels = groups_of(stars(filed.where(F.col("band") < FIRST).select("key", "node")), sets, percent, late)
     named = kinds.join(labels.hint("merge"), "node", "left").select("c1", "c2", "doc_id", F.coalesce("label", "node").alias("label"))
     named = durable(named)
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))

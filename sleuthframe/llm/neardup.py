@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import durable
 from .common import bit_majority, connected, small, texts, words
-from .grouping import apart, groups_of
+from .grouping import groups_of
 from .minhash import shingle_set
 
 #: Members of one key that a task links at once: 4,096 of them take 8 million distances.
@@ -134,17 +134,34 @@ def forest(members: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.uint64), np.array(b, np.uint64)
 
 
+def small_forests(runs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prim's least spanning forests of many groups of one size (a row each), a step of all groups at a time."""
+    rows, a, b = np.arange(len(runs)), [], []
+    best = np.bitwise_count(runs ^ runs[:, :1])
+    parent = np.broadcast_to(runs[:, :1], runs.shape).copy()
+    best[:, 0] = 255  # of those that are in the forest
+    for _ in range(runs.shape[1] - 1):
+        i = best.argmin(1)
+        new, near = runs[rows, i], best[rows, i] <= radius
+        a.append(parent[rows, i][near])
+        b.append(new[near])
+        apart = np.bitwise_count(runs ^ new[:, None])
+        closer = (apart < best) & (best < 255)
+        best[closer] = apart[closer]
+        parent = np.where(closer, new[:, None], parent)
+        best[rows, i] = 255
+    return np.concatenate(a), np.concatenate(b)
+
+
 def link_runs(keys: np.ndarray, fps: np.ndarray, radius: int, plan) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs of equal keys."""
     at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     size = np.diff(np.r_[at, len(keys)])
     a, b = [], []
     for g in np.unique(size[(size > 1) & (size <= 16)]):
-        run = fps[at[size == g][:, None] + np.arange(g)]
-        for i, j in combinations(range(int(g)), 2):
-            near = np.bitwise_count(run[:, i] ^ run[:, j]) <= radius
-            a.append(run[near, i])
-            b.append(run[near, j])
+        x, y = small_forests(fps[at[size == g][:, None] + np.arange(g)], radius)
+        a.append(x)
+        b.append(y)
     for i, g in zip(at[size > 16], size[size > 16]):
         run = np.unique(fps[i:i + g])
         if plan:  # all reached this key over the same flipped bits: their own key links them
@@ -265,14 +282,19 @@ def shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def print_links(kinds: DataFrame, name: str, radius: int, segments: int) -> DataFrame:
-    """a, b: nodes that fingerprint ``name`` connects: each print's least node with its others, and with those of near prints."""
-    heads = durable(kinds.groupBy(F.col(name).alias("fp")).agg(F.min("node").alias("head")))
-    near = links(heads, radius, segments).distinct()
-    a = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")).hint("merge"), "a")
-    both = a.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")).hint("merge"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    both = both.unionByName(kinds.select(F.col(name).alias("fp"), F.col("node").alias("b")).join(heads.hint("merge"), "fp")
-                            .where("head != b").select(F.col("head").alias("a"), "b"))
-    return durable(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    """a, b: nodes of different labels that fingerprint ``name`` connects, written.
+
+    kinds: node, label and the fingerprint.  A print's least node stands for it in the links
+    to near prints, and is linked with one node of every other label that has the print.
+    """
+    held = durable(kinds.groupBy(F.col(name).alias("fp"), "label").agg(F.min("node").alias("node")))
+    heads = durable(held.groupBy("fp").agg(F.min(F.struct("node", "label")).alias("h")).select("fp", F.col("h.node").alias("head"), F.col("h.label").alias("own")))
+    a = links(heads, radius, segments).distinct().join(
+        heads.select(F.col("fp").alias("a"), F.col("head").alias("x"), F.col("own").alias("x_label")).hint("merge"), "a")
+    both = a.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y"), F.col("own").alias("y_label")).hint("merge"), "b").where(
+        "x_label != y_label").select("x", "y")
+    same = held.join(heads.hint("merge"), "fp").where("own != label").select(F.col("head").alias("x"), F.col("node").alias("y"))
+    return durable(both.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 8, segments: int = 3,
@@ -305,12 +327,25 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     own = texts(docs).where("doc_id is not null")
     marked = durable(own.mapInArrow(run, "doc_id long, code long, " + ", ".join(f"{n} long" for n in names)))
     kinds = durable(marked.groupBy("code", *names).agg(F.min("doc_id").alias("node")))  # one row for each text
-    found = [print_links(kinds, name, radius, segments) for name in names]  # one after the other: a shuffle holds the keys of one fingerprint
-    first, rest = (durable(union(part).where("a != b").distinct()) for part in (found[:2], found[2:] or found[:1]))
-    asked = durable(first.unionByName(rest).select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = durable(shingle_sets(own.join(asked.hint("merge"), "doc_id", "left_semi").select("doc_id", "text"), shingle)
-                   .groupBy(F.col("doc_id").alias("node")).agg(F.min("shingles").alias("shingles")))
-    labels = groups_of(first, lambda known: apart(rest, known), sets, round(100 * similarity)).withColumnRenamed("label", "group")
+
+    def proposed(some: list[str], labelled: DataFrame) -> DataFrame:  # one print after the other: a shuffle holds the keys of one
+        return durable(union([print_links(labelled, name, radius, segments) for name in some]).distinct())
+
+    def sets_of(pairs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        if known is not None:
+            asked = asked.join(known.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_anti")
+        return durable(shingle_sets(own.join(durable(asked), "doc_id", "left_semi").select("doc_id", "text"), shingle)
+                       .groupBy(F.col("doc_id").alias("node")).agg(F.min("shingles").alias("shingles")))
+
+    def late(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+        labelled = durable(kinds.join(known.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")))
+        pairs = proposed(names[2:], labelled)
+        return pairs, sets.unionByName(sets_of(pairs, sets))
+
+    first = proposed(names[:2], kinds.withColumn("label", F.col("node")))
+    sets = sets_of(first)
+    labels = groups_of(first, sets, round(100 * similarity), late if names[2:] else None).withColumnRenamed("label", "group")
     grouped = durable(kinds.join(labels.hint("merge"), "node", "left").select("code", *names, F.coalesce("group", "node").alias("group")))
     return marked.join(grouped.hint("merge"), ["code", *names]).select("doc_id", "group")
 
