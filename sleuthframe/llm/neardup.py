@@ -190,17 +190,31 @@ def linker(radius: int, plan, limit: int | None):
             pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64)),
             pa.nulls(len(a), pa.int64()) if key is None else pa.array(np.full(len(a), key, np.uint64).view(np.int64))], schema=schema)
 
+    def found(keys, fps, labels):
+        """Links within runs of equal keys, but for those of one label."""
+        a, b = link_runs(keys, fps, radius, plan)
+        if labels is not None and len(a):
+            order = np.argsort(fps)
+            own = lambda x: labels[order[np.searchsorted(fps, x, sorter=order)]]
+            apart = own(a) != own(b)
+            a, b = a[apart], b[apart]
+        return out(a, b)
+
     def run(batches):
-        keys, fps, large = np.zeros(0, np.uint64), np.zeros(0, np.uint64), None
+        keys, fps, large, labels = np.zeros(0, np.uint64), np.zeros(0, np.uint64), None, None
+        part = lambda x, i, j=None: None if x is None else x[i:j]
         for batch in batches:
             keys = np.r_[keys, batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)]
             fps = np.r_[fps, batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)]
+            if "label" in batch.schema.names:
+                new = batch.column("label").to_numpy(zero_copy_only=False)
+                labels = new if labels is None else np.r_[labels, new]
             while len(keys):
                 if large is not None:
                     n = int(np.argmax(keys != large)) if (keys != large).any() else len(keys)
                     if n:
                         yield out(fps[:n], None, large)
-                    keys, fps = keys[n:], fps[n:]
+                    keys, fps, labels = keys[n:], fps[n:], part(labels, n)
                     if not len(keys):
                         break
                     large = None
@@ -211,15 +225,15 @@ def linker(radius: int, plan, limit: int | None):
                     if len(over):
                         n, large = int(at[over[0]]), keys[at[over[0]]]
                         if n:
-                            yield out(*link_runs(keys[:n], fps[:n], radius, plan))
-                        keys, fps = keys[n:], fps[n:]
+                            yield found(keys[:n], fps[:n], part(labels, 0, n))
+                        keys, fps, labels = keys[n:], fps[n:], part(labels, n)
                         continue
                 if last:
-                    yield out(*link_runs(keys[:last], fps[:last], radius, plan))
-                    keys, fps = keys[last:], fps[last:]
+                    yield found(keys[:last], fps[:last], part(labels, 0, last))
+                    keys, fps, labels = keys[last:], fps[last:], part(labels, last)
                 break
         if len(keys) and large is None:
-            yield out(*link_runs(keys, fps, radius, plan))
+            yield found(keys, fps, labels)
 
     return run
 
@@ -228,18 +242,24 @@ def links(prints: DataFrame, radius: int = 4, segments: int = 2, limit: int = LI
     """a, b: links between fingerprints at most ``radius`` bits apart that connect all that such links connect.
 
     prints: column fp, distinct and not null.  Every fingerprint keeps a link to its
-    nearest one within the radius under each key they share.
+    nearest one within the radius under each key they share.  Where prints have a column
+    ``label``, links within one label are left out (those of keys of over ``limit`` members stay).
     """
     spark, plan = prints.sparkSession, segments_of(radius, segments)
+    more = [c for c in prints.columns if c == "label"]
 
     def emit(batches):
         for b in batches:
             fp = b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             for part in range(0, len(fp), 2000):
-                keys, owners = keys_of(fp[part:part + 2000], plan)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(owners.view(np.int64))], ["key", "fp"])
-
-    filed = prints.select("fp").mapInArrow(emit, "key long, fp long")
+                own = fp[part:part + 2000]
+                keys, owners = keys_of(own, plan)
+                order = np.argsort(own)
+                at = pa.array(order[np.searchsorted(own, owners, sorter=order)] + part)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(owners.view(np.int64)), *[b.column(c).take(at) for c in more]],
+                                                 ["key", "fp", *more])
+
+    filed = prints.select("fp", *more).mapInArrow(emit, "key long, fp long" + ", label long" * len(more))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = durable(filed.repartition(parts, "key").sortWithinPartitions("key")
                     .mapInArrow(linker(radius, plan, limit), "a long, b long, key long"))
@@ -289,7 +309,7 @@ def print_links(kinds: DataFrame, name: str, radius: int, segments: int) -> Data
     """
     held = durable(kinds.groupBy(F.col(name).alias("fp"), "label").agg(F.min("node").alias("node")))
     heads = durable(held.groupBy("fp").agg(F.min(F.struct("node", "label")).alias("h")).select("fp", F.col("h.node").alias("head"), F.col("h.label").alias("own")))
-    a = links(heads, radius, segments).distinct().join(
+    a = links(heads.withColumnRenamed("own", "label"), radius, segments).distinct().join(
         heads.select(F.col("fp").alias("a"), F.col("head").alias("x"), F.col("own").alias("x_label")).hint("merge"), "a")
     both = a.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y"), F.col("own").alias("y_label")).hint("merge"), "b").where(
         "x_label != y_label").select("x", "y")
