@@ -371,19 +371,39 @@ def anchored_buckets(artifacts: DataFrame, settings: Settings = DEFAULT, keys: t
 
 # ---- values that contain each other ---------------------------------------
 
+GRAM = 4
+
+
+def _grams(sizes: Column) -> Column:
+    """Distinct runs of characters of ``value`` in each of these sizes; its characters are cut once."""
+    return F.array_distinct(F.flatten(F.transform(
+        F.filter(sizes, lambda n: n <= F.size("chars")),
+        lambda n: F.transform(F.sequence(F.lit(0), F.size("chars") - n), lambda i: F.array_join(F.slice("chars", i + 1, n), "")))))
+
+
 def _containing(values: DataFrame, scope: str, least: int) -> DataFrame:
     """scope, outer_value, inner_value of distinct ``value``s that contain another one of the scope.
 
-    Every distinct value is cut into its own substrings, which meet the values by
-    an equi-join; the work depends on the length of a value, not on how many there are.
+    An inverted index of grams of four characters: every value is filed under the one of its
+    grams that the fewest values of the scope hold (a shorter value under itself) and asks
+    under all grams it holds; what meets is compared character by character.  Rows of the
+    index carry numbers, not values, so a long value costs its length and not the square of it.
     """
-    # only substrings of a length that some value of the scope has can be values
-    lengths = values.groupBy(scope).agg(F.collect_set(F.length("value")).alias("lengths"))
-    pieces = values.join(lengths, scope).select(scope, F.col("value").alias("outer_value"), F.explode(F.array_distinct(F.expr(
-        "flatten(transform(filter(lengths, n -> n < length(value)), "
-        "n -> transform(sequence(1, length(value) - n + 1), i -> substring(value, i, n))))"))).alias("value"))
-    return (pieces.join(values, [scope, "value"]).filter(F.length(F.least("value", "outer_value")) >= least)
-            .select(scope, "outer_value", F.col("value").alias("inner_value")))
+    numbered = durable(values.where(F.col(scope).isNotNull()).select(scope, "value").distinct().withColumn("id", F.monotonically_increasing_id()))
+    cut = numbered.select(scope, "id", F.split("value", "").alias("chars"))
+    cut = cut.withColumn("chars", F.filter("chars", lambda c: c != ""))
+    own_size = F.least(F.size("chars"), F.lit(GRAM))
+    sizes = cut.groupBy(scope).agg(F.collect_set(own_size).alias("sizes"))  # four numbers at most
+    held = durable(cut.join(sizes, scope).select(scope, "id", F.size("chars").alias("length"), F.explode(_grams(F.col("sizes"))).alias("gram")))
+    counts = held.groupBy(scope, "gram").agg(F.count("*").alias("n"))
+    filed = (held.where(F.length("gram") == F.least("length", F.lit(GRAM))).join(counts, [scope, "gram"]).groupBy(scope, "id")
+             .agg(F.min(F.struct("n", "gram")).alias("rarest"), F.first("length").alias("inner_length"))
+             .select(scope, F.col("rarest.gram").alias("gram"), F.col("id").alias("inner"), "inner_length"))
+    met = held.join(filed, [scope, "gram"]).where("inner_length < length").select(F.col("id").alias("outer"), "inner")
+    named = lambda side: numbered.select(F.col("id").alias(side), F.col("value").alias(f"{side}_value"), *([scope] if side == "outer" else []))
+    return (met.join(named("inner"), "inner").join(named("outer"), "outer")
+            .where(F.contains("outer_value", "inner_value") & (F.length(F.least("inner_value", "outer_value")) >= least))
+            .select(scope, "outer_value", "inner_value"))
 
 
 def containing_values(artifacts: DataFrame) -> DataFrame:

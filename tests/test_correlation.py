@@ -197,3 +197,23 @@ def test_last_correlation_wins(spark):
                                   "record_id long, artifact_a_id string, artifact_b_id string, score double, strength_category string, reason string, correlation_type string")
     got = {r.artifact_id: (r.score, r.group_id) for r in correlate.last_correlation(edges).collect()}
     assert got == {"a": (0.2, "group_multi_factor_2"), "b": (0.9, "group_entity_match_1"), "c": (0.2, "group_multi_factor_2")}
+
+
+def test_containing_values_by_grams(spark):
+    """All contained values, short and long ones, of many alphabets; one value of 20,000 characters beside 300 others."""
+    import random
+    import time
+    rnd = random.Random(3)
+    words = ["".join(rnd.choices("ab", k=rnd.randint(1, 7))) for _ in range(150)] + ["東京", "京", "😀x", "x😀xy", "a b", " a", "user1", "user12", "xuser12y"]
+    words += [rnd.choice(words) + rnd.choice(words) for _ in range(150)]
+    long = "".join(rnd.choices("abcdefghij0123456789", k=20_000))
+    words += [long, long[500:900], long[7000:7004], long[19_990:], long + "z"]
+    rows = [(i % 3 if i % 5 else None, w) for i, w in enumerate(words)] + [(0, w) for w in words[-5:]] + [(0, None), (0, "  "), (1, "USER1")]
+    frame = spark.createDataFrame(rows, "case_id long, entity_value string")
+    start = time.time()
+    got = {tuple(r) for r in correlate.containing_values(frame).select("case_id", "outer_value", "inner_value").collect()}
+    took = time.time() - start
+    clean = lambda w: (w or "").strip(" ").lower()
+    held = {(c, clean(w)) for c, w in rows if c is not None and clean(w)}
+    want = {(c, x, y) for c, x in held for d, y in held if c == d and x != y and y in x and len(min(x, y)) >= 4}
+    assert got == want and len(want) > 100 and took < 60
