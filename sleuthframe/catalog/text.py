@@ -138,11 +138,11 @@ def entity_offsets(spark, folder):
 
 
 @query("entities_pages", f"""
-WITH src AS (SELECT page_id, url || E'\\n' || html AS text FROM pages), {_hits_sql("src", "page_id")}
+WITH src AS (SELECT page_id, coalesce(url, '') || E'\\n' || coalesce(html, '') AS text FROM pages), {_hits_sql("src", "page_id")}
 SELECT page_id, artifact_type, entity, confidence FROM best
 """)
 def entities_pages(spark, folder):
-    whole = F.concat("url", F.lit("\n"), "html").alias("text")
+    whole = F.concat(F.coalesce("url", F.lit("")), F.lit("\n"), F.coalesce("html", F.lit(""))).alias("text")
     return _counted(spark, table(spark, folder, "pages", spread=True).select("page_id", whole), "page_id")
 
 
@@ -226,7 +226,7 @@ def iocs(spark, folder):
 
 
 @query("iocs_pages", f"""
-WITH t AS (SELECT page_id, 'visit ' || url || ', then (' || url || E').\\n' || html AS body, md5(url) AS digest FROM pages)
+WITH t AS (SELECT page_id, 'visit ' || coalesce(url, '') || ', then (' || coalesce(url, '') || E').\\n' || coalesce(html, '') AS body, md5(url) AS digest FROM pages)
 SELECT page_id, 'ip' AS indicator_type, unnest(list_distinct(regexp_extract_all(body, {sql_pattern(tx.IP_V4)}))) AS value FROM t
 UNION ALL SELECT page_id, 'url', regexp_replace(unnest(list_distinct(regexp_extract_all(body, {sql_pattern(tx.IOC_URL)}))), '[.,;)]+$', '') FROM t
 UNION ALL SELECT page_id, 'sha256', digest FROM t
@@ -234,7 +234,8 @@ UNION ALL SELECT page_id, 'sha256', digest FROM t
 def iocs_pages(spark, folder):
     """Indicators of the url, written as a log would, and of the whole page."""
     p = table(spark, folder, "pages", spread=True)
-    body = F.concat(F.lit("visit "), "url", F.lit(", then ("), "url", F.lit(").\n"), "html")
+    url, html = (F.coalesce(c, F.lit("")) for c in ("url", "html"))
+    body = F.concat(F.lit("visit "), url, F.lit(", then ("), url, F.lit(").\n"), html)
     return p.select("page_id", F.inline(tx.indicators(body, F.md5(F.col("url").cast("binary")))))
 
 
