@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import durable
 from .common import bit_majority, connected, small, texts, words
 from .grouping import groups_of
-from .minhash import shingle_set
+from .minhash import mix, shingle_set
 
 #: Members of one key that a task links at once: 4,096 of them take 8 million distances.
 LIMIT = 4096
@@ -114,54 +114,87 @@ def keys_of(fp: np.ndarray, plan: list[tuple[int, int, int]], kind: int = 0) ->
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def forest(members: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def distances(a: np.ndarray, b: np.ndarray, strict: bool) -> np.ndarray:
+    """Differing bits; ``strict``: in the top seven bits, with 57 mixed bits of the pair below, so that no two pairs tie."""
+    d = np.bitwise_count(a ^ b)
+    return d.astype(np.uint64) << np.uint64(57) | (mix(a) + mix(b)) >> np.uint64(7) if strict else d
+
+
+def forest(members: np.ndarray, radius: int, strict: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Prim's least spanning forest over Hamming distances up to radius."""
-    rest, a, b = members[1:].copy(), [], []
-    best = np.bitwise_count(rest ^ members[0])
+    rest, a, b, far = members[1:].copy(), [], [], (radius + 1 << 57 if strict else radius + 1)
+    best = distances(rest, members[:1], strict)
     parent = np.full(len(rest), members[0], np.uint64)
     while len(rest):
         i = int(best.argmin())
-        new = rest[i]
-        if best[i] <= radius:
+        new = rest[i:i + 1].copy()
+        if best[i] < far:
             a.append(parent[i])
-            b.append(new)
+            b.append(new[0])
         last = len(rest) - 1  # take i out by putting the last in its place
         rest[i], best[i], parent[i] = rest[last], best[last], parent[last]
         rest, best, parent = rest[:last], best[:last], parent[:last]
-        d = np.bitwise_count(rest ^ new)
+        d = distances(rest, new, strict)
         closer = d < best
-        best[closer], parent[closer] = d[closer], new
+        best[closer], parent[closer] = d[closer], new[0]
     return np.array(a, np.uint64), np.array(b, np.uint64)
 
 
-def small_forests(runs: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Prim's least spanning forests of many groups of one size (a row each), a step of all groups at a time."""
-    rows, a, b = np.arange(len(runs)), [], []
-    best = np.bitwise_count(runs ^ runs[:, :1])
+def small_forests(runs: np.ndarray, radius: int, strict: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prim's least spanning forests of many groups of one size (a row each), a step of all groups at a time; with each link's row."""
+    rows, a, b, at, far = np.arange(len(runs)), [], [], [], (radius + 1 << 57 if strict else radius + 1)
+    best = distances(runs, runs[:, :1], strict)
+    taken = np.iinfo(best.dtype).max  # of those that are in the forest
     parent = np.broadcast_to(runs[:, :1], runs.shape).copy()
-    best[:, 0] = 255  # of those that are in the forest
+    best[:, 0] = taken
     for _ in range(runs.shape[1] - 1):
         i = best.argmin(1)
-        new, near = runs[rows, i], best[rows, i] <= radius
+        new, near = runs[rows, i], best[rows, i] < far
         a.append(parent[rows, i][near])
         b.append(new[near])
-        apart = np.bitwise_count(runs ^ new[:, None])
-        closer = (apart < best) & (best < 255)
+        at.append(rows[near])
+        apart = distances(runs, new[:, None], strict)
+        closer = (apart < best) & (best < taken)
         best[closer] = apart[closer]
         parent = np.where(closer, new[:, None], parent)
-        best[rows, i] = 255
-    return np.concatenate(a), np.concatenate(b)
-
-
-def link_runs(keys: np.ndarray, fps: np.ndarray, radius: int, plan) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal keys."""
+        best[rows, i] = taken
+    return np.concatenate(a), np.concatenate(b), np.concatenate(at)
+
+
+def first_shared(a: np.ndarray, b: np.ndarray, plan) -> np.ndarray:
+    """One key of those that two fingerprints share: of their first common segment, its value if it is the same in both, else the least one."""
+    none = np.iinfo(np.uint64).max
+    out = np.full(len(a), none)
+    for s, (low, width, tolerance) in enumerate(plan):
+        flips = (tolerance + 1) // 2
+        masks = np.array([sum(1 << i for i in bits) for n in range(flips + 1) for bits in combinations(range(width), n)], np.uint64)
+        left = np.flatnonzero(out == none)
+        for part in np.split(left, range(10_000, len(left), 10_000)):
+            x, y = ((v[part, None] >> np.uint64(low)) & np.uint64((1 << width) - 1) for v in (a, b))
+            keys = x ^ masks
+            under = lambda v: (np.bitwise_count(keys ^ v) <= flips) & ((tolerance != 1) | (keys & ~v == 0))
+            least = np.where(under(x) & under(y), keys, none).min(1)
+            key = np.where(x == y, x, least[:, None])[:, 0]
+            out[part] = np.where(key == none, none, key | np.uint64(s << 58))
+    return out
+
+
+def link_runs(keys: np.ndarray, fps: np.ndarray, radius: int, plan, once: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs of equal keys.
+
+    ``once`` names a link under one of the keys that its two fingerprints share and no
+    other.  Where that key's forest leaves the link out, nearer links of the key take its
+    place; as no two pairs tie, the same holds for each of those, down to the nearest.
+    """
     at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     size = np.diff(np.r_[at, len(keys)])
-    a, b = [], []
+    a, b, under = [], [], []
     for g in np.unique(size[(size > 1) & (size <= 16)]):
-        x, y = small_forests(fps[at[size == g][:, None] + np.arange(g)], radius)
+        own = at[size == g]
+        x, y, row = small_forests(fps[own[:, None] + np.arange(g)], radius, once)
         a.append(x)
         b.append(y)
+        under.append(keys[own][row])
     for i, g in zip(at[size > 16], size[size > 16]):
         run = np.unique(fps[i:i + g])
         if plan:  # all reached this key over the same flipped bits: their own key links them
@@ -169,10 +202,14 @@ def link_runs(keys: np.ndarray, fps: np.ndarray, radius: int, plan) -> tuple[np.
             values = (run >> np.uint64(low)) & np.uint64((1 << width) - 1)
             if (values == values[0]).all() and int(values[0]) != int(keys[i]) & ((1 << 58) - 1):
                 continue
-        x, y = forest(run, radius)
+        x, y = forest(run, radius, once)
         a.append(x)
         b.append(y)
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (a, b))
+        under.append(np.full(len(x), keys[i]))
+    a, b, under = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (a, b, under))
+    if once:
+        own = first_shared(a, b, plan) == under
+        a, b = a[own], b[own]
     x, y = np.minimum(a, b), np.maximum(a, b)
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
@@ -191,8 +228,8 @@ def linker(radius: int, plan, limit: int | None):
             pa.nulls(len(a), pa.int64()) if key is None else pa.array(np.full(len(a), key, np.uint64).view(np.int64))], schema=schema)
 
     def found(keys, fps, labels):
-        """Links within runs of equal keys, but for those of one label."""
-        a, b = link_runs(keys, fps, radius, plan)
+        """Links within runs of equal keys; where there are labels, each one once and none within a label."""
+        a, b = link_runs(keys, fps, radius, plan, once=labels is not None)
         if labels is not None and len(a):
             order = np.argsort(fps)
             own = lambda x: labels[order[np.searchsorted(fps, x, sorter=order)]]
@@ -243,7 +280,8 @@ def links(prints: DataFrame, radius: int = 4, segments: int = 2, limit: int = LI
 
     prints: column fp, distinct and not null.  Every fingerprint keeps a link to its
     nearest one within the radius under each key they share.  Where prints have a column
-    ``label``, links within one label are left out (those of keys of over ``limit`` members stay).
+    ``label``, a link is named under one key alone and links within one label are left out
+    (all those of keys of over ``limit`` members stay).
     """
     spark, plan = prints.sparkSession, segments_of(radius, segments)
     more = [c for c in prints.columns if c == "label"]

@@ -149,6 +149,35 @@ def test_links_connect_all_within_radius(spark, radius, segments, limit):
     near = [(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if (prints[i] ^ prints[j]).bit_count() <= radius]
     assert all((prints[i] ^ prints[j]).bit_count() <= radius for i, j in got)
     assert groups(len(prints), got) == groups(len(prints), near)
+    # with labels: joined to them, the links connect the same, none within a label and each one once
+    for labels in (len(prints), 5):
+        label = [i % labels for i in range(len(prints))]
+        frame = spark.createDataFrame([(x - 2 ** 64 if x >= 2 ** 63 else x, n) for x, n in zip(prints, label)], "fp long, label long")
+        found = [(at[r["a"] % 2 ** 64], at[r["b"] % 2 ** 64]) for r in neardup.links(frame, radius, segments, limit).collect()]
+        same = [(i, j) for i in range(len(prints)) for j in range(i) if label[i] == label[j]]
+        assert groups(len(prints), found + same) == groups(len(prints), near + same) and set(found) <= set(near)
+        assert limit < 100 or all(label[i] != label[j] for i, j in found) and len(found) == len(set(found))
+
+
+@pytest.mark.parametrize("radius,segments", [(4, 2), (8, 3), (1, 2), (9, 2), (0, 2)])
+def test_first_shared_key(radius, segments):
+    """It is a key of both, there is one where they share any, and a segment of one value gives that value."""
+    rnd, plan = random.Random(1), neardup.segments_of(radius, segments)
+    pairs = []
+    for _ in range(200):
+        x = y = rnd.getrandbits(64)
+        for bit in rnd.sample(range(64), rnd.randint(0, radius + 6)):
+            y ^= 1 << bit
+        pairs.append((x, y))
+    a, b = (np.array(x, np.uint64) for x in zip(*pairs))
+    own = lambda v: set(neardup.keys_of(np.array([v], np.uint64), plan)[0].tolist())
+    for x, y, key in zip(a, b, neardup.first_shared(a, b, plan).tolist()):
+        both = own(x) & own(y)
+        assert key in both if both else key == 2 ** 64 - 1
+        if both:
+            low, width, _ = plan[key >> 58]
+            value = int(x) >> low & (1 << width) - 1
+            assert min(both) >> 58 == key >> 58 and (value != int(y) >> low & (1 << width) - 1 or key & (1 << 58) - 1 == value)
 
 
 def test_simhash_odd_rows(spark, docs):
