@@ -183,6 +183,51 @@ def best_partner_cross_case(spark, folder):
     return _best_rows(spark, folder, Settings(cross_case=True))
 
 
+# Events of one user are dealt over seven cases, so that an entity is seen in several.
+SEVERAL = f"""
+WITH {ARTIFACT},
+art AS (SELECT * REPLACE (seq % 7 AS case_id) FROM artifact),
+"""
+
+
+def _several(spark, folder):
+    return views.artifacts(spark, folder).withColumn("case_id", F.col("seq") % 7)
+
+
+@query("other_case_sightings", SEVERAL + """
+near AS (
+  SELECT a.id, a.case_id, a.entity_value AS entity_key, a.t, max(b.t) FILTER (WHERE b.t <= a.t) AS before_t, min(b.t) FILTER (WHERE b.t >= a.t) AS after_t
+  FROM art a LEFT JOIN art b ON a.entity_value = b.entity_value AND a.case_id <> b.case_id GROUP BY ALL)
+SELECT n.id, n.case_id, n.entity_key, n.t, before_t, after_t, min(b.id) FILTER (WHERE b.t = before_t) AS before_id, min(b.id) FILTER (WHERE b.t = after_t) AS after_id
+FROM near n LEFT JOIN art b ON n.entity_key = b.entity_value AND n.case_id <> b.case_id AND b.t IN (before_t, after_t) GROUP BY ALL
+""")
+def other_case_sightings(spark, folder):
+    """The latest and the next sighting of every event's user in another case."""
+    return correlate.other_case_sightings(_several(spark, folder))
+
+
+@query("correlate_target_case", SEVERAL + f"""
+near AS (
+  SELECT a.id, a.case_id, a.entity_value AS entity_key, max(b.t) FILTER (WHERE b.t <= a.t) AS before_t, min(b.t) FILTER (WHERE b.t >= a.t) AS after_t
+  FROM art a JOIN art b ON a.entity_value = b.entity_value AND (a.case_id = 3) <> (b.case_id = 3) GROUP BY ALL),
+seen AS (
+  SELECT n.id, min(b.id) AS other FROM near n JOIN art b ON n.entity_key = b.entity_value AND (n.case_id = 3) <> (b.case_id = 3) AND b.t = before_t GROUP BY 1
+  UNION ALL
+  SELECT n.id, min(b.id) FROM near n JOIN art b ON n.entity_key = b.entity_value AND (n.case_id = 3) <> (b.case_id = 3) AND b.t = after_t GROUP BY 1),
+pairs AS (SELECT DISTINCT least(id, other) AS artifact_a_id, greatest(id, other) AS artifact_b_id FROM seen),
+scored AS (
+  SELECT *, {SCORE} AS score FROM (
+    SELECT artifact_a_id, artifact_b_id, a.case_id, {SIMILARITY} FROM pairs JOIN art a ON a.id = artifact_a_id JOIN art b ON b.id = artifact_b_id))
+SELECT case_id, artifact_a_id, artifact_b_id, score,
+  CASE WHEN score >= 0.70 THEN 'Strong' WHEN score >= 0.40 THEN 'Moderate' ELSE 'Weak' END AS strength_category
+FROM scored WHERE score >= 0.15
+""")
+def correlate_target_case(spark, folder):
+    """Case 3 against all others: every event of either side with its nearest sightings on the other one."""
+    rows = correlate.target_case_pairs(_several(spark, folder), 3, Settings(cross_case=True))
+    return rows.select("case_id", "artifact_a_id", "artifact_b_id", "score", "strength_category")
+
+
 @query("containing_values", f"""
 WITH {ARTIFACT},
 v AS (SELECT DISTINCT case_id, lower(trim(entity_value)) AS value FROM artifact)

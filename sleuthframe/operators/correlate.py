@@ -519,6 +519,59 @@ def best_correlations(artifacts: DataFrame, settings: Settings = DEFAULT) -> Dat
     return score_pairs(best.join(_side(artifacts, "a"), "a_id").join(_side(artifacts, "b"), "b_id"), settings)
 
 
+# ---- sightings in other cases ------------------------------------------------
+
+def _nearest_of_another(points: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, t, near: the latest time at or before t that has another side than the one of t; points: keys, t, side.
+
+    Times of one side that follow each other are a run.  What lies before the run's start
+    is of another side for all of its times, and a time of two sides answers for itself.
+    """
+    times = points.groupBy(*keys, "t").agg(F.min("side").alias("low"), F.max("side").alias("high"))
+    seen = scan.ordered_scan(times, keys, "t", {"prev": ("max", F.struct("t", "low", "high"))}, "before")
+    same = (F.col("low") == F.col("high")) & (F.col("prev.low") == F.col("prev.high")) & (F.col("low") == F.col("prev.low"))
+    starts = F.when(~F.coalesce(same, F.lit(False)), F.struct("t", F.col("prev.t").alias("before")))
+    runs = scan.ordered_scan(seen.withColumn("starts", starts), keys, "t", {"start": ("max", F.col("starts"))}, "upto")
+    return runs.select(*keys, "t", F.when(F.col("low") != F.col("high"), F.col("t")).otherwise(F.col("start.before")).alias("near"))
+
+
+def other_case_sightings(artifacts: DataFrame, target: int | None = None) -> DataFrame:
+    """id, case_id, entity_key, t, before_id, before_t, after_id, after_t of every artifact that has an entity, a time and a case.
+
+    ``before`` is the latest sighting of the entity at or before t in another case, ``after``
+    the first one at or after it; of several at one time the least id.  With a ``target``
+    case the artifacts of that case meet those of all others, and theirs meet it alone.
+    No pair is listed: two ordered scans each way carry the last time of another side.
+    """
+    key = F.nullif(sim.clean(F.col("entity_value")), F.lit(""))
+    side = F.col("case_id") if target is None else (F.col("case_id") == target).cast("int")
+    rows = durable(artifacts.select("id", "case_id", key.alias("entity_key"), "t", side.alias("side"))
+                   .where("entity_key IS NOT NULL AND t IS NOT NULL AND side IS NOT NULL"))
+    points = rows.select("entity_key", "t", "side").distinct()
+    before = _nearest_of_another(points, ["entity_key"]).withColumnRenamed("near", "before_t")
+    after = _nearest_of_another(points.withColumn("t", -F.col("t")), ["entity_key"]).select("entity_key", (-F.col("t")).alias("t"), (-F.col("near")).alias("after_t"))
+    least = rows.groupBy("entity_key", "t", "side").agg(F.min("id").alias("id"))
+    ranked = least.withColumn("n", F.row_number().over(Window.partitionBy("entity_key", "t").orderBy("id"))).where("n <= 2")
+    two = durable(ranked.groupBy("entity_key", "t").agg(*[F.max(F.when(F.col("n") == n, F.col(c))).alias(f"{c}_{n}") for n in (1, 2) for c in ("id", "side")]))
+
+    def named(found: DataFrame, at: str) -> DataFrame:
+        """Adds the id seen at the time ``at``: one of the two least, as the sides of these differ."""
+        seen = two.select("entity_key", F.col("t").alias(f"{at}_t"), "id_1", "side_1", "id_2")
+        other = F.when(F.col("side_1") != F.col("side"), F.col("id_1")).otherwise(F.col("id_2"))
+        return found.join(seen, ["entity_key", f"{at}_t"], "left").withColumn(f"{at}_id", other).drop("id_1", "side_1", "id_2")
+
+    found = rows.join(before, ["entity_key", "t"]).join(after, ["entity_key", "t"])
+    return named(named(found, "before"), "after").select("id", "case_id", "entity_key", "t", "before_id", "before_t", "after_id", "after_t")
+
+
+def target_case_pairs(artifacts: DataFrame, target: int, settings: Settings = DEFAULT) -> DataFrame:
+    """Scored rows (as of ``focus_pairs``) between the target case and others: of every artifact with its nearest sightings across."""
+    seen = other_case_sightings(artifacts, target)
+    ends = seen.select(F.col("id"), F.explode(F.array_compact(F.array("before_id", "after_id"))).alias("other"))
+    pairs = durable(ends.select(F.least("id", "other").alias("a_id"), F.greatest("id", "other").alias("b_id")).distinct())
+    return score_pairs(pairs.join(_side(artifacts, "a"), "a_id").join(_side(artifacts, "b"), "b_id"), settings)
+
+
 # ---- per artifact: last correlation ---------------------------------------
 
 def last_correlation(edges: DataFrame, order: Column | None = None) -> DataFrame:

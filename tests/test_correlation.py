@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -217,3 +218,21 @@ def test_containing_values_by_grams(spark):
     held = {(c, clean(w)) for c, w in rows if c is not None and clean(w)}
     want = {(c, x, y) for c, x in held for d, y in held if c == d and x != y and y in x and len(min(x, y)) >= 4}
     assert got == want and len(want) > 100 and took < 60
+
+
+@pytest.mark.parametrize("target", [None, 2])
+def test_sightings_in_other_cases_against_all_pairs(spark, target):
+    """Many sightings at one time, runs of one case, negative times; rows without entity, time or case have none."""
+    rnd = random.Random(5)
+    rows = [(f"x{i:03}", rnd.choice((1, 1, 1, 2, 3)), rnd.choice(("Ann ", "ann", "bob")), rnd.randint(-12, 12) * rnd.choice((1, 10 ** 12))) for i in range(150)]
+    rows += [(f"y{i}", 1, "eve", i) for i in range(4)] + [("z0", None, "ann", 1), ("z1", 1, " ", 1), ("z2", 2, "ann", None), ("z3", 2, None, 5)]
+    got = correlate.other_case_sightings(spark.createDataFrame(rows, "id string, case_id long, entity_value string, t long"), target).collect()
+    side = lambda r: r[1] if target is None else r[1] == target
+    kept = [r for r in rows if r[1] is not None and (r[2] or "").strip() and r[3] is not None]
+    want = set()
+    for a in kept:
+        others = [b for b in kept if b[2].strip().lower() == a[2].strip().lower() and side(b) != side(a)]
+        before = min(((-b[3], b[0]) for b in others if b[3] <= a[3]), default=(None, None))
+        after = min(((b[3], b[0]) for b in others if b[3] >= a[3]), default=(None, None))
+        want.add((a[0], before[1], None if before[0] is None else -before[0], after[1], after[0]))
+    assert {(r["id"], r["before_id"], r["before_t"], r["after_id"], r["after_t"]) for r in got} == want and len(got) == len(kept)
