@@ -1,12 +1,12 @@
 """Exact top-k search by inner product over a vector-approximation file.
 
-Each vector is kept twice: exactly, and as one small cell number per component.  The
-cell gives bounds for every score: the query times the cell's middle, plus or minus
-the query's size times half a cell.  A first pass over the cells alone finds for each
-query a score that at least k vectors are certain to reach.  A second pass reads exact
-vectors only where the upper bound reaches it, best bound first, until the kth exact
-score is no lower than the next bound.  Rows travel in blocks of a few thousand
-vectors; every block of queries meets every block of vectors once in each pass.
+The file holds each distinct vector as one small cell number per component.  A cell
+gives bounds for every score: the query times the cell's middle, plus or minus the
+query's size times half a cell.  One scan of the cells names for each query the rows
+whose upper bound reaches a score that k rows are certain to have.  Their exact vectors
+are then fetched by row number, best bound first, until the kth exact score is no lower
+than the next bound.  In the scan the cells lie in groups of bounded size, each read
+once; the queries pass by every group.
 """
 
 from __future__ import annotations
@@ -18,220 +18,209 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import durable
 
-_BLOCK = "block long, dim int, n int, ids binary, rows binary, exact binary"
 #: Cells of a component.
 CELLS = 256
+#: Scores beyond a long are given as the nearest long.
+_LEAST, _MOST = -2 ** 63, 2 ** 63 - 1
+_BLOCK = "block long, dim int, rows binary, body binary, low binary, width binary"
+_SCANNED = pa.schema([("q_row", pa.int64()), ("row", pa.int64()), ("lower", pa.float64()), ("upper", pa.float64())])
 
 
-def _blocks(batches, block_rows: int, ids: str, values: str):
-    """Vectors in blocks of one dimension each; rows that hold no finite vector are left out."""
-    part, made, at = TaskContext.get().partitionId(), 0, 0
-    held: dict[int, list] = {}
-
-    def block(dim, rows):
-        nonlocal made
-        made += 1
-        number, own, vectors = zip(*rows)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([part << 32 | made], pa.int64()), pa.array([dim], pa.int32()), pa.array([len(rows)], pa.int32()),
-             pa.array([np.array(own, np.int64).tobytes()], pa.binary()), pa.array([np.array(number, np.int64).tobytes()], pa.binary()),
-             pa.array([np.array(vectors, np.int64).tobytes()], pa.binary())], ["block", "dim", "n", "ids", "rows", "exact"])
-
+def _whole(batches):
+    """row, vec_id, dim and the integers of each vector: 32 bits a component, or doubles where one needs more."""
+    part, at = TaskContext.get().partitionId(), 0
     for b in batches:
-        for own, vector in zip(b.column(ids).to_pylist(), b.column(values).to_pylist()):
+        lists, ids = b.column("embedding"), b.column("vec_id").to_pylist()
+        numbers, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        there = lists.is_valid().to_numpy(zero_copy_only=False)
+        out = []
+        for i, own in enumerate(ids):
             at += 1
-            if own is None or not vector or any(x is None for x in vector):
-                continue
-            x = np.array(vector, np.float64)
-            if not np.isfinite(x).all():
-                continue
-            scaled = np.floor(256 * x)
-            if np.abs(scaled).max() >= 2 ** 31 / len(x) ** 0.5:
+            x = numbers[ends[i]:ends[i + 1]]
+            if own is None or not there[i] or not len(x) or not np.isfinite(x).all():
                 continue
-            rows = held.setdefault(len(vector), [])
-            rows.append((part << 32 | at, own, scaled))
-            if len(rows) >= block_rows:
-                yield block(len(vector), held.pop(len(vector)))
-    for dim, rows in held.items():
-        yield block(dim, rows)
-
-
-def _matrix(raw: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(raw, np.int64).reshape(-1, dim)
+            with np.errstate(over="ignore"):
+                x = np.nan_to_num(np.floor(256 * x)) + 0.0
+            small = np.abs(x).max() < 2 ** 31
+            out.append((part << 32 | at, own, len(x), (x.astype(np.int32) if small else x).tobytes()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
+                                             ["row", "vec_id", "dim", "exact"])
 
 
-def vector_file(vectors: DataFrame, block_rows: int = 4096, id_col: str = "vec_id", value_col: str = "embedding") -> DataFrame:
-    """The written file: a row for each block of vectors, with exact integers and cells (``cells`` and the cells' scale).
+def _numbers(raw: bytes, dim: int, n: int = 1) -> np.ndarray:
+    return np.frombuffer(raw, np.int32 if len(raw) == 4 * dim * n else np.float64).reshape(n, dim)
 
-    A cell is as wide as the block's range of that component divided by CELLS, so that
-    no pass over all data is needed to place the marks.
-    """
-    def run(batches):
-        for b in _blocks(batches, block_rows, id_col, value_col):
-            dim = b.column("dim")[0].as_py()
-            x = _matrix(b.column("exact")[0].as_py(), dim)
-            low = x.min(0)
-            width = np.maximum(1, -(-(x.max(0) - low + 1) // CELLS))
-            cells = ((x - low) // width).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([cells.tobytes()], pa.binary()), pa.array([low.tobytes()], pa.binary()),
-                 pa.array([width.tobytes()], pa.binary())], [*b.schema.names, "cells", "low", "width"])
 
-    plain = vectors.select(F.col(id_col).cast("long").alias(id_col), F.col(value_col).cast("array<double>").alias(value_col))
-    return durable(plain.mapInArrow(run, _BLOCK + ", cells binary, low binary, width binary"))
+def _blocked(batches, block_rows: int):
+    """Runs of at most ``block_rows`` rows of one length and one kind of number: dim, rows, matrix."""
+    held: dict[tuple, list] = {}
+    for b in batches:
+        for row, dim, exact in zip(*(b.column(c).to_pylist() for c in ("row", "dim", "exact"))):
+            rows = held.setdefault((dim, len(exact)), [])
+            rows.append((row, exact))
+            if len(rows) >= block_rows:
+                yield dim, np.array([r for r, _ in rows]), _numbers(b"".join(x for _, x in rows), dim, len(rows))
+                rows.clear()
+    for (dim, _), rows in held.items():
+        if rows:
+            yield dim, np.array([r for r, _ in rows]), _numbers(b"".join(x for _, x in rows), dim, len(rows))
 
 
-def _query_blocks(queries: DataFrame, block_rows: int) -> DataFrame:
+def _to_blocks(block_rows: int, cells: int | None):
+    """Blocks of rows, as cells (with each component's lowest mark and cell width) or, without ``cells``, as they are."""
     def run(batches):
-        yield from _blocks(batches, block_rows, "vec_id", "embedding")
-
-    return queries.mapInArrow(run, _BLOCK)
-
+        part = TaskContext.get().partitionId()
+        for made, (dim, rows, x) in enumerate(_blocked(batches, block_rows)):
+            low = width = np.zeros(0)
+            if cells:
+                x = x.astype(np.float64)
+                with np.errstate(all="ignore"):
+                    low = x.min(0)
+                    width = np.maximum(1, np.ceil((x.max(0) - low + 1) / cells))
+                    x = np.nan_to_num(np.clip(np.floor((x - low) / width), 0, cells - 1)).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part << 32 | made], pa.int64()), pa.array([dim], pa.int32()),
+                 *(pa.array([a.tobytes()], pa.binary()) for a in (rows, x, low, width))],
+                ["block", "dim", "rows", "body", "low", "width"])
 
-def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """The k greatest of each row."""
-    return scores if scores.shape[1] <= k else -np.partition(-scores, k - 1, axis=1)[:, :k]
+    return run
 
 
-def _bounds(q: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cell middles, and how far a score can be from the middle's: half a cell for each component, and rounding."""
-    size = np.abs(q).astype(np.float64)
-    most = np.maximum(np.abs(low), np.abs(low + width * CELLS)).astype(np.float64)
-    return cells * width + low + (width - 1) / 2, size @ ((width - 1) / 2) + size @ most * 1e-12
+def vector_file(rows: DataFrame, k: int, block_rows: int = 4096, cells: int = CELLS) -> DataFrame:
+    """The written file: blocks of cells of every vector that can be among the k best of some query.
 
+    Of equal vectors only the k + 1 rows of least vec_id can be (one of them may be the
+    query itself), so that copies cost nothing.  A cell is as wide as the block's range
+    of that component divided by ``cells`` (at most 256): no pass over all data is
+    needed to place the marks.
+    """
+    order = Window.partitionBy("dim", "exact").orderBy("vec_id", "row")
+    kept = rows.withColumn("copy", F.row_number().over(order)).where(F.col("copy") <= k + 1)
+    return durable(kept.select("row", "dim", "exact").mapInArrow(_to_blocks(block_rows, cells), _BLOCK))
+
+
+def _bounds(q: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.ndarray, cut: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper bounds of every score: half a cell for each component, and what rounding can make of it."""
+    with np.errstate(all="ignore"):
+        size, half = np.abs(q), (width - 1) / 2
+        most = np.maximum(np.abs(low), np.abs(low + width * cut))
+        middle = q @ (cells * width + low + half).T
+        room = (size @ half + size @ most * ((len(low) + 16) * 4e-16))[:, None]
+        return (np.nan_to_num(np.clip(middle - room, _LEAST, _MOST), nan=_LEAST),
+                np.nan_to_num(np.clip(middle + room, _LEAST, _MOST), nan=_MOST))
+
+
+def _scan(k: int, cut: int, most_held: int = 1 << 20):
+    """Candidates of each passing query block among a group's cells, which come first and are held."""
+    def found(q, q_rows, blocks):
+        best, parts, held = np.full((len(q), k), -np.inf), [], 0
+
+        def above():
+            at, rows, lower, upper = (np.concatenate(c) for c in zip(*parts))
+            good = upper >= best.min(1)[at]
+            return at[good], rows[good], lower[good], upper[good]
+
+        def batch(at, rows, lower, upper):
+            return pa.RecordBatch.from_arrays([pa.array(q_rows[at]), pa.array(rows), pa.array(lower), pa.array(upper)], schema=_SCANNED)
+
+        for rows, cells, low, width in blocks:
+            lower, upper = _bounds(q, cells, low, width, cut)
+            own = q_rows[:, None] == rows[None, :]
+            lower[own] = upper[own] = -np.inf
+            best = -np.partition(-np.hstack([best, lower]), k - 1, axis=1)[:, :k]
+            at, to = np.nonzero((upper >= best.min(1)[:, None]) & (upper > -np.inf))
+            parts.append((at, rows[to], lower[at, to], upper[at, to]))
+            held += len(at)
+            if held > most_held:
+                parts = [above()]
+                held = len(parts[0][0])
+                if held > most_held // 2:
+                    yield batch(*parts.pop())
+                    held = 0
+        if parts:
+            yield batch(*above())
 
-def _scan(k: int):
-    """First pass: for each query the k best lower bounds among the blocks a task sees."""
     def run(batches):
-        held: dict[int, tuple] = {}
+        group, blocks = None, {}
         for b in batches:
-            for r in b.to_pylist():
-                q, cells = _matrix(r["q_exact"], r["dim"]), np.frombuffer(r["cells"], np.uint8).reshape(-1, r["dim"])
-                low, width = np.frombuffer(r["low"], np.int64), np.frombuffer(r["width"], np.int64)
-                middle, room = _bounds(q, cells, low, width)
-                lower = q.astype(np.float64) @ middle.T - room[:, None]
-                own = np.frombuffer(r["q_rows"], np.int64)[:, None] == np.frombuffer(r["rows"], np.int64)[None, :]
-                lower[own] = -np.inf
-                before = held.get(r["q_block"])
-                best = _best(lower if before is None else np.hstack([before[1], lower]), k)
-                held[r["q_block"]] = (np.frombuffer(r["q_rows"], np.int64), best)
-        for block, (rows, best) in held.items():
-            n = best.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows) * n, block)), pa.array(np.repeat(rows, n)),
-                                              pa.array(best.ravel())], ["q_block", "q_row", "bound"])
+            for i in range(b.num_rows):
+                r = {c: b.column(c)[i].as_py() for c in b.schema.names}
+                if r["team"] != group:
+                    group, blocks = r["team"], {}
+                rows, dim = np.frombuffer(r["rows"], np.int64), r["dim"]
+                if r["asks"]:
+                    q = _numbers(r["body"], dim, len(rows)).astype(np.float64)
+                    yield from found(q, rows, blocks.get(dim, ()))
+                else:
+                    blocks.setdefault(dim, []).append((rows, np.frombuffer(r["body"], np.uint8).reshape(-1, dim),
+                                                       np.frombuffer(r["low"]), np.frombuffer(r["width"])))
 
     return run
 
 
-def _refine(k: int):
-    """Second pass: exact scores in the order of the upper bounds, until the kth is certain."""
-    def run(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                dim = r["dim"]
-                q, x = _matrix(r["q_exact"], dim), _matrix(r["exact"], dim)
-                cells = np.frombuffer(r["cells"], np.uint8).reshape(-1, dim)
-                low, width = np.frombuffer(r["low"], np.int64), np.frombuffer(r["width"], np.int64)
-                middle, room = _bounds(q, cells, low, width)
-                upper = q.astype(np.float64) @ middle.T + room[:, None]
-                q_rows, rows = np.frombuffer(r["q_rows"], np.int64), np.frombuffer(r["rows"], np.int64)
-                q_ids, ids = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                floors = np.frombuffer(r["floors"], np.float64)
-                out_q, out_id, out_score = [], [], []
-                upper[q_rows[:, None] == rows[None, :]] = -np.inf
-                for i in np.flatnonzero((upper >= floors[:, None]).any(1)):
-                    near = np.flatnonzero((upper[i] >= floors[i]) & (upper[i] > -np.inf))
-                    near = near[np.argsort(-upper[i, near], kind="stable")]
-                    score, found, step = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
-                    while step < len(near):
-                        if len(score) >= k and upper[i, near[step]] < score.min():
-                            break
-                        part = near[step:step + 4 * k]
-                        score, found = np.r_[score, x[part] @ q[i]], np.r_[found, ids[part]]
-                        best = np.lexsort((found, -score))[:k]
-                        score, found, step = score[best], found[best], step + 4 * k
-                    out_q.append(np.full(len(score), i))
-                    out_id.append(found)
-                    out_score.append(score)
-                if out_q:
-                    at = np.concatenate(out_q)
-                    yield pa.RecordBatch.from_arrays([pa.array(q_rows[at]), pa.array(q_ids[at]), pa.array(np.concatenate(out_id)),
-                                                      pa.array(np.concatenate(out_score))], ["q_row", "query_id", "vec_id", "score"])
+def _product(q: bytes, x: bytes, dim: int) -> int:
+    """The exact score, or the nearest long."""
+    a, b = _numbers(q, dim)[0], _numbers(x, dim)[0]
+    if float(np.abs(a).max()) * float(np.abs(b).max()) * dim < 2 ** 62:
+        return int(a.astype(np.int64) @ b.astype(np.int64)) if a.dtype == b.dtype == np.int32 else sum(int(u) * int(v) for u, v in zip(a, b))
+    return min(max(sum(int(u) * int(v) for u, v in zip(a.tolist(), b.tolist())), _LEAST), _MOST)
 
-    return run
 
+def _exact(batches):
+    for b in batches:
+        q, x, dim = (b.column(c).to_pylist() for c in ("q_exact", "exact", "dim"))
+        yield pa.RecordBatch.from_arrays([b.column("q_row"), b.column("query_id"), b.column("vec_id"),
+                                          pa.array(map(_product, q, x, dim), pa.int64())], ["q_row", "query_id", "vec_id", "score"])
 
-def top_k(vectors: DataFrame, every: int = 50, k: int = 5, block_rows: int = 4096, query_rows: int = 1024) -> DataFrame:
+
+def top_k(vectors: DataFrame, every: int = 50, k: int = 5, block_rows: int = 4096, query_rows: int = 256,
+          group_bytes: int = 32 << 20, cells: int = CELLS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k greatest inner products of floor(256 x) for every query.
 
     Queries: rows whose vec_id is divisible by ``every``; candidates: all rows but the
     query's own.  Ties go to the smaller vec_id.  Vectors that are null, empty, or hold
     a null or a number that is not finite take no part, nor do rows without a vec_id;
-    only vectors of equal length are compared; a component of 2^31 / sqrt(length) or more
-    after scaling, whose scores need not fit a long, keeps its vector out.  Repeated rows are rows of their own.
-    A query without candidates has no row.  Other columns are left out.
+    only vectors of equal length are compared.  A score that no long holds is given and
+    ranked as the nearest long.  Repeated rows are rows of their own.  A query without
+    candidates has no row.  Other columns are left out.
+
+    In the scan a task holds a group of at most some ``group_bytes`` of cells, and every
+    query is sent to every group: what is shuffled is the cells once and the queries once
+    a group.  Exact vectors are fetched by an equality join on the row in rounds of 4 k,
+    32 k, ... rows a query, and only those whose bound reaches the kth score so far.
     """
     spark = vectors.sparkSession
-    file = vector_file(vectors.select("vec_id", "embedding"), block_rows)
-
-    def queries(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                ids, rows, x = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["rows"], np.int64), _matrix(r["exact"], r["dim"])
-                own = np.flatnonzero(ids % every == 0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(own), r["dim"], np.int32)), pa.array(ids[own]), pa.array(rows[own]),
-                     pa.array([x[i].tobytes() for i in own], pa.binary())], ["dim", "id", "row", "exact"])
-
-    asked = file.select("dim", "ids", "rows", "exact").mapInArrow(queries, "dim int, id long, row long, exact binary")
-    # query blocks: a run of the shuffled queries each, of at most query_rows
-    def gather(batches):
-        part, made, held = TaskContext.get().partitionId(), 0, {}
-
-        def block(dim, rows):
-            nonlocal made
-            made += 1
-            ids, own, x = zip(*rows)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | made], pa.int64()), pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()]),
-                 pa.array([np.array(own, np.int64).tobytes()]), pa.array([b"".join(x)])], ["q_block", "dim", "q_ids", "q_rows", "q_exact"])
-
-        for b in batches:
-            for r in b.to_pylist():
-                rows = held.setdefault(r["dim"], [])
-                rows.append((r["id"], r["row"], r["exact"]))
-                if len(rows) >= query_rows:
-                    yield block(r["dim"], held.pop(r["dim"]))
-        for dim, rows in held.items():
-            yield block(dim, rows)
-
-    few = max(1, asked.count() // query_rows)
-    q = durable(asked.repartition(few).mapInArrow(gather, "q_block long, dim int, q_ids binary, q_rows binary, q_exact binary"))
-    # every query block goes to every block of its dimension: an equality join on the block's number
-    to = q.join(file.select("dim", "block"), "dim")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    group = F.expr(f"pmod(xxhash64(block), {parts})")
-    met = to.join(file.select("block", "n", "rows", "cells", "low", "width"), "block").repartition(parts, "q_block", group)
-    bounds = met.select("q_block", "dim", "q_rows", "q_exact", "rows", "cells", "low", "width").mapInArrow(
-        _scan(k), "q_block long, q_row long, bound double")
-    floors = (bounds.groupBy("q_block", "q_row").agg(F.sort_array(F.collect_list("bound"), False).alias("b"))
-              .select("q_block", "q_row", F.coalesce(F.get("b", F.lit(k - 1)), F.lit(float("-inf"))).alias("floor")))
-    packed = floors.groupBy("q_block").agg(F.map_from_entries(F.collect_list(F.struct("q_row", "floor"))).alias("floors"))
-
-    def with_floors(batches):
-        for b in batches:
-            for r in b.to_pylist():
-                known = dict(r["floors"])
-                rows = np.frombuffer(r["q_rows"], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r["q_block"]], pa.int64()), pa.array([r["dim"]], pa.int32()), pa.array([r["q_ids"]]), pa.array([r["q_rows"]]),
-                     pa.array([r["q_exact"]]), pa.array([np.array([known[x] for x in rows.tolist()]).tobytes()])],
-                    ["q_block", "dim", "q_ids", "q_rows", "q_exact", "floors"])
-
-    asked_again = durable(q.join(packed, "q_block").mapInArrow(
-        with_floors, "q_block long, dim int, q_ids binary, q_rows binary, q_exact binary, floors binary"))
-    scored = (asked_again.join(file.select("dim", "block"), "dim").join(file.drop("dim", "n"), "block")
-              .repartition(parts, "q_block", group).mapInArrow(_refine(k), "q_row long, query_id long, vec_id long, score long"))
+    plain = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = durable(plain.mapInArrow(_whole, "row long, vec_id long, dim int, exact binary"))
+    file = vector_file(rows, k, block_rows, cells)
+    held = file.agg(F.sum(F.length("body")).alias("bytes"), F.count("*").alias("blocks")).first()
+    teams = max(1, -(-(held["bytes"] or 0) // group_bytes), min(held["blocks"], spark.sparkContext.defaultParallelism))
+
+    asked = rows.where(F.col("vec_id") % every == 0)
+    blocks = asked.mapInArrow(_to_blocks(query_rows, None), _BLOCK)
+    met = (file.withColumn("team", F.expr(f"cast(pmod(xxhash64(block), {teams}) AS int)")).withColumn("asks", F.lit(False))
+           .unionByName(blocks.withColumn("team", F.explode(F.sequence(F.lit(0), F.lit(teams - 1)))).withColumn("asks", F.lit(True))))
+    found = durable(met.repartitionById(teams, F.col("team")).sortWithinPartitions("team", "asks")
+                    .mapInArrow(_scan(k, cells), "q_row long, row long, lower double, upper double"))
+
+    certain = Window.partitionBy("q_row").orderBy(F.desc("lower"))
+    floors = (found.withColumn("n", F.row_number().over(certain)).where(F.col("n") <= k)
+              .groupBy("q_row").agg(F.when(F.count("*") == k, F.min("lower")).alias("floor")))
+    likely = Window.partitionBy("q_row").orderBy(F.desc("upper"), "row")
+    live = durable(found.join(floors, "q_row").where("floor IS NULL OR upper >= floor")
+                   .select("q_row", "row", "upper", F.row_number().over(likely).alias("step")))
+    wanted = asked.select(F.col("row").alias("q_row"), F.col("vec_id").alias("query_id"), F.col("exact").alias("q_exact"))
     order = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
-    return (scored.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}")
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+    best, upto = None, 4 * k
+    while True:
+        read = live.where(F.col("step") <= upto).join(rows, "row").join(wanted, "q_row")
+        scored = read.select("q_row", "query_id", "vec_id", "dim", "q_exact", "exact").mapInArrow(
+            _exact, "q_row long, query_id long, vec_id long, score long")
+        scored = scored if best is None else scored.unionByName(best.drop("rank"))
+        best = durable(scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        kth = best.groupBy("q_row").agg(F.min("score").alias("kth"))
+        live = durable(live.where(F.col("step") > upto).join(kth, "q_row").where("upper >= kth").drop("kth"))
+        if live.isEmpty():
+            return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        upto *= 8

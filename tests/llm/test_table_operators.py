@@ -2,6 +2,7 @@
 
 import math
 import random
+import sys
 import zlib
 from collections import Counter
 
@@ -90,16 +91,18 @@ def test_vectors_against_every_pair(spark):
     rows = [(i, [rnd.gauss(0, 0.2) for _ in range(8)]) for i in range(400)]
     rows += [(400 + i, rows[3][1]) for i in range(30)]  # ties
     rows += [(50, rows[50][1]), (None, [0.1] * 8), (1000, None), (1050, []), (1100, [None] * 8), (1150, [float("nan")] * 8),
-             (1200, [float("inf")] + [0.0] * 7), (1250, [0.5, 0.25]), (1300, [0.1, -3.0]), (1350, [1.0] * 3), (1400, [1e300] * 8)]
+             (1200, [float("inf")] + [0.0] * 7), (1250, [0.5, 0.25]), (1300, [0.1, -3.0]), (1350, [1.0] * 3), (1400, [1e300] * 8),
+             (1450, [1e7, -1e7] + [0.0] * 6), (1451, [3e9] * 8), (1500, [1.7e308, -1.7e308] + [0.0] * 6)]
     frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int").repartition(5)
     own = [(n, i, [math.floor(256 * x) for x in v]) for n, (i, v) in enumerate(rows)
-           if i is not None and v and all(x is not None and math.isfinite(x) and abs(x) < 1e6 for x in v)]
+           if i is not None and v and all(x is not None and math.isfinite(x) and abs(x) < 1e301 for x in v)]
+    own.append((len(rows) - 1, 1500, [math.floor(sys.float_info.max), -math.floor(sys.float_info.max)] + [0] * 6))  # 256 x is beyond a double
     want = Counter()
     for n, i, v in own:
         if i % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, w)), j) for m, j, w in own if m != n and len(w) == len(v))[:5]
+            scored = sorted((-min(max(sum(a * b for a, b in zip(v, w)), -2 ** 63), 2 ** 63 - 1), j) for m, j, w in own if m != n and len(w) == len(v))[:5]
             want.update((i, rank, j, -s) for rank, (s, j) in enumerate(scored, 1))
-    for blocks in ((4096, 1024), (32, 3)):
+    for blocks in ((4096, 256), (32, 3), (32, 3, 600, 2), (50, 7, 100, 1)):
         got = Counter((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vectors.top_k(frame, 50, 5, *blocks).collect())
         assert got == want
     assert vectors.top_k(frame.where("false")).count() == 0
