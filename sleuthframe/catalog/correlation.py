@@ -165,10 +165,13 @@ QUALIFY row_number() OVER (PARTITION BY artifact_a_id ORDER BY score DESC, apart
 """
 
 
-def _best_rows(spark, folder, settings):
+def _some_undated(spark, folder):
     a = views.artifacts(spark, folder)
-    a = a.withColumn("t", F.when((F.col("event_type") != "error") | (F.col("seq") % 3 != 0), F.col("t")))
-    return correlate.best_partner(a, settings).select("artifact_a_id", "artifact_b_id", "score", "strength_category", "correlation_type")
+    return a.withColumn("t", F.when((F.col("event_type") != "error") | (F.col("seq") % 3 != 0), F.col("t")))
+
+
+def _best_rows(spark, folder, settings):
+    return correlate.best_partner(_some_undated(spark, folder), settings).select("artifact_a_id", "artifact_b_id", "score", "strength_category", "correlation_type")
 
 
 @query("best_partner", BEST_SQL.format(scope="a.case_id = b.case_id AND "))
@@ -183,6 +186,53 @@ def best_partner_cross_case(spark, folder):
     return _best_rows(spark, folder, Settings(cross_case=True))
 
 
+# Buckets of a case: each begins at the first event more than an hour after the last bucket's beginning.
+PLACED = f"""
+WITH RECURSIVE {ARTIFACT},
+art AS (SELECT * REPLACE (CASE WHEN event_type = 'error' AND seq % 3 = 0 THEN NULL ELSE t END AS t) FROM artifact),
+ts AS (SELECT DISTINCT case_id, t FROM art WHERE t IS NOT NULL),
+anchors AS (
+  SELECT case_id, min(t) AS a FROM ts GROUP BY 1
+  UNION ALL
+  SELECT n.case_id, (SELECT min(t) FROM ts WHERE ts.case_id = n.case_id AND ts.t > n.a + 3600000000) AS a
+  FROM anchors n WHERE n.a IS NOT NULL),
+starts AS (SELECT ts.case_id, ts.t, max(a) AS bucket FROM ts JOIN anchors ON anchors.case_id = ts.case_id AND a <= ts.t GROUP BY ALL),
+placed AS (SELECT art.*, bucket FROM art LEFT JOIN starts ON art.case_id = starts.case_id AND art.t = starts.t),
+"""
+
+
+@query("best_partner_anchored", PLACED + f"""
+pairs AS (
+  SELECT a.id AS artifact_a_id, b.id AS artifact_b_id, abs(a.t - b.t) AS apart, {SIMILARITY}
+  FROM placed a JOIN placed b ON a.case_id = b.case_id AND a.id <> b.id
+   AND (a.entity_value = b.entity_value OR a.t IS NULL OR b.t IS NULL OR a.bucket = b.bucket)),
+scored AS (SELECT *, {SCORE} AS score FROM pairs)
+SELECT artifact_a_id, artifact_b_id, score,
+  CASE WHEN score >= 0.70 THEN 'Strong' WHEN score >= 0.40 THEN 'Moderate' ELSE 'Weak' END AS strength_category,
+  CASE WHEN s_entity > 0.8 THEN 'ENTITY_MATCH' WHEN s_time > 0.7 THEN 'TIME_PROXIMITY'
+       WHEN s_source > 0.8 THEN 'COMMON_SOURCE' ELSE 'MULTI_FACTOR' END AS correlation_type
+FROM scored WHERE score >= 0.15
+QUALIFY row_number() OVER (PARTITION BY artifact_a_id ORDER BY score DESC, apart ASC NULLS LAST, artifact_b_id) = 1
+""")
+def best_partner_anchored(spark, folder):
+    """The best correlation of every event among those of its entity, of its anchored bucket and without a time."""
+    return _best_rows(spark, folder, Settings(cross_case=False, anchored=True))
+
+
+@query("bucket_partner_counts", PLACED + """
+counted AS (
+  SELECT a.id, a.case_id, a.entity_value AS entity_key, a.t, a.bucket AS bucket_start,
+    count(*) FILTER (WHERE a.entity_value = b.entity_value) - 1 AS n_same_entity,
+    count(*) FILTER (WHERE a.t IS NULL OR b.t IS NULL OR a.bucket = b.bucket) - 1 AS n_in_bucket,
+    count(*) FILTER (WHERE a.entity_value = b.entity_value AND (a.t IS NULL OR b.t IS NULL OR a.bucket = b.bucket)) - 1 AS n_both
+  FROM placed a JOIN placed b ON a.case_id = b.case_id GROUP BY ALL)
+SELECT *, n_same_entity + n_in_bucket - n_both AS n_partners FROM counted
+""")
+def bucket_partner_counts(spark, folder):
+    """Candidates of every event by entity and by anchored bucket; a third of the 'error' events lose their time."""
+    return correlate.bucket_partner_counts(_some_undated(spark, folder), Settings(cross_case=False, anchored=True))
+
+
 # Events of one user are dealt over seven cases, so that an entity is seen in several.
 SEVERAL = f"""
 WITH {ARTIFACT},

@@ -31,6 +31,8 @@ class Settings:
     timezone: str = "UTC"
     cross_case: bool = True
     min_score: float = 0.15
+    #: rows are near in time if they lie in one anchored bucket, not if they are less than a window apart
+    anchored: bool = False
 
     def __post_init__(self):
         if int(self.window_seconds) != self.window_seconds or self.window_seconds <= 0:

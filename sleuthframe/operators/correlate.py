@@ -104,6 +104,7 @@ def candidate_pairs(artifacts: DataFrame, focus: DataFrame, settings: Settings =
     nothing has to be de-duplicated; a pair of two focus artifacts is listed once,
     with the smaller id as a.  A focus of up to FOCUS_LIMIT rows is written to a
     checkpoint and broadcast; a larger one is joined by shuffling on the same keys.
+    In anchored mode the cell of a row is its bucket.
     """
     width = settings.window_micros
     scope = F.lit("") if settings.cross_case else F.col("case_id").cast("string")
@@ -115,11 +116,16 @@ def candidate_pairs(artifacts: DataFrame, focus: DataFrame, settings: Settings =
     few = durable(focus.select(*ARTIFACT_COLUMNS).limit(FOCUS_LIMIT + 1))
     small = few.count() <= FOCUS_LIMIT
     chosen = few if small else focus.select(*ARTIFACT_COLUMNS)
+    every, reach = artifacts.select(*ARTIFACT_COLUMNS), (-1, 0, 1)
+    if settings.anchored:
+        starts = durable(_starts(artifacts.select("t", scope.alias("scope")), settings))
+        chosen, every = (df.withColumn("scope", scope).join(starts, ["scope", "t"], "left") for df in (chosen, every))
+        cell, reach = F.col("bucket"), (0,)
     hint = F.broadcast if small else (lambda df: df)
     undated = F.col("t").isNull()
     filed = chosen.withColumns({"scope": scope, "key": key, "file": F.explode(F.array_compact(F.array(
-        files["e"], files["n"], F.when(undated, files["d"]), *[files["t"](d) for d in (-1, 0, 1)])))})
-    asked = artifacts.select(*ARTIFACT_COLUMNS).withColumns({"scope": scope, "key": key})
+        files["e"], files["n"], F.when(undated, files["d"]), *[files["t"](d) for d in reach])))})
+    asked = every.withColumns({"scope": scope, "key": key})
     ids = chosen.select(F.col("id").alias("b_id"), F.lit(True).alias("b_focus"))
     asked = _side(asked.withColumn("file", F.explode(F.array_compact(F.array(
         files["e"], F.when(undated, files["n"]).otherwise(files["d"]), files["t"](0))))), "b", "scope", "key", "file")
@@ -131,7 +137,7 @@ def candidate_pairs(artifacts: DataFrame, focus: DataFrame, settings: Settings =
     pairs = asked.join(hint(filed), (F.col("a_scope") == F.col("b_scope")) & (F.col("a_file") == F.col("b_file"))
                        & (F.col("a_id") != F.col("b_id")) & (F.col("b_focus").isNull() | (F.col("a_id") < F.col("b_id")))
                        & (by_entity | ~same_key)
-                       & (~by_time | (F.abs(F.col("a_t") - F.col("b_t")) < width)))
+                       & (F.lit(settings.anchored) | ~by_time | (F.abs(F.col("a_t") - F.col("b_t")) < width)))
     return pairs.drop("b_focus", *[f"{x}_{c}" for x in "ab" for c in ("scope", "key", "file")])
 
 
@@ -369,6 +375,43 @@ def anchored_buckets(artifacts: DataFrame, settings: Settings = DEFAULT, keys: t
     return scan.last_mark(points, marks, keys, "t", "bucket_start")
 
 
+def _starts(rows: DataFrame, settings: Settings) -> DataFrame:
+    """scope, t, bucket: the anchored bucket of every instant of a scope."""
+    found = anchored_buckets(rows.where("scope IS NOT NULL"), settings, ("scope",))
+    return found.withColumnRenamed("bucket_start", "bucket")
+
+
+def bucket_partner_counts(artifacts: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Per artifact its anchored bucket and its partners: of the same entity, of the bucket, of both, and of either.
+
+    Rows without a time stand in every bucket of their scope (the case, or all cases if
+    the settings say so), so that they have all its rows as partners.  A missing entity
+    is shared with nothing; a missing case is a scope of its own.  The counts are sizes
+    of groups joined back, no pair is formed.
+    """
+    key = F.coalesce(sim.clean(F.col("entity_value")), F.lit(""))
+    scope = F.lit("") if settings.cross_case else F.coalesce(F.col("case_id").cast("string"), F.lit(""))
+    rows = artifacts.select("id", "case_id", scope.alias("scope"), "t", key.alias("entity_key"))
+    rows = durable(rows.join(_starts(rows, settings), ["scope", "t"], "left"))
+
+    def sizes(df, prefix, *group):
+        """Rows of a group, and how many of them have no time."""
+        return df.groupBy("scope", *group).agg(F.count("*").alias(f"{prefix}_all"), F.count_if(F.col("t").isNull()).alias(f"{prefix}_undated"))
+
+    named, dated = rows.where("entity_key <> ''"), rows.where("t IS NOT NULL")
+    found = rows.join(sizes(rows, "scope"), "scope").join(sizes(named, "entity", "entity_key"), ["scope", "entity_key"], "left")
+    for df, name, group in ((dated, "bucket_size", ["bucket"]), (dated.where("entity_key <> ''"), "both_size", ["bucket", "entity_key"])):
+        found = found.join(df.groupBy("scope", *group).agg(F.count("*").alias(name)), ["scope", *group], "left")
+    some = lambda c: F.coalesce(F.col(c), F.lit(0))
+    named_row = (F.col("entity_key") != "").cast("long")
+    undated = F.col("t").isNull()
+    return found.select(
+        "id", "case_id", "entity_key", "t", F.col("bucket").alias("bucket_start"), (some("entity_all") - named_row).alias("n_same_entity"),
+        (F.when(undated, F.col("scope_all")).otherwise(some("bucket_size") + F.col("scope_undated")) - 1).alias("n_in_bucket"),
+        (F.when(undated, some("entity_all")).otherwise(some("both_size") + some("entity_undated")) - named_row).alias("n_both"),
+    ).withColumn("n_partners", F.expr("n_same_entity + n_in_bucket - n_both"))
+
+
 # ---- values that contain each other ---------------------------------------
 
 GRAM = 4
@@ -450,8 +493,9 @@ def _filed(rows: DataFrame) -> DataFrame:
 def best_partner(artifacts: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """artifact_a_id, artifact_b_id and the score columns of every artifact's best partner, for all artifacts.
 
-    Partners share the entity or lie within the time window; a row without a time has
-    all rows of the scope as partners.  The best has the greatest score, then the least
+    Partners share the entity or lie within the time window (in anchored mode: in the
+    same anchored bucket of the scope); a row without a time has all rows of the scope
+    as partners.  The best has the greatest score, then the least
     distance in time (none counts as farthest), then the least id.  Entity, source and
     event are compared without surrounding white space and case; blank counts as missing.
     No pair is listed: under each way of agreeing an artifact's candidates are the
@@ -462,6 +506,8 @@ def best_partner(artifacts: DataFrame, settings: Settings = DEFAULT) -> DataFram
     text = lambda c: F.nullif(sim.clean(F.col(c)), F.lit(""))
     rows = artifacts.select("id", "t", (F.lit("") if settings.cross_case else F.col("case_id").cast("string")).alias("scope"),
                             text("entity_value").alias("e"), text("source").alias("s"), text("event_type").alias("v"))
+    if settings.anchored:
+        rows = rows.join(_starts(rows, settings), ["scope", "t"], "left")
     for name, least in (("e", 4), ("s", 1)):
         values = rows.select("scope", F.col(name).alias("value")).filter("value IS NOT NULL").distinct()
         inner = _containing(values, "scope", least).groupBy("scope", F.col("outer_value").alias(name)).agg(
@@ -470,8 +516,13 @@ def best_partner(artifacts: DataFrame, settings: Settings = DEFAULT) -> DataFram
             f"{name}_inner", F.coalesce(f"{name}_inner", F.array().cast("array<string>")))
     rows = durable(_filed(rows))
     keys = ["scope", "k"]
-    held = rows.select("id", "scope", "t", F.explode("held").alias("k"))
-    asked = rows.select("id", "scope", "t", F.explode("asked").alias("k"))
+    more = ["bucket"] if settings.anchored else []
+    held = rows.select("id", "scope", "t", *more, F.explode("held").alias("k"))
+    asked = rows.select("id", "scope", "t", *more, F.explode("asked").alias("k"))
+    place = [*keys, *more]
+    if settings.anchored:  # rows of one entity are partners at any distance, others inside a bucket
+        everywhere = F.when(F.startswith("k", F.lit("=")) & F.col("t").isNotNull(), 0).otherwise(F.col("bucket"))
+        held, asked = held.withColumn("bucket", everywhere), asked.withColumn("bucket", everywhere)
 
     def first_two(df, group):
         """The two least ids of each group: a row itself may be the first."""
@@ -479,26 +530,27 @@ def best_partner(artifacts: DataFrame, settings: Settings = DEFAULT) -> DataFram
         return ranked.groupBy(*group).agg(F.min("id").alias("first"), F.max(F.when(F.col("n") == 2, F.col("id"))).alias("second"))
 
     other = F.when(F.col("first") != F.col("id"), F.col("first")).otherwise(F.col("second"))
-    dated = durable(first_two(held.filter("t IS NOT NULL"), [*keys, "t"]))
+    dated = durable(first_two(held.filter("t IS NOT NULL"), [*place, "t"]))
     undated = first_two(held.filter("t IS NULL"), keys)
     every = first_two(held, keys)
-    points = dated.select(*keys, "t", F.col("t").alias("_data")).unionByName(
-        asked.filter("t IS NOT NULL").select(*keys, "t").distinct().withColumn("_data", F.lit(None).cast("long")))
-    before = scan.ordered_scan(points, keys, "t", {"near": ("max", F.col("_data"))}, "before").filter("_data IS NULL")
-    after = scan.ordered_scan(points, keys, "t", {"near": ("min", F.col("_data"))}, "after").filter("_data IS NULL")
+    points = dated.select(*place, "t", F.col("t").alias("_data")).unionByName(
+        asked.filter("t IS NOT NULL").select(*place, "t").distinct().withColumn("_data", F.lit(None).cast("long")))
+    before = scan.ordered_scan(points, place, "t", {"near": ("max", F.col("_data"))}, "before").filter("_data IS NULL")
+    after = scan.ordered_scan(points, place, "t", {"near": ("min", F.col("_data"))}, "after").filter("_data IS NULL")
     # a pair beyond the window is related by the entity only
-    reach = (F.abs(F.col("near") - F.col("t")) < width) | F.startswith("k", F.lit("="))
+    reach = F.lit(settings.anchored) | (F.abs(F.col("near") - F.col("t")) < width) | F.startswith("k", F.lit("="))
     near = before.unionByName(after).drop("_data").filter("near IS NOT NULL").filter(reach)
-    places = near.join(dated.select(*keys, F.col("t").alias("near"), "first"), [*keys, "near"]).select(*keys, "t", "first")
+    places = near.join(dated.select(*place, F.col("t").alias("near"), "first"), [*place, "near"]).select(*place, "t", "first")
     timed = asked.filter("t IS NOT NULL")
-    found = timed.join(places, [*keys, "t"]).select("id", F.col("first").alias("b"))
-    for some in (timed.join(dated, [*keys, "t"]), timed.join(undated, keys), asked.filter("t IS NULL").join(every, keys)):
+    found = timed.join(places, [*place, "t"]).select("id", F.col("first").alias("b"))
+    for some in (timed.join(dated, [*place, "t"]), timed.join(undated, keys), asked.filter("t IS NULL").join(every, keys)):
         found = found.unionByName(some.select("id", other.alias("b")))
     found = durable(found.filter("b IS NOT NULL AND b <> id").distinct())
-    side = lambda x: rows.select(*[F.col(c).alias(f"{x}_{c}") for c in ("id", "t", "e", "s", "v")])
+    side = lambda x: rows.select(*[F.col(c).alias(f"{x}_{c}") for c in ("id", "t", "e", "s", "v", *more)])
     pairs = found.select(F.col("id").alias("a_id"), F.col("b").alias("b_id")).join(side("a"), "a_id").join(side("b"), "b_id")
     apart = F.abs(F.col("a_t") - F.col("b_t"))
-    pairs = pairs.filter((F.coalesce(F.col("a_e") == F.col("b_e"), F.lit(False))) | apart.isNull() | (apart < width))
+    close = F.col("a_bucket") == F.col("b_bucket") if settings.anchored else apart < width
+    pairs = pairs.filter((F.coalesce(F.col("a_e") == F.col("b_e"), F.lit(False))) | apart.isNull() | close)
     pairs = pairs.withColumns({
         "s_time": F.when(apart.isNull(), 0.0).otherwise(sim.time_similarity(F.col("a_t"), F.col("b_t"), settings.window_seconds)),
         "s_entity": sim.entity_similarity(F.col("a_e"), F.col("b_e")), "s_source": sim.source_similarity(F.col("a_s"), F.col("b_s")),
