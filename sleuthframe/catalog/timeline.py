@@ -13,8 +13,13 @@ from .correlation import ARTIFACT, IN_CASE, SCORE, SIMILARITY
 from .graph_rank import FINDING
 
 
+EXTRACTED_KINDS = ("username", "session_id", "command", "email")
+HOST = "^[a-z]+://([^/?#:]+)"
+
+
 def _parts(spark, folder):
-    """events as log records, orders as findings, lineitem as sessions, documents as ingested files of every kind."""
+    """All nine sources: events as log records and as extracted artifacts, orders as findings, lineitem as sessions,
+    pages as visits, documents as ingested files of every kind."""
     i = lambda c: F.col(c).cast("string")
     e = table(spark, folder, "events", spread=True)
     records = e.select(
@@ -24,6 +29,15 @@ def _parts(spark, folder):
         F.col("event_type").alias("provider"),
         F.when(F.col("event_type") != "error", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX")).alias("timestamp"),
         F.create_map(F.lit("props"), F.col("props")).alias("data"))
+    kinds = F.array(*[F.lit(x) for x in EXTRACTED_KINDS])
+    x = e.select(
+        F.col("event_id").alias("id"), (F.col("user_id") % 10).alias("case_id"), F.col("user_id").alias("evidence_id"), F.lit(None).cast("string").alias("filename"),
+        F.get(kinds, (F.col("event_id") % len(EXTRACTED_KINDS)).cast("int")).alias("artifact_type"), F.concat(F.lit("user"), i("user_id"), F.lit(" "), F.col("props")).alias("value"),
+        F.lit(0.9).alias("confidence"), F.lit("regex").alias("extractor"), F.col("ts").alias("extracted_at"))
+    b = table(spark, folder, "pages", spread=True).select(
+        F.col("page_id").alias("id"), (F.col("page_id") % 20).alias("case_id"), F.col("page_id").alias("evidence_id"), F.lit("chromium").alias("browser"),
+        F.lit("page_visit").alias("artifact_type"), F.col("url"), F.regexp_extract("url", HOST, 1).alias("domain"), F.lit(None).cast("string").alias("title"),
+        F.concat(F.lit("2023-08-"), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"), F.lit("T10:30:00+02:00")).alias("timestamp"))
     f = views.findings(spark, folder).withColumn("filename", F.lit(None).cast("string"))
     n = views.flows(spark, folder, spread=True).withColumns({
         "id": F.col("order_key") * 10 + F.col("line_no"), "evidence_id": F.col("order_key"),
@@ -38,7 +52,7 @@ def _parts(spark, folder):
         "created": F.concat(F.lit("2023-07-"), day, F.lit(" 09:00:00+00:00")), "sha256": F.sha2("text", 256),
         "ingested_at": (F.col("evidence_id") * 60 + 1_700_000_000).cast("string")})
     return [tl.ingests(d), tl.captures(d), tl.documents(d, "pdf"), tl.documents(d, "docx"), tl.log_records(records),
-            tl.sessions(n), tl.alerts(f)]
+            tl.extracted(x), tl.browsing(b), tl.sessions(n), tl.alerts(f)]
 
 
 TIMELINE = f"""
@@ -56,6 +70,11 @@ raw AS (
     CASE WHEN event_type <> 'error' THEN epoch_us(date_trunc('second', ts)) END,
     CASE c WHEN 4625 THEN 'critical' WHEN 4688 THEN 'high' ELSE 'info' END, c IN (4625, 4688), '+00:00'
     FROM (SELECT *, [4624, 4625, 4688, 7036][(event_id % 4 + 1)::INT] AS c FROM events)
+  UNION ALL SELECT user_id % 10, 'extracted_art_' || event_id, 'Extracted ' || upper(kind) || ': ' || substr('user' || user_id || ' ' || props, 1, 35),
+    epoch_us(ts), CASE WHEN kind IN ('session_id', 'command') THEN 'high' ELSE 'medium' END, kind IN ('session_id', 'command'), '+00:00'
+    FROM (SELECT *, ['username', 'session_id', 'command', 'email'][(event_id % 4 + 1)::INT] AS kind FROM events)
+  UNION ALL SELECT page_id % 20, 'browser_art_' || page_id, 'Browser Page Visit: ' || coalesce(nullif(regexp_extract(url, '{HOST}', 1), ''), nullif(url, ''), 'Record'),
+    epoch_us(TIMESTAMP '2023-08-01 08:30:00' + INTERVAL 1 DAY * (page_id % 28)), 'medium', false, '+02:00' FROM pages
   UNION ALL SELECT l_orderkey % 20, 'net_art_' || (l_orderkey * 10 + l_linenumber),
     'Network Session (' || CASE l_returnflag WHEN 'A' THEN 'TCP' WHEN 'N' THEN 'UDP' ELSE 'ICMP' END || '): 172.' || ((l_partkey >> 16) % 256) || '.' || ((l_partkey >> 8) % 256) || '.' || (l_partkey % 256),
     epoch_us(l_shipdate), 'medium', false, '+00:00' FROM lineitem
