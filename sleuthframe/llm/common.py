@@ -77,23 +77,38 @@ def bit_majority(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def connected(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, label: the least node reachable, for every node of a link.
 
-    Each round takes the least label of the neighbours, then jumps to the label of
-    that label, until nothing changes: rounds grow with the logarithm of a chain's
-    length.  Labels are partial minima before they are shuffled, and the joins have
-    one row per node on one side, so that the other side's hot nodes can be split.
+    Each round hooks every node to the least neighbour below it and follows these hooks to
+    their ends; the links between different ends are the next round's.  A link is so joined
+    once for each of its nodes and gone as soon as they have one label, instead of once a
+    round to the last.  The hooks of all rounds are put together at the end.  Hooks are
+    partial minima before they are shuffled, and the joins have one row per node on one
+    side, so that the other side's hot nodes can be split.
     """
-    both = links.select(F.col(a).alias("node"), F.col(b).alias("other")).where("node != other")
-    both = durable(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct())
-    labels = durable(both.groupBy("node").agg(F.min("other").alias("least"))
-                     .select("node", F.least("node", "least").alias("label")))
+    ends = links.select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).where(F.col(a) != F.col(b))
+    rest, rounds = durable(ends.distinct()), []
+    while not rest.isEmpty():
+        hooks = _followed(rest.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("label")))
+        rounds.append(hooks)
+        moved = rest.join(hooks.select(F.col("node").alias("high"), F.col("label").alias("x")), "high")
+        moved = moved.join(hooks.select(F.col("node").alias("low"), F.col("label").alias("y")), "low", "left").select("x", F.coalesce("y", "low").alias("y"))
+        rest = durable(moved.where("x != y").select(F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high")).distinct())
+    if not rounds:
+        return rest.select(F.col("low").alias("node"), F.col("high").alias("label"))
+    labels = rounds.pop()
+    while rounds:  # what a round left as an end may be hooked in a later one
+        hooks, further = rounds.pop(), labels.select(F.col("node").alias("label"), F.col("label").alias("end"))
+        labels = durable(hooks.join(further, "label", "left").select("node", F.coalesce("end", "label").alias("label")).unionByName(labels))
+    return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
+
+
+def _followed(hooks: DataFrame) -> DataFrame:
+    """node, label of hooks to lesser nodes, written, each label followed to the end of its chain: rounds grow with the logarithm of its length."""
+    def doubled(hooks):
+        further = hooks.select(F.col("node").alias("label"), F.col("label").alias("end"))
+        return hooks.join(further, "label", "left").select("node", F.coalesce("end", "label").alias("label"))
+
     while True:
-        near = (both.join(labels.select(F.col("node").alias("other"), "label"), "other")
-                .groupBy("node").agg(F.min("label").alias("near")))
-        hooked = labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
-        target = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        jumped = hooked.join(target, "label", "left").select(
-            "node", "before", F.least("label", F.coalesce("further", "label")).alias("label"))
-        done = durable(jumped)
-        labels = done.select("node", "label")
-        if done.where("label != before").isEmpty():
-            return labels
+        done = durable(doubled(doubled(hooks)).join(hooks.select(F.col("node").alias("label"), F.lit(True).alias("more")), "label", "left").select("node", "label", "more"))
+        hooks = done.select("node", "label")
+        if done.where("more").isEmpty():
+            return hooks

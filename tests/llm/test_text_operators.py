@@ -199,6 +199,24 @@ def test_connected_long_chain(spark):
     assert common.connected(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_connected_lets_go_of_links_whose_ends_agree(spark, monkeypatch):
+    """Many links in one group: a link is written once, not in both directions and not again in every round."""
+    n, rnd, kept, written = 400, random.Random(4), common.durable, []
+    pairs = {(i, rnd.randrange(i)) for i in range(1, n)} | {tuple(rnd.sample(range(n), 2)) for _ in range(12_000)}
+    pairs |= {(5000 - i, 5001 - i) for i in range(300)}  # a chain in descending order beside it
+    links = spark.createDataFrame(sorted(pairs), "a long, b long")
+
+    def counted(df):
+        out = kept(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(common, "durable", counted)
+    got = {r["node"]: r["label"] for r in common.connected(links).collect()}
+    assert got == {**{i: 0 for i in range(n)}, **{i: 4701 for i in range(4701, 5002)}}
+    assert sum(written) < 1.5 * len(pairs) and len(written) < 20
+
+
 def shingles(text, k=5):
     w = (text or "").lower().split()
     return {" ".join(w[i:i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
