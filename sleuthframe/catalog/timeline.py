@@ -135,9 +135,8 @@ FROM artifact LEFT JOIN best ON a = id
 def timeline_last_corr(spark, folder):
     """Every event as an extracted artifact of the timeline, with its strongest correlation."""
     a = views.artifacts(spark, folder)
-    pairs = correlate.best_correlations(a, IN_CASE)
-    record = F.to_json(F.struct("artifact_a_id", "artifact_b_id"))
-    last = correlate.last_correlation(pairs.withColumn("record_id", record), F.struct("score", "record_id"))
+    # the category follows from the score, so that records of one score need no order
+    last = correlate.last_correlation(correlate.best_partner(a, IN_CASE), F.col("score"), ("score", "strength_category"))
     return (a.select(F.col("id").alias("artifact_id")).join(last, "artifact_id", "left")
             .select("artifact_id", F.col("score").alias("correlation_score"), F.col("strength_category").alias("correlation_category")))
 
