@@ -79,9 +79,12 @@ QUALIFY row_number() OVER (PARTITION BY case_id, least(source, target), greatest
 """)
 def graph_correlations(spark, folder):
     """Graph edges of the files and of every event's best correlation, with colours."""
-    pairs = correlate.best_correlations(views.artifacts(spark, folder), IN_CASE)
+    best = correlate.best_partner(views.artifacts(spark, folder), IN_CASE)
+    # edges show neither labels nor reasons, so that the rows of both ends are not joined; a pair found from both ends is one edge
+    pairs = best.withColumns({"artifact_a_id": F.least("artifact_a_id", "artifact_b_id"), "artifact_b_id": F.greatest("artifact_a_id", "artifact_b_id"),
+                              **{c: F.lit(None).cast("string") for c in ("artifact_b_label", "artifact_b_type", "reason")}})
     ev = dedup.with_digests(views.evidence(spark, folder), F.col("text")).withColumn("metadata", F.col("text"))
-    return graph.distinct_edges(graph.case_edges(ev, correlations=pairs)).drop("reason")
+    return graph.distinct_edges(graph.case_edges(ev, correlations=pairs).drop("reason"))
 
 
 FLOW_EDGES = f"""

@@ -76,8 +76,11 @@ def case_edges(evidence: DataFrame, extracted: DataFrame | None = None, users: D
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
-    """One edge per unordered pair of nodes of a case: the first kind wins, then the smallest."""
-    kept = ("source", "target", "label", "score", "strength_category", "reason")
+    """One edge per unordered pair of nodes of a case: the first kind wins, then the smallest.
+
+    Edges may come without their reason, which is longer than all the rest.
+    """
+    kept = [c for c in ("source", "target", "label", "score", "strength_category", "reason") if c in edges.columns]
     first = F.min(F.struct("rank", *kept)).alias("e")
     return (edges.groupBy("case_id", F.least("source", "target").alias("_a"), F.greatest("source", "target").alias("_b"))
             .agg(first).select("case_id", *[F.col(f"e.{c}").alias(c) for c in kept])
