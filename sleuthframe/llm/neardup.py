@@ -179,14 +179,29 @@ def first_shared(a: np.ndarray, b: np.ndarray, plan) -> np.ndarray:
     return out
 
 
+def with_neighbour(keys: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
+    """Whether each fingerprint has another one within the radius in its run of equal keys; those at one offset are compared at a time."""
+    near, rows, offset = np.zeros(len(keys), bool), np.arange(len(keys)), 1
+    while len(rows := rows[:np.searchsorted(rows, len(keys) - offset)]):
+        rows = rows[keys[rows] == keys[rows + offset]]
+        found = rows[np.bitwise_count(fps[rows] ^ fps[rows + offset]) <= radius]
+        near[found] = near[found + offset] = True
+        offset += 1
+    return near
+
+
 def link_runs(keys: np.ndarray, fps: np.ndarray, radius: int, plan, once: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs of equal keys.
 
+    Most members of a key meet there by chance, and the more the more texts there are: those
+    without a neighbour within the radius are put aside first, as no forest links them.
     ``once`` names a link under one of the keys that its two fingerprints share and no
     other.  Where that key's forest leaves the link out, nearer links of the key take its
     place; as no two pairs tie, the same holds for each of those, down to the nearest.
     """
-    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    near = with_neighbour(keys, fps, radius)
+    keys, fps = keys[near], fps[near]
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
     size = np.diff(np.r_[at, len(keys)])
     a, b, under = [], [], []
     for g in np.unique(size[(size > 1) & (size <= 16)]):

@@ -180,6 +180,30 @@ def test_first_shared_key(radius, segments):
             assert min(both) >> 58 == key >> 58 and (value != int(y) >> low & (1 << width) - 1 or key & (1 << 58) - 1 == value)
 
 
+@pytest.mark.parametrize("radius,segments", [(8, 3), (4, 2)])
+def test_members_that_meet_by_chance_reach_no_forest(monkeypatch, radius, segments):
+    """Keys of 24 random members, some with near ones planted: the links are those of whole forests, made of the near ones alone."""
+    rng, plan, rows = np.random.default_rng(7), neardup.segments_of(radius, segments), []
+    for key in range(300):
+        run = rng.integers(0, 2 ** 64, 24, dtype=np.uint64)
+        for i in range(key % 4):
+            run[i + 1] = run[i] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, 1 + i * 3, replace=False)))
+        rows += [(key, int(fp)) for fp in run]
+    keys, fps = (np.array(x, np.uint64) for x in zip(*rows))
+    want, near = set(), 0
+    for key in range(300):
+        run = fps[keys == key]
+        want |= {(min(x, y), max(x, y)) for x, y in zip(*(v.tolist() for v in neardup.forest(run, radius, True)))}
+        near += int(((np.bitwise_count(run[:, None] ^ run) <= radius).sum(1) > 1).sum())
+    met, forest, small = [], neardup.forest, neardup.small_forests
+    monkeypatch.setattr(neardup, "forest", lambda run, r, _: met.append(run.size) or forest(run, r, True))
+    monkeypatch.setattr(neardup, "small_forests", lambda runs, r, _: met.append(runs.size) or small(runs, r, True))
+    a, b = neardup.link_runs(keys, fps, radius, None)
+    assert {(x, y) for x, y in zip(a.tolist(), b.tolist())} == want and len(want) > 100
+    assert sum(met) == near < 1000
+    assert [len(x) for x in neardup.link_runs(keys[:0], fps[:0], radius, plan, True)] == [0, 0]
+
+
 def test_simhash_odd_rows(spark, docs):
     got = neardup.near_duplicates(docs).collect()
     assert len(got) == docs.count()
